@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from casegraph.llm import line_dedup, mixing, url_filter
+from casegraph.llm import chat, decontaminate, line_dedup, mixing, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_url_filters": url_filter.op3_url_filters,
     "op5_mixing": mixing.op5_mixing,
+    "op7_decontamination": decontaminate.op7_decontamination,
+    "op9_chat_formatting": chat.op9_chat_formatting,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_url_filters": url_filter.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op7_decontamination": decontaminate.ORACLE,
+    "op9_chat_formatting": chat.ORACLE,
 }
