@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from casegraph.llm import chat, decontaminate, line_dedup, mixing, url_filter
+from casegraph.llm import chat, decontaminate, language, line_dedup, mixing, quality, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_quality": quality.op2_quality,
     "op3_url_filters": url_filter.op3_url_filters,
     "op5_mixing": mixing.op5_mixing,
+    "op6_language": language.op6_language,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op9_chat_formatting": chat.op9_chat_formatting,
 }
