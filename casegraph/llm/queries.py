@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casegraph.llm import chat, decontaminate, language, line_dedup, mixing, quality, url_filter
+from casegraph.llm import chat, decontaminate, fingerprint, language, line_dedup, mixing, quality, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_language": language.op6_language,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_chat_formatting": chat.op9_chat_formatting,
 }
 ORACLES = {
