@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casegraph.llm import chat, decontaminate, fingerprint, language, line_dedup, mixing, quality, url_filter
+from casegraph.llm import chat, decontaminate, fingerprint, language, line_dedup, mixing, near_dedup, quality, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_chat_formatting": chat.op9_chat_formatting,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
