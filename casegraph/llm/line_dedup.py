@@ -30,27 +30,26 @@ BLOCKS = 4
 STEP = 8  # lines whose lengths share the multiple of STEP below them share block borders
 
 
+def _base(length, block):
+    """The multiple of STEP that sets a block's borders: blocks from BLOCKS on belong to the lower class."""
+    return (length - length % STEP - F.when(block >= BLOCKS, STEP).otherwise(0)).cast("int")
+
+
 def _block_variants(line, length):
-    """(block, base, key) for each block of the line; lengths on a multiple of STEP also count as the lower class."""
+    """Hashes of the line without each block; a length on a multiple of STEP also counts as the lower class."""
 
-    def of(base):
-        q = (base / BLOCKS).cast("int")
-        return [
-            F.struct(
-                F.lit(j).alias("j"), base.alias("base"),
-                F.xxhash64(F.lit(j), base, F.substr(line, F.lit(1), q * j), F.lit("|"), F.substr(line, length - q * (BLOCKS - 1 - j) + 1)).alias("key"),
-            )
-            for j in range(BLOCKS)
-        ]
+    def of(block):
+        j, q = block % BLOCKS, (_base(length, F.lit(block)) / BLOCKS).cast("int")
+        return F.xxhash64(F.lit(j), q, F.substr(line, F.lit(1), q * j), F.lit("|"), F.substr(line, length - q * (BLOCKS - 1 - j) + 1))
 
-    base = (length - length % STEP).cast("int")
-    low = (base - STEP).cast("int")
-    return F.when((length % STEP == 0) & (low >= STEP), F.array(*of(base), *of(low))).otherwise(F.array(*of(base)))
+    upper = [of(j) for j in range(BLOCKS)]
+    lower = [of(j) for j in range(BLOCKS, 2 * BLOCKS)]
+    return F.when((length % STEP == 0) & (length >= 2 * STEP), F.array(*upper, *lower)).otherwise(F.array(*upper))
 
 
-def _middle(line, length, j, base):
-    q = (base / BLOCKS).cast("int")
-    return F.substr(line, q * j + 1, length - q * (BLOCKS - 1))
+def _middle(line, length, block):
+    q = (_base(length, block) / BLOCKS).cast("int")
+    return F.substr(line, q * (block % BLOCKS) + 1, length - q * (BLOCKS - 1))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -59,27 +58,30 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         raise ValueError(f"min_chars must be at least {2 * STEP}")
     rest = [c for c in others(docs, "n_lines", "n_removed") if c != "text"]
     # Repeated rows of one doc_id get places of their own: copy number by text.
-    src = docs.select(F.col("doc_id"), F.col("text"), F.struct(*quoted(rest)).alias("rest"))
-    src = src.repartition(F.col("doc_id"))
+    # A null doc_id counts as the smallest; one dealing by doc_id serves every join below.
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    src = docs.select(doc_id.alias("doc_id"), F.col("text"), F.struct(*quoted(rest)).alias("rest")).repartition("doc_id")
     src = src.withColumn("row_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64("rest"))))
 
     lines = src.select("doc_id", "row_no", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("len", F.length("line")).where(F.col("len") >= min_chars)
-    place = F.struct("doc_id", "row_no", "pos").alias("place")
-    thin = lines.select(place, "len", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), _block_variants(F.col("line"), F.col("len")).alias("blocks"))
-    classes = thin.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("len").alias("len"), F.first("blocks").alias("blocks"))
-
-    # Lines that share a block variant with another line.
-    variants = classes.select("h1", "h2", "first", "len", F.inline("blocks"))
-    by_key, by_len = Window.partitionBy("key"), Window.partitionBy("key", "len")
-    near = variants.withColumns({"n_len": F.count("*").over(by_len), "n_key": F.count("*").over(by_key)}).where("n_key > 1")
-    asked = near.select(
-        F.col("first.doc_id").alias("doc_id"), F.col("first.row_no").alias("row_no"), F.struct("h1", "h2", "first", "len", "j", "base", "key", (F.col("n_len") > 1).alias("subs"), (F.col("n_key") > F.col("n_len")).alias("indels")).alias("ask"),
-    )
-    per_row = asked.groupBy("doc_id", "row_no").agg(F.collect_list("ask").alias("asks"))  # at most the lines of one document
-    with_text = src.select("doc_id", "row_no", F.split("text", "\n", -1).alias("lines")).join(per_row, ["doc_id", "row_no"])
-    cand = with_text.select("lines", F.inline("asks")).withColumn("line", F.element_at("lines", F.col("first.pos") + 1)).drop("lines")
-    cand = cand.withColumn("mid", _middle(F.col("line"), F.length("line"), F.col("j"), F.col("base"))).drop("line")
+    # A place in two numbers: the document, then its row and line.
+    at = (F.shiftleft(F.col("row_no").cast("long"), 32) + F.col("pos")).alias("at")
+    h1, h2 = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
+    thin = lines.select("doc_id", at, "len", h1, h2, _block_variants(F.col("line"), F.col("len")).alias("keys"))
+    place = F.struct("doc_id", "at")
+    classes = thin.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("len").alias("len"), F.first("keys").alias("keys"))
+
+    # Lines that share a block variant with a line of equal length (a substitution) or one longer or shorter.
+    variants = classes.select("first.doc_id", "first.at", "len", F.posexplode("keys").alias("block", "key"))
+    by_key = Window.partitionBy("key").orderBy("len")
+    near = variants.withColumns({"n_len": F.count("*").over(by_key.rangeBetween(0, 0)), "n_near": F.count("*").over(by_key.rangeBetween(-1, 1))}).where("n_near > 1")
+    asked = near.select("doc_id", F.struct("at", "block", "key", (F.col("n_len") > 1).alias("subs"), (F.col("n_near") > F.col("n_len")).alias("indels")).alias("ask"))
+    per_doc = asked.groupBy("doc_id").agg(F.collect_list("ask").alias("asks"))  # at most the lines of one document
+    with_text = src.join(per_doc, "doc_id").select("doc_id", "row_no", F.split("text", "\n", -1).alias("lines"), "asks")
+    cand = with_text.select("doc_id", "row_no", "lines", F.inline("asks")).where(F.shiftright("at", 32) == F.col("row_no"))
+    cand = cand.withColumn("line", F.element_at("lines", (F.col("at") % (1 << 32)).cast("int") + 1))
+    cand = cand.select(place.alias("first"), h1, h2, "key", "subs", "indels", _middle(F.col("line"), F.length("line"), F.col("block")).alias("mid"))
 
     mid, key = F.col("mid"), F.col("key")
     places = F.sequence(F.lit(1), F.length(mid))
@@ -103,10 +105,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     earlier = met.groupBy("h1", "h2").agg(F.min("other.first").alias("near"))
 
     told = classes.where("n > 1").select("h1", "h2", "first").join(earlier, ["h1", "h2"], "full").select("h1", "h2", F.least("first", "near").alias("first"))
-    gone = thin.select("h1", "h2", "place").join(told, ["h1", "h2"]).where(F.col("first") < F.col("place"))
-    drops = gone.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.row_no").alias("row_no")).agg(F.collect_list("place.pos").alias("drops"))
-
-    out = src.join(drops.withColumnRenamed("doc_id", "d_id").withColumnRenamed("row_no", "d_row"), (F.col("doc_id").eqNullSafe(F.col("d_id"))) & (F.col("row_no") == F.col("d_row")), "left")
+    gone = thin.select("h1", "h2", place.alias("place")).join(told, ["h1", "h2"]).where(F.col("first") < F.col("place"))
+    row_no, pos = F.shiftright("place.at", 32).cast("int").alias("r"), (F.col("place.at") % (1 << 32)).cast("int").alias("p")
+    per_doc = gone.groupBy(F.col("place.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(row_no, pos)).alias("gone"))
+    out = src.join(per_doc, "doc_id", "left")
+    drops = F.transform(F.filter("gone", lambda g: g["r"] == F.col("row_no")), lambda g: g["p"])
+    out = out.withColumn("drops", F.when(F.exists("gone", lambda g: g["r"] == F.col("row_no")), drops))
     split = F.split("text", "\n", -1)
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("drops")))
     text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(split, i + 1)), "\n"))
