@@ -24,23 +24,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def sample(rows: DataFrame, label: str, n: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, object]]:
+def sample(docs: DataFrame, marks: DataFrame | None, label: str, n: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, object]]:
     """At most n whole texts with labels, chosen by hash and equally many of each label where there are as many.
 
+    docs: doc_id, text (and the label, if marks is None); marks: doc_id, label. The held-out quarter is never drawn.
     The bound: n rows, and only texts of at most `chars` characters are drawn, so the driver holds n * chars at most.
+    Texts are read twice but never shuffled: only ids, labels and hashes are.
     """
-    from pyspark.sql import Window
-
-    rows = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    labels = [r[0] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(256).collect()]
+    thin = docs.where(~held_out(F.col("doc_id")) & (F.length("text") <= chars))
+    thin = thin.select("doc_id", label) if marks is None else thin.select("doc_id").join(marks, "doc_id")
+    thin = thin.where(F.col(label).isNotNull()).withColumn("_h", F.md5(F.concat(F.lit("s"), F.col("doc_id").cast("string"))))
+    labels = [r[0] for r in thin.groupBy(label).count().orderBy(F.desc("count"), label).limit(256).collect()]
     if not labels:
         return []
-    each = max(1, n // len(labels))
-    drawn = rows.select(label, "text", F.md5(F.concat(F.lit("s"), F.col("doc_id").cast("string"))).alias("_h"))
-    out: list[tuple[str, object]] = []
+    drawn = {}
     for v in labels:  # a handful of labels: a bounded top-n for each
-        out += [(r["text"], r[label], r["_h"]) for r in drawn.where(F.col(label) == F.lit(v)).orderBy("_h", "text").limit(each).collect()]
-    return [(t, v) for t, v, _ in sorted(out, key=lambda x: (x[2], x[0]))]
+        for r in thin.where(F.col(label) == F.lit(v)).orderBy("_h").limit(max(1, n // len(labels))).collect():
+            drawn[r["doc_id"]] = r[label], r["_h"]
+    ids = docs.sparkSession.createDataFrame([(k,) for k in drawn], docs.select("doc_id").schema)
+    rows = docs.where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id").select("doc_id", "text").collect()  # n rows
+    return [(r["text"], drawn[r["doc_id"]][0]) for r in sorted(rows, key=lambda r: (drawn[r["doc_id"]][1], r["text"]))]
 
 
 def scored(docs: DataFrame, columns: list[tuple[str, pa.DataType, str]], score, text_col: str = "text", limit: int = tx.BLOCK_BYTES) -> DataFrame:

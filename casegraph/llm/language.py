@@ -140,7 +140,7 @@ def train(rows: list[tuple[str, str]], idf: np.ndarray, alpha: float = 0.5, beta
 
 def fit(docs: DataFrame, n: int = ft.SAMPLE_ROWS) -> Model:
     rows = docs.select("doc_id", "text", "lang").where(~ft.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    drawn = ft.sample(rows, "lang", n)
+    drawn = ft.sample(rows, None, "lang", n)
     if not drawn:
         return Model([], np.zeros((1 << BITS, 1)), np.zeros(1), np.zeros(1 << BITS))
     df, total = document_frequencies(rows)

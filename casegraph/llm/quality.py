@@ -99,8 +99,7 @@ def train(rows: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epochs:
 def fit(docs: DataFrame, labels: DataFrame, n: int = ft.SAMPLE_ROWS) -> Model:
     """Learn from labelled documents outside the held-out quarter."""
     marks = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    rows = docs.select("doc_id", "text").where(~ft.held_out(F.col("doc_id"))).join(marks, "doc_id")
-    drawn = ft.sample(rows, "_quality", n)
+    drawn = ft.sample(docs.select("doc_id", "text"), marks, "_quality", n)
     return train(drawn) if drawn else Model(np.zeros(1 << BITS), 0.0)
 
 
