@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from casegraph.llm import chat, decontaminate, fingerprint, language, line_dedup, mixing, near_dedup, quality, url_filter
+from casegraph.llm import chat, decontaminate, fingerprint, language, line_dedup, mixing, near_dedup, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality": quality.op2_quality,
     "op3_url_filters": url_filter.op3_url_filters,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_language": language.op6_language,
     "op7_decontamination": decontaminate.op7_decontamination,

@@ -1,27 +1,54 @@
-"""The corpus pipeline: documents in, a mixed training corpus out."""
+"""The corpus pipeline: documents in, a mixed training corpus out.
+
+Every stage is one operator of casegraph.llm with its production parameters, judged on what the stage before kept.
+All but the last return the columns of documents; the last adds `copy` (1 for a document's first copy).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from casegraph.llm import decontaminate, line_dedup, mixing, near_dedup, quality
+from casegraph.llm.common import materialise, quoted, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. Null and empty texts have no feature and are judged by the bias alone."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).where("predicted = 1").select(*quoted(docs.columns))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines seen earlier go; a document goes only if it lost lines and nothing but blanks is left of it."""
+    return line_dedup.dedup_lines(docs).where("n_removed = 0 OR trim(text) <> ''").select(*quoted(docs.columns))
+
 
-from casegraph.llm import line_dedup, mixing
-from casegraph.llm.common import materialise, table
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))
 
 
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines seen earlier go; a document goes only if it had text and nothing but blanks is left of it."""
-    out = line_dedup.dedup_lines(docs)
-    return out.where("n_removed = 0 OR trim(text) <> ''").select(*docs.columns)
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by test items go."""
+    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return out.where(~F.col("contaminated")).select(*quoted(docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns, "copy")
+    """Each document as often as the mix takes it."""
+    return mixing.emit(mixing.mix(docs)).select(*quoted(docs.columns), "copy")
 
 
 STAGES = [
-    ("line dedup", line_dedup_stage),
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_stage),
+    ("benchmark decontamination", benchmark_stage),
     ("mixing", mixing_stage),
 ]
+#: A trained classifier can't be expressed in SQL; the tests compare the run with brute force.
 ORACLE_SQL = None
 
 
