@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from casegraph.plans import graph_queries, transfer_queries
+
+_ALL = (transfer_queries, graph_queries)
+QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _ALL for k, v in m.ORACLES.items()}
