@@ -199,11 +199,11 @@ SELECT id, round(CASE WHEN type = 'BANK_ACCOUNT' OR (received > 0 AND forwarded
 EGO = """SELECT seed, id, min(hops)::INTEGER AS hops FROM (SELECT id AS seed, id, 0 AS hops FROM vertices WHERE type = 'SIM'
   UNION ALL SELECT v.id, a.nbr, 1 FROM vertices v JOIN lk a ON a.id = v.id WHERE v.type = 'SIM'
   UNION ALL SELECT v.id, b.nbr, 2 FROM vertices v JOIN lk a ON a.id = v.id JOIN lk b ON b.id = a.nbr WHERE v.type = 'SIM') GROUP BY seed, id"""
-SHORTEST = """, d2 AS (SELECT e2.dst AS target, min('P1>' || e1.dst || '>' || e2.dst) AS p FROM edges e1 JOIN edges e2 ON e2.src = e1.dst WHERE e1.src = 'P1' GROUP BY e2.dst),
-u4 AS (SELECT e.nbr AS target, min('P1>' || a.nbr || '>' || b.nbr || '>' || c.nbr || '>' || e.nbr) AS p FROM both_ways a JOIN both_ways b ON b.id = a.nbr JOIN both_ways c ON c.id = b.nbr JOIN both_ways e ON e.id = c.nbr
-  WHERE a.id = 'P1' AND e.nbr LIKE 'N%' GROUP BY e.nbr)
-SELECT 'P1' AS source, n.id AS target, coalesce(d2.p, u4.p) AS path, CASE WHEN d2.p IS NOT NULL THEN 2 ELSE 4 END::BIGINT AS length, d2.p IS NOT NULL AS directed
-FROM vertices n LEFT JOIN d2 ON d2.target = n.id LEFT JOIN u4 ON u4.target = n.id WHERE n.type = 'SIM' AND coalesce(d2.p, u4.p) IS NOT NULL"""
+SHORTEST = """, d2 AS (SELECT e2.dst AS target, array_to_string(min(['P1', e1.dst, e2.dst]), '>') AS p FROM edges e1 JOIN edges e2 ON e2.src = e1.dst WHERE e1.src = 'P1' GROUP BY e2.dst),
+u3 AS (SELECT c.nbr AS target, array_to_string(min(['P1', a.nbr, b.nbr, c.nbr]), '>') AS p FROM both_ways a JOIN both_ways b ON b.id = a.nbr JOIN both_ways c ON c.id = b.nbr
+  WHERE a.id = 'P1' AND c.nbr LIKE 'N%' GROUP BY c.nbr)
+SELECT 'P1' AS source, n.id AS target, coalesce(d2.p, u3.p) AS path, CASE WHEN d2.p IS NOT NULL THEN 2 ELSE 3 END::BIGINT AS length, d2.p IS NOT NULL AS directed
+FROM vertices n LEFT JOIN d2 ON d2.target = n.id LEFT JOIN u3 ON u3.target = n.id WHERE n.type = 'SIM' AND coalesce(d2.p, u3.p) IS NOT NULL"""
 MONEY = """SELECT 'C1' AS source, target, path, 2::BIGINT AS length, row_number() OVER (PARTITION BY target ORDER BY hop) AS rank FROM (
   SELECT s.dst AS target, c.dst AS hop, 'C1>' || c.dst || '>' || s.dst AS path FROM edges c JOIN edges s ON s.src = c.dst AND s.dst LIKE 'N%' WHERE c.src = 'C1' AND c.rel = 'TRANSFERRED_TO') QUALIFY rank <= 10"""
 COMPONENTS = "SELECT id, CASE WHEN type = 'PERSON' THEN min(id) OVER (PARTITION BY nation) WHEN type = 'SIM' THEN min(id) OVER (PARTITION BY nation) ELSE id END AS component FROM (SELECT v.id, v.type, coalesce(e.dst, v.id) AS nation FROM vertices v LEFT JOIN edges e ON e.src = v.id AND e.rel = 'USES')"
