@@ -3,6 +3,8 @@
 A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id. All texts
 are judged as they came in, as UTF-8; matches never cross documents.
 
+ 0. Exact copies fold first, by digest: all of a later copy goes (if it is as long as a window), and it need not be
+    looked at again, as the first copy holds the same windows under a smaller doc_id.
  1. Sampling. Every window of `length` bytes has an anchor: the least-hashed GRAM bytes inside it (the leftmost of
     equals). It depends on the window's bytes alone, so equal windows have equal anchors at equal offsets. Windows in
     a row with one anchor are a run.
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,18 +41,20 @@ from casegraph.llm.common import corpus_bytes, table
 
 LENGTH = 50
 GRAM = 20
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
 PIECE = 1 << 20
-GROUP_ROWS = 200_000
+GROUP_ROWS = 100_000
 NONE = -(1 << 63)
 
 
 class Pieces:
     """A chunk's texts in doc_id order, as pieces of bounded size: bytes, and per piece the documents in it."""
 
-    def __init__(self, docs: pa.Table, length: int):
-        docs = docs.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    def __init__(self, docs: pa.Table, length: int, copies: np.ndarray):
+        docs = docs.select(["doc_id", "text"])
+        docs = docs.filter(pa.array(~np.isin(docs.column("doc_id").to_numpy(), copies)))
+        docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.ids = docs.column("doc_id").to_numpy()
         self.data, self.at = tx.buffers(docs.column("text"))
         self.data, self.at = self.data[self.at[0] : self.at[-1]], self.at - self.at[0]
@@ -122,10 +127,10 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _anchor_blocks(length: int, buckets: int):
-    def run(docs: pa.Table) -> pa.Table:
-        chunk = docs.column("chunk")[0].as_py()
+    def run(docs: pa.Table, copies: pa.Table) -> pa.Table:
+        chunk = docs.column("chunk")[0].as_py() if len(docs) else None
         values, rows = [], []
-        for _, _, value, _, _, row in (pieces := Pieces(docs, length)):
+        for _, _, value, _, _, row in (pieces := Pieces(docs, length, _ids(copies))):
             values.append(value)
             rows.append(row)
         out = {"bucket": [], "chunk": [], "values": [], "several": []}
@@ -148,6 +153,10 @@ def _anchor_blocks(length: int, buckets: int):
     return run
 
 
+def _ids(copies: pa.Table) -> np.ndarray:
+    return np.array([i for i in copies.column("copy").to_pylist() if i is not None], np.int64)
+
+
 def _shared(blocks: pa.Table) -> pa.Table:
     """Of a bucket, the values that more than one document has, for each chunk that has them."""
     values = [_unpack(v) for v in blocks.column("values").to_pylist()]
@@ -168,10 +177,11 @@ def _repeated_runs(length: int):
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         parts = []
-        if len(docs) and len(shared):
+        packed = [v for v in shared.column("values").to_pylist() if v is not None]
+        if len(docs) and packed:
             chunk = docs.column("chunk")[0].as_py()
-            wanted = np.sort(np.concatenate([_unpack(v) for v in shared.column("values").to_pylist()]))
-            pieces = Pieces(docs, length)
+            wanted = np.sort(np.concatenate([_unpack(v) for v in packed]))
+            pieces = Pieces(docs, length, _ids(shared))
             whole = []
             for start, anchor, value, first, last, row in pieces:
                 k = np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)
@@ -313,7 +323,9 @@ def _cut(length: int, digest: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
             return _RESULT.empty_table()
-        pieces = Pieces(docs, length)
+        copies = _ids(answers)
+        answers = answers.filter(answers.column("run_id").is_valid())
+        pieces = Pieces(docs, length, copies)
         ids, at = pieces.ids, pieces.at
         asked = answers.column("run_id").to_numpy() if len(answers) else np.zeros(0, np.int64)
         order = np.argsort(asked)
@@ -354,6 +366,10 @@ def _cut(length: int, digest: bool):
             out["n_removed"].append(int(mask.sum()))
             out["n_spans"].append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
             out["kept"].append(hashlib.sha256(kept).digest() if digest else kept)
+        whole = docs.filter(pa.array(np.isin(docs.column("doc_id").to_numpy(), copies)))
+        for i, n in zip(whole.column("doc_id").to_pylist(), pc.binary_length(whole.column("text")).to_pylist(), strict=True):
+            for c, x in zip(_RESULT.names, (i, n, n, 1, hashlib.sha256(b"").digest() if digest else b""), strict=True):
+                out[c].append(x)
         return pa.table(out, schema=_RESULT)
 
     return run
@@ -368,12 +384,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False)
     chunks, buckets = max(1, -(-size // CHUNK_BYTES)), max(1, -(-size // BUCKET_BYTES))
     # Equal doc_ids share a chunk.
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
-    blocks = docs.groupBy("chunk").applyInArrow(_anchor_blocks(length, buckets), "bucket long, chunk long, values binary, several binary")
-    shared = blocks.groupBy("bucket").applyInArrow(_shared, "chunk long, values binary")
-    found = docs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_repeated_runs(length), "chunk long, run_id long, right binary, left binary, near int, least long")
-    dealt = found.withColumn("deal", F.pmod(F.xxhash64(F.substring("right", 1, GRAM)), F.lit(1 << 30))).repartition("deal").sortWithinPartitions("right")
-    answers = dealt.drop("deal").mapInArrow(_answers(length), "chunk long, run_id long, smallest binary")
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(length, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    same = docs.where(F.octet_length("text") >= length).groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = docs.select("doc_id", "chunk", F.sha2("text", 256).alias("sha")).join(same, "sha").where("doc_id > first")
+    copies = copies.select("chunk", F.col("doc_id").alias("copy")).distinct()
+    by_chunk = docs.groupBy("chunk")
+    blocks = by_chunk.cogroup(copies.withColumnRenamed("chunk", "home").groupBy("home")).applyInArrow(_anchor_blocks(length, buckets), "bucket long, chunk long, values binary, several binary")
+    shared = blocks.groupBy("bucket").applyInArrow(_shared, "chunk long, values binary").unionByName(copies, allowMissingColumns=True)
+    found = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_repeated_runs(length), "chunk long, run_id long, right binary, left binary, near int, least long")
+    dealt = found.withColumn("deal", F.xxhash64(F.substring("right", 1, GRAM))).repartition("deal").sortWithinPartitions("right")
+    answers = dealt.drop("deal").mapInArrow(_answers(length), "chunk long, run_id long, smallest binary").unionByName(copies, allowMissingColumns=True)
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_cut(length, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
