@@ -72,20 +72,20 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 20) -> Da
 
 
 def _bfs(pairs: DataFrame, arcs: DataFrame, max_hops: int) -> DataFrame:
-    state = pairs.select("source", "target", F.col("source").alias("id"), F.array("source").alias("path"))
-    done = state.where("id = target")
-    front, seen = write(state.where("id <> target")), state.select("source", "target", "id")
+    """Levels by source: a source's search serves all its targets, and stops when they are reached."""
+    front = pairs.select(F.col("source").alias("s")).distinct().select("s", F.col("s").alias("id"), F.array("s").alias("path"))
+    found, seen, left = front, front.select("s", "id"), pairs.where("source <> target")
     for _ in range(max_hops):
-        step = front.join(arcs, front["id"] == arcs["at"]).select("source", "target", F.col("to").alias("id"), F.concat("path", F.array("to")).alias("path"))
-        step = step.join(seen, ["source", "target", "id"], "left_anti").groupBy("source", "target", "id").agg(F.min("path").alias("path"))
-        step = write(step)
-        reached = step.where("id = target")
-        done = done.unionByName(reached)
-        front = write(step.join(reached.select("source", "target"), ["source", "target"], "left_anti"))
-        seen = seen.unionByName(step.select("source", "target", "id"))
-        if front.isEmpty():
+        active = front.join(left.select(F.col("source").alias("s")).distinct(), "s", "left_semi")
+        step = active.join(arcs, active["id"] == arcs["at"]).select("s", F.col("to").alias("id"), "path")
+        step = step.join(seen, ["s", "id"], "left_anti").groupBy("s", "id").agg(F.min("path").alias("path"))
+        front = write(step.select("s", "id", F.concat("path", F.array("id")).alias("path")))
+        found, seen = found.unionByName(front), seen.unionByName(front.select("s", "id"))
+        left = write(left.join(front.select(F.col("s").alias("source"), F.col("id").alias("target")), ["source", "target"], "left_anti"))
+        if left.isEmpty() or front.isEmpty():
             break
-    return done.select("source", "target", "path", (F.size("path") - 1).alias("length"))
+    found = found.select(F.col("s").alias("source"), F.col("id").alias("target"), "path")
+    return pairs.join(found, ["source", "target"]).withColumn("length", F.size("path") - 1)
 
 
 def money_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 8, top: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from casegraph.operators import roles as R
 from casegraph.operators import traverse as T
 from casegraph.plans.driver_views import calls, edges, transfers, vertices, with_views
 from casegraph.plans.sqltext import clamp4, sig
-from casegraph.plans.transfer_queries import FLOWS, LEGS
+from casegraph.plans.transfer_queries import FLOWS, HUB, LEGS, MULE, RAPID, VELOCITY
 
 BOTH = "both_ways AS (SELECT src AS id, dst AS nbr, rel, confidence FROM edges UNION ALL SELECT dst, src, rel, confidence FROM edges)"
 
@@ -247,3 +247,9 @@ FROM vertices v LEFT JOIN dg USING (id) LEFT JOIN nb USING (id)""", *VE),
     "roles_local": _supplier_transfers(f", {ROLES}", "calls", *VE),
 }
 ORACLES = {k: v.replace(") , ", "), ") for k, v in ORACLES.items()}
+_SUBJECT = {"velocity": "account", "mule": "account", "comm_hub": "caller", "rapid_hop": "concat_ws('>', a, b, c, d)", "dense_cluster": "members"}
+_FOUND = {"sim_swap": ORACLES["sim_swap"], "mule": MULE, "rapid_hop": RAPID, "shared_device": ORACLES["shared_device"], "shared_sim": ORACLES["shared_sim"], "velocity": VELOCITY, "comm_hub": HUB, "hub_edges": ORACLES["hub_edges"], "dense_cluster": ORACLES["dense_clusters"]}
+_FOUND = {k: v.replace(") , ", "), ") for k, v in _FOUND.items()}
+ORACLES["findings_all"] = " UNION ALL ".join(f"SELECT 'c1' AS case_id, '{k}' AS pattern, {_SUBJECT.get(k, 'id')} AS subject, score, confidence FROM ({v})" for k, v in _FOUND.items())
+ORACLES["analysis"] = f"""WITH f AS ({ORACLES['findings_all']}), p AS (SELECT case_id, pattern, count(*) AS n, max(score) AS top FROM f GROUP BY 1, 2)
+SELECT case_id, sum(n)::BIGINT AS total, max(top) AS top_score, string_agg(pattern || '=' || n, ',' ORDER BY pattern) AS by_pattern FROM p GROUP BY case_id"""
