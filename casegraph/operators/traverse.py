@@ -219,4 +219,6 @@ def maximal_cliques(edges: DataFrame, max_size: int = 12) -> DataFrame:
         state = state.where(F.size("grow") > 0)
     else:
         found = before if found is None else found.unionByName(before)
+    if found is None:  # not one triangle
+        found = out.select(F.array("u").alias("m")).limit(0)
     return found.select(F.array_sort("m").alias("members"))

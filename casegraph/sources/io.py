@@ -40,7 +40,7 @@ def read_delimited(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     rows = lines.withColumn("sep", sep).where("sep IS NOT NULL").withColumn("names", F.split(head, F.concat(F.lit(r"\Q"), F.col("sep"), F.lit(r"\E"))))
     rows = rows.select("source_file", "sep", "names", F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("row", "line"))
     values = F.split("line", F.concat(F.lit(r"\Q"), F.col("sep"), F.lit(r"\E")), -1)
-    return rows.select("source_file", "row", F.map_from_arrays(F.transform("names", F.trim), F.transform(F.sequence(F.lit(1), F.size("names")), lambda k: F.trim(F.try_element_at(values, k)))).alias("fields"))
+    return rows.select("source_file", "row", F.map_from_arrays(F.transform("names", lambda n: F.trim(n)), F.transform(F.sequence(F.lit(1), F.size("names")), lambda k: F.trim(F.try_element_at(values, k)))).alias("fields"))
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
