@@ -32,7 +32,7 @@ def read_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_delimited(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """IO-3: text files with a header, each with the first separator that splits it: source_file, and `fields`, a map from header to value."""
-    lines = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_name").alias("source_file"), F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
+    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
     head = F.try_element_at("lines", F.lit(1))
     sep = F
     for s in SEPARATORS:
@@ -117,7 +117,10 @@ def of_case(rows: DataFrame, case_id: str, fallback_all: bool = False) -> DataFr
 
 
 def validate_files(files: DataFrame, max_mb: float = 50) -> DataFrame:
-    """IO-16: rows of the binaryFile source with the errors of each: extension, size, emptiness, length of the name."""
+    """IO-16: rows of the binaryFile source with the errors of each: extension, size, length of the name, missing data rows, broken JSON.
+
+    Spark's file sources skip files without a byte: one that was listed but has no row here is empty.
+    """
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     text = F.decode("content", "UTF-8")
