@@ -12,15 +12,15 @@ from tests.llm.test_llm import brute_hits, brute_near, sentence
 
 def test_stages(spark, tmp_path):
     rng = random.Random(12)
-    good = [sentence(rng, rng.randint(30, 90)) for _ in range(60)]
+    good = [sentence(rng, rng.randint(30, 90)) for _ in range(160)]
     item = sentence(rng, 20)
     rows = [(i, t) for i, t in enumerate(good)]
-    rows += [(100 + i, t + " tail") for i, t in enumerate(good[:6])]  # near copies
-    rows += [(200 + i, " ".join([t.split()[0]] * 60)) for i, t in enumerate(good[:40])]  # junk
-    rows += [(300, item + " " + sentence(rng, 10)), (301, sentence(rng, 30) + "\n" + good[0])]
+    rows += [(500 + i, t + " tail") for i, t in enumerate(good[:6])]  # near copies
+    rows += [(1000 + i, " ".join([t.split()[0]] * 60)) for i, t in enumerate(good[:140])]  # junk
+    rows += [(2000, item + " " + sentence(rng, 10)), (2001, sentence(rng, 30) + "\n" + good[0])]
     docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, int(not 200 <= i < 300)) for i, _ in rows], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, int(not 1000 <= i < 2000)) for i, _ in rows], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     d, now, kept = str(tmp_path), docs, []
     for _, stage in cp.STAGES:
@@ -29,12 +29,12 @@ def test_stages(spark, tmp_path):
         kept.append(now)
         assert now.columns[:5] == docs.columns and now.select("doc_id").exceptAll(before.select("doc_id")).where(F.lit(stage is not cp.mixing_stage)).count() == 0
     ids = [{r["doc_id"] for r in k.collect()} for k in kept]
-    assert not any(200 <= i < 300 for i in ids[0]) and len(ids[0]) >= 66
-    assert kept[1].where("doc_id = 301").first()["text"].count("\n") == 0
+    assert sum(1000 <= i < 2000 for i in ids[0]) <= 14 and sum(i < 1000 for i in ids[0]) >= 160
+    assert kept[1].where("doc_id = 2001").first()["text"].count("\n") == 0
     text = {r["doc_id"]: r["text"] for r in kept[1].collect()}
     near = brute_near(list(text.items()), 5, 80, 100)
     assert ids[2] == {i for i in text if near[i][1] == i}
     hits = brute_hits([(i, text[i]) for i in ids[2]], [(1, item)])
-    assert ids[3] == {i for i in ids[2] if not hits[i][3]} and 300 not in ids[3]
+    assert ids[3] == {i for i in ids[2] if not hits[i][3]} and 2000 not in ids[3]
     assert ids[4] <= ids[3] and kept[4].where("copy > 2").count() == 0
     assert cp.run(spark, d).count() == kept[4].count()
