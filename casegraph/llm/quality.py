@@ -15,6 +15,8 @@ each; without any label every score is 0.5; columns named like a result are repl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,25 +32,23 @@ NGRAMS = (2, 3, 4)
 EPOCHS = 6
 RATE = 0.5
 THRESHOLD = 0.7
+BLOCK = 1 << 19  # bytes of text scored at a time
 
 
-def occurrences(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and buckets of all features of a block: words, word pairs, character n-grams."""
+def occurrences(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and buckets of all features of a block, one kind at a time: words, word pairs, character n-grams."""
     row, start, end = tx.words(data, at, ~tx.BLANK)
     h = tx.span_hashes(data, start, end)
     shift = np.uint64(64 - bits)
-    rows, buckets = [row], [((h * np.uint64(3)) >> shift).astype(np.int64)]
+    yield row, ((h * np.uint64(3)) >> shift).astype(np.int64)
     if len(h) > 1:
         inside = row[1:] == row[:-1]
         pair = np.where(h[1:] == h[:-1], np.uint64(0x5A5A5A5A5A5A5A5A), tx.mix64(h[:-1] * np.uint64(31) + h[1:]))
-        rows.append(row[1:][inside])
-        buckets.append((pair[inside] >> shift).astype(np.int64))
+        yield row[1:][inside], (pair[inside] >> shift).astype(np.int64)
+    del row, start, end, h
     points, p_at = tx.code_points(data, at)
     for n in NGRAMS:
-        r, b = ft.char_ngrams(points, p_at, n, bits)
-        rows.append(r)
-        buckets.append(b)
-    return np.concatenate(rows), np.concatenate(buckets)
+        yield ft.char_ngrams(points, p_at, n, bits)
 
 
 class Model:
@@ -58,11 +58,12 @@ class Model:
         self.table, self.bias = table.astype(np.float32), float(bias)
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        row, bucket = occurrences(data, at)
         n = len(at) - 1
-        total = np.bincount(row, self.table[bucket], n)
-        count = np.maximum(np.bincount(row, minlength=n), 1)
-        return 1 / (1 + np.exp(-np.clip(total / count + self.bias, -30, 30)))
+        total, count = np.zeros(n), np.zeros(n)
+        for row, bucket in occurrences(data, at):
+            total += np.bincount(row, self.table[bucket], n)
+            count += np.bincount(row, minlength=n)
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)))
 
 
 def train(rows: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
@@ -72,7 +73,7 @@ def train(rows: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epochs:
     bias = np.zeros(2, np.float32)
     docs = []
     for text, label in rows:
-        _, bucket = occurrences(*ft.to_buffers([text]), bits)
+        bucket = np.concatenate([b for _, b in occurrences(*ft.to_buffers([text]), bits)])
         if len(bucket):
             u, c = np.unique(bucket, return_counts=True)
             docs.append((u, (c / c.sum()).astype(np.float32), int(label)))
@@ -106,12 +107,12 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = ft.SAMPLE_ROWS) -> Model:
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs plus score and predicted; the text stays."""
     rows = docs.select(*quoted(others(docs, "score", "predicted", "_text")), F.col("text").alias("_text"))
-    out = ft.scored(rows, [("score", pa.float64(), "double")], lambda data, at: [model.score(data, at)], "_text")
+    out = ft.scored(rows, [("score", pa.float64(), "double")], lambda data, at: [model.score(data, at)], "_text", BLOCK)
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    out = ft.scored(docs, [("score", pa.float64(), "double")], lambda data, at: [model.score(data, at)])
+    out = ft.scored(docs, [("score", pa.float64(), "double")], lambda data, at: [model.score(data, at)], limit=BLOCK)
     return out.select("doc_id", ft.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
