@@ -1,26 +1,27 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Each step is one window minimum per node: no neighbour list is ever collected, and the number of steps grows with
-the logarithm of the longest path. Steps are written out between rounds, so lost executors redo one round at most.
+Each step takes the least neighbour of every node (aggregated before it is shuffled) and joins it back to the edges, so
+the edges of a hub may be split over tasks: no neighbour list is ever collected or sorted in one place, and the number
+of steps grows with the logarithm of the longest path. Steps are written out between rounds, so lost executors redo one round at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+    least = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))
     return least.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     # Every row has u > v here.
-    least = edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    least = edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
     return least.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
 
 
