@@ -4,13 +4,15 @@ Every document is its set of word shingles, hashed once. The k least values are
  1. Documents of equal sets fold into classes (a hot group is one row from here on).
  2. Inverted lists: each pair of neighbouring values among a class's `PROBES` least gets a list of the classes that
     retain both. Classes as similar as the threshold share about 16 lists of 23; fewer than `OVERLAP` shared lists
-    have a chance of about 1e-5 at the very threshold, and none at all where the whole set is retained.
+    have a chance of about 1e-5 at the very threshold. Sets retained whole can have so few lists that links share
+    fewer: for them the overlap asked for is what every link must share (`needs`), so none is missed.
  3. Lists of up to `LONG` classes give all their pairs, counted: a pair is kept if the lists shared, with the long
     lists that both are in, reach the overlap.
- 4. So only classes in OVERLAP or more long lists (members of large near-copy groups) still need pairs from long
+ 4. So only classes in as many long lists as their overlap (members of large near-copy groups) still need pairs from long
     lists. There each meets the hub of its list (the class whose own lists are longest: what the others were copied
     from), the runner-up and its neighbour by rank; links found so join most of a group.
- 5. Those outside the largest component of a long list meet the whole list, in blocks of bounded size: a matrix
+ 5. Those outside the largest component of a long list meet the whole list (but for each class's last lists in the order
+    of keys, one fewer than its overlap: linked classes share an earlier one), in blocks of bounded size: a matrix
     product of larger sketches counts common values, and one pair for each component that a class could join goes on.
  6. Everywhere the union sketch (the k least of both) estimates the similarity; what is clearly below the threshold
     (four standard errors) goes, the rest is confirmed on the full sets. Links join into components.
@@ -28,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegraph.llm import text as tx
@@ -41,7 +43,6 @@ K = 64
 K_LONG = 512
 PROBES = 24
 OVERLAP = 5
-ASKED = 10  # long lists in which a class looks for links
 LONG = 32
 BLOCK = 2048  # classes of a long list in one task
 BROADCAST_ROWS = 1_000_000
@@ -54,8 +55,38 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarr
     return tx.distinct_by_row(*tx.shingles(row, tx.span_hashes(data, start, end), len(at) - 1, width))
 
 
-def sketches(docs: DataFrame, width: int, k: int = K, probes: int = PROBES) -> DataFrame:
-    """doc_id, n (set size), set_id, sketch (upper halves of the k least hashes), keys (of the inverted lists)."""
+def shared_keys(n: int, t: tuple[int, int], probes: int = PROBES) -> int:
+    """What a set of n <= probes values shares at least, in keys, with any linked set that is not smaller.
+
+    Of u values in the union c are common: each of the other u - c parts at most one of the c - 1 neighbouring pairs, and
+    the larger set's values beyond the probes have no key.
+    """
+    num, den = t
+    found = []
+    for c in range(1, n + 1):
+        u = den * c // num
+        if u >= 2 * n - c:
+            found.append(2 * c - u - 1 - max(0, u - n + c - probes))
+    return min(found, default=OVERLAP)
+
+
+def needs(t: tuple[int, int]) -> tuple[list[int], int]:
+    """Overlap that a pair needs by the size of either set (from 1; OVERLAP beyond the list), and the size up to which sets are
+    keyed on single values too, since neighbouring ones guarantee nothing."""
+    num, den = t
+    own = [min(OVERLAP, shared_keys(n, t)) for n in range(1, PROBES + 1)]
+    single = max((n for n in range(1, PROBES + 1) if own[n - 1] < 1), default=0) * den // num
+    least = lambda n: min(own[a - 1] if a <= PROBES else OVERLAP for a in range(-(-n * num // den), n + 1))
+    return [1 if n <= single else least(n) for n in range(1, PROBES * den // num + 1)], single
+
+
+def _need(n: str, t: tuple[int, int]) -> Column:
+    of = needs(t)[0]
+    return F.coalesce(F.get(F.array(*[F.lit(x) for x in of]), (F.col(n) - 1).cast("int")), F.lit(OVERLAP))
+
+
+def sketches(docs: DataFrame, width: int, k: int = K, probes: int = PROBES, single: int = 0) -> DataFrame:
+    """doc_id, n (set size), set_id, sketch (upper halves of the k least hashes), keys (of the inverted lists; sets of up to `single` values have each value as a key too)."""
 
     def run(batches):
         for batch in batches:
@@ -69,7 +100,8 @@ def sketches(docs: DataFrame, width: int, k: int = K, probes: int = PROBES) -> D
                     n.append(y - x)
                     ids.append(hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() if y > x else None)
                     sk.append((h[x : min(y, x + k)] >> np.uint64(32)).astype("<u4").tobytes())
-                    keys.append(tx.mix64(least[:-1] * np.uint64(3) + least[1:]).astype("<i8").tobytes())
+                    key = tx.mix64(least[:-1] * np.uint64(3) + least[1:])
+                    keys.append((key if y - x > single else np.concatenate([key, h[x:y]])).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sk, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "n", "set_id", "sketch", "keys"])
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id binary, sketch binary, keys binary")
@@ -104,12 +136,15 @@ def _lists(classes: DataFrame, least: int) -> DataFrame:
     return lists.withColumn("hub", F.sum("cnt").over(Window.partitionBy("id")))
 
 
-def _short_pairs(lists: DataFrame, hot: DataFrame) -> DataFrame:
-    """a < b from the short lists, whose overlap can reach OVERLAP."""
-    short = lists.where(F.col("cnt") <= LONG).join(hot, "id", "left").select("key", F.struct("id", F.coalesce("h", F.lit(0)).alias("h")).alias("m"))
+def _short_pairs(lists: DataFrame, hot: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """a < b from the short lists, whose overlap can reach what they need."""
+    member = F.struct("id", F.coalesce("h", F.lit(0)).alias("h"), _need("n", t).alias("need")).alias("m")
+    short = lists.where(F.col("cnt") <= LONG).join(hot.select("id", "h"), "id", "left").select("key", member)
     short = short.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("ms"))  # LONG at most
-    every = F.flatten(F.transform("ms", lambda a: F.transform(F.filter("ms", lambda b: b["id"] > a["id"]), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b"), F.least(a["h"], b["h"]).alias("h")))))
-    return short.select(F.inline(every)).groupBy("a", "b").agg(F.count("*").alias("o"), F.first("h").alias("h")).where(F.col("o") + F.col("h") >= OVERLAP).select("a", "b")
+    pair = lambda a, b: F.struct(a["id"].alias("a"), b["id"].alias("b"), F.least(a["h"], b["h"]).alias("h"), F.greatest(a["need"], b["need"]).alias("need"))
+    every = F.flatten(F.transform("ms", lambda a: F.transform(F.filter("ms", lambda b: b["id"] > a["id"]), lambda b: pair(a, b))))
+    pairs = short.select(F.inline(every)).groupBy("a", "b").agg(F.count("*").alias("o"), F.first("h").alias("h"), F.first("need").alias("need"))
+    return pairs.where(F.col("o") + F.col("h") >= F.col("need")).select("a", "b")
 
 
 def _star_pairs(long: DataFrame) -> DataFrame:
@@ -128,7 +163,10 @@ def _star_pairs(long: DataFrame) -> DataFrame:
 def _rest_pairs(long: DataFrame, components: DataFrame, big: DataFrame, t: tuple[int, int], k: int) -> DataFrame:
     """Pairs of different components in long lists, block against block: one side are the classes outside the list's largest component."""
     num, den = t
-    m = long.select("key", "id").join(components.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    # Linked classes that meet in long lists only share `need` of them: both keep the first shared one in the order of keys.
+    order = F.row_number().over(Window.partitionBy("id").orderBy("key"))
+    m = long.withColumn("place", order).where(F.col("place") <= F.col("h") - F.col("need") + 1)
+    m = m.select("key", "id").join(components.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     m = materialise(m)
     sizes = m.groupBy("key", "comp").agg(F.count("*").alias("s"))
     lists = sizes.groupBy("key").agg(F.max(F.struct("s", "comp"))["comp"].alias("main"), F.sum("s").alias("all"), F.max("s").alias("top")).where(F.col("top") < F.col("all"))
@@ -136,8 +174,7 @@ def _rest_pairs(long: DataFrame, components: DataFrame, big: DataFrame, t: tuple
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     n_x, n_y = blocks(F.col("all") - F.col("top")), blocks(F.col("all"))
     slot = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    asked = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("key"), "key"))
-    x = m.where(F.col("comp") != F.col("main")).withColumn("ask", asked).where(F.col("ask") <= ASKED).select("key", "id", "comp", slot(n_x).alias("bx"), F.explode(F.sequence(F.lit(0), n_y - 1)).alias("by"), F.lit(True).alias("x"))
+    x = m.where(F.col("comp") != F.col("main")).select("key", "id", "comp", slot(n_x).alias("bx"), F.explode(F.sequence(F.lit(0), n_y - 1)).alias("by"), F.lit(True).alias("x"))
     y = m.select("key", "id", "comp", F.explode(F.sequence(F.lit(0), n_x - 1)).alias("bx"), slot(n_y).alias("by"), F.lit(False).alias("x"))
     rows = x.unionByName(y).join(big.select("id", "n", "sketch"), "id")
 
@@ -236,18 +273,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, i
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     num, den = threshold
     least = next(n for n in range(1, 10**6) if den * n >= num * (n + 1))  # smaller sets are linked to equal ones only
-    sk = materialise(sketches(docs, width))
+    sk = materialise(sketches(docs, width, single=needs(threshold)[1]))
     classes = sk.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     classes = materialise(classes)
     lists = materialise(_lists(classes, least))
     long = lists.where(F.col("cnt") > LONG)
-    hot = materialise(long.groupBy("id").agg(F.count("*").cast("int").alias("h")))
-    long = materialise(long.join(hot.where(F.col("h") >= OVERLAP), "id"))
-    pairs = _short_pairs(lists, hot).unionByName(_star_pairs(long)).distinct()
+    hot = materialise(long.groupBy("id").agg(F.count("*").cast("int").alias("h"), F.first("n").alias("n")).withColumn("need", _need("n", threshold)))
+    members = hot.where(F.col("h") >= F.col("need"))
+    long = materialise(long.join(members.drop("n"), "id"))
+    pairs = _short_pairs(lists, hot, threshold).unionByName(_star_pairs(long)).distinct()
     links = materialise(_confirmed(materialise(_estimated(pairs, classes, threshold, K)), docs, width, threshold))
     components = _components(links)
-    if not hot.where(F.col("h") >= OVERLAP).isEmpty():
-        big = sketches(_of(docs, hot.where(F.col("h") >= OVERLAP).select("id")), width, K_LONG).select(F.col("doc_id").alias("id"), "n", "sketch")
+    if not members.isEmpty():
+        big = sketches(_of(docs, members.select("id")), width, K_LONG).select(F.col("doc_id").alias("id"), "n", "sketch")
         more = materialise(_rest_pairs(long, components, materialise(big), threshold, K_LONG))
         if not more.isEmpty():
             components = _components(links.unionByName(_confirmed(more, docs, width, threshold)))

@@ -86,6 +86,29 @@ def test_near_dedup(spark):
     assert [(r["doc_id"], r["component_id"]) for r in twice] == [(1, 1), (1, 1)]
 
 
+def test_near_dedup_of_short_sets(spark):
+    """Every size up to PROBES at the threshold, and groups longer than LONG of small sets: all links are found."""
+    for width, num, den in ((3, 85, 100), (5, 80, 100)):
+        rows = []
+
+        def add(words, rows=rows):
+            rows.append((len(rows), " ".join(words)))
+
+        for n in range(2, near_dedup.PROBES + 1):
+            more = den * n // num - n  # values that the larger set may have besides
+            for copy in range(12):
+                base = [f"w{width}n{n}c{copy}k{k}" for k in range(n + width - 1)]
+                add(base)
+                add([*base, *[f"{base[0]}x{k}" for k in range(more)]] if copy % 2 else [*[f"{base[0]}x{k}" for k in range(more)], *base])
+        for n in (5, 6, 7, 9):  # linked to the first only
+            base = [f"g{width}n{n}k{k}" for k in range(n + width - 1)]
+            add(base)
+            for k in range(2 * near_dedup.LONG):
+                add([*base, f"{base[0]}x{k}"] if k % 2 else [f"{base[0]}x{k}", *base])
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOC).repartition(3), width, (num, den)).collect()}
+        assert got == brute_near(rows, width, num, den)
+
+
 # Substring dedup (4)
 
 
