@@ -308,6 +308,27 @@ def test_fingerprints(spark):
     assert all(r["jaccard"] >= 0.8 for r in pairs.collect()) and members.where("doc_id = 60").first()["class_id"] == 1
 
 
+def test_near_pairs_lists_every_pair_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "SLICE", 5)  # buckets of several slices
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(400)]
+    rows = []
+    for k in range(24):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(len(w))] = f"new{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, sentence(rng, 60)) for k in range(10)] + [(200, rows[3][1])]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows if i < 200}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {k: v for k, v in alike.items() if v >= 0.8}
+    assert len(want) > 250
+    pairs, members = fingerprint.near_pairs(spark.createDataFrame(rows, DOC).repartition(3))
+    got = pairs.collect()
+    assert {(r["a"], r["b"]): r["jaccard"] for r in got} == pytest.approx(want) and len(got) == len(want)
+    assert members.where("doc_id = 200").first()["class_id"] == 3
+
+
 def _small_ranges(df, size):
     old = fingerprint.with_neighbours
     fingerprint.with_neighbours = lambda docs: old(docs, size)
