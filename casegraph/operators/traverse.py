@@ -54,7 +54,7 @@ def ego_edges(seen: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(s.withColumnRenamed("id", "src"), "src").join(s.withColumnRenamed("id", "dst"), ["seed", "dst"])
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 20) -> DataFrame:
+def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """GR-8: for each (source, target) a shortest directed path, else an undirected one; ties give the least path.
 
     pairs: source, target. Out: source, target, path, length, directed; pairs without a path are missing.
@@ -65,17 +65,17 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 20) -> Da
     pairs = write(pairs)
     found = []
     for direction in ("out", "both"):
-        got = write(_bfs(pairs, write(_arcs(edges, direction)), max_hops)).withColumn("directed", F.lit(direction == "out"))
+        got = write(_bfs(pairs, write(_arcs(edges, direction)))).withColumn("directed", F.lit(direction == "out"))
         found.append(got)
         pairs = write(pairs.join(got.select("source", "target"), ["source", "target"], "left_anti"))
     return found[0].unionByName(found[1])
 
 
-def _bfs(pairs: DataFrame, arcs: DataFrame, max_hops: int) -> DataFrame:
+def _bfs(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
     """Levels by source: a source's search serves all its targets, and stops when they are reached."""
     front = pairs.select(F.col("source").alias("s")).distinct().select("s", F.col("s").alias("id"), F.array("s").alias("path"))
     found, seen, left = front, front.select("s", "id"), pairs.where("source <> target")
-    for _ in range(max_hops):
+    while True:  # ends: every round visits new vertices
         active = front.join(left.select(F.col("source").alias("s")).distinct(), "s", "left_semi")
         step = active.join(arcs, active["id"] == arcs["at"]).select("s", F.col("to").alias("id"), "path")
         step = step.join(seen, ["s", "id"], "left_anti").groupBy("s", "id").agg(F.min("path").alias("path"))
@@ -153,7 +153,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, max_rou
     return state.select("id", "rank")
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None, max_depth: int = 50) -> DataFrame:
+def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None) -> DataFrame:
     """GR-16: (id, betweenness) on the undirected graph, scaled by (N-1)(N-2); from all sources, or from `pivots` of them
     chosen by hash and scaled by N / pivots (Brandes and Pich, 2007). All sources advance together, level by level."""
     arcs = neighbours(undirected(edges).select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("at"), F.col("nbr").alias("to"))
@@ -164,7 +164,7 @@ def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None
     k = n if pivots is None else min(n, pivots)
     levels = [write(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))]
     seen = levels[0].select("s", "id")
-    for _ in range(max_depth):
+    while True:  # ends: every round visits new vertices
         step = levels[-1].join(arcs, levels[-1]["id"] == arcs["at"]).groupBy("s", F.col("to").alias("id")).agg(F.sum("paths").alias("paths"))
         step = write(step.join(seen, ["s", "id"], "left_anti"))
         if step.isEmpty():
@@ -189,36 +189,47 @@ def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None
     return v.join(total, "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def maximal_cliques(edges: DataFrame, max_size: int = 12) -> DataFrame:
-    """GR-18: members (sorted array) of the maximal cliques of three or more; those beyond max_size come as their parts of that size.
+def maximal_cliques(edges: DataFrame) -> DataFrame:
+    """GR-18: members (sorted array) of the maximal cliques of three or more, of any size.
 
     Edges point from the vertex of lower (degree, id) to the other, so that a hub is pointed at and out-lists stay below
-    the square root of twice the edges. Cliques grow along out-lists, so none comes twice: one join a level. A clique
-    is maximal unless it is part of one of the next level.
+    the square root of twice the edges. Each vertex's task grows the cliques of its out-list (Bron and Kerbosch with a
+    pivot), so none comes twice. A clique is maximal unless some vertex points at all of it.
     """
     und = undirected(edges)
     deg = und.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
     sides = und.join(deg.withColumnsRenamed({"id": "a", "deg": "da"}), "a").join(deg.withColumnsRenamed({"id": "b", "deg": "db"}), "b")
     low = F.struct("da", "a") < F.struct("db", "b")
-    arcs = sides.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
+    arcs = write(sides.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v")))
     out = write(arcs.groupBy("u").agg(F.collect_set("v").alias("out")))
     then = out.select(F.col("u").alias("c"), F.col("out").alias("more"))
-    state = out.select(F.array("u").alias("m"), F.col("out").alias("grow"))
-    found, before = None, None
-    for size in range(2, max_size + 1):
-        state = state.select("m", "grow", F.explode("grow").alias("c")).join(then, "c", "left")
-        state = state.select(F.concat("m", F.array("c")).alias("m"), F.array_intersect("grow", F.coalesce("more", F.array().cast("array<string>"))).alias("grow"))
-        state = write(state) if size > 2 else state
-        if before is not None:
-            parts = F.transform(F.sequence(F.lit(1), F.size("m")), lambda k: F.concat(F.slice("m", 1, k - 1), F.slice("m", k + 1, F.size("m"))))
-            whole = before.join(state.select(F.explode(parts).alias("m")).distinct(), "m", "left_anti")
-            found = whole if found is None else found.unionByName(whole)
-        if size > 2 and state.isEmpty():
-            break
-        before = state.select("m") if size > 2 else None
-        state = state.where(F.size("grow") > 0)
-    else:
-        found = before if found is None else found.unionByName(before)
-    if found is None:  # not one triangle
-        found = out.select(F.array("u").alias("m")).limit(0)
-    return found.select(F.array_sort("m").alias("members"))
+    near = out.where(F.size("out") > 1).select("u", "out", F.explode("out").alias("c")).join(then, "c")
+    near = near.select("u", "c", F.array_intersect("out", "more").alias("near")).where(F.size("near") > 0)
+    grown = F.udf(_cliques, "array<array<string>>")
+    found = near.groupBy("u").agg(F.collect_list(F.struct("c", "near")).alias("arcs")).select("u", F.explode(grown("u", "arcs")).alias("members"))
+    found = write(found)
+    before = arcs.select(F.col("v").alias("u"), F.col("u").alias("w")).join(out.withColumnRenamed("u", "w"), "w")
+    parts = found.join(before, "u").where(F.size(F.array_except("members", "out")) == 0).select("members").distinct()
+    return found.select("members").join(parts, "members", "left_anti").select(F.array_sort("members").alias("members"))
+
+
+def _cliques(u: str, arcs: list) -> list[list[str]]:
+    """The maximal cliques of three or more that hold u, in the graph of u and arcs (c, near) among its neighbours."""
+    adj = {}
+    for c, near in arcs:
+        for x in near:
+            adj.setdefault(c, set()).add(x)
+            adj.setdefault(x, set()).add(c)
+    out, stack = [], [([u], set(adj), set())]
+    while stack:
+        r, p, x = stack.pop()
+        if not p:
+            if not x:
+                out.append(r)
+            continue
+        pivot = max(p | x, key=lambda v: len(adj[v] & p))
+        for v in list(p - adj[pivot]):
+            stack.append(([*r, v], p & adj[v], x & adj[v]))
+            p = p - {v}
+            x = x | {v}
+    return out

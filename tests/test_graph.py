@@ -54,3 +54,13 @@ def test_components_of_a_long_path(spark):
     v = spark.createDataFrame([(f"v{i:03}",) for i in range(n + 3)], "id string")
     got = [r["component"] for r in T.components(v, e).collect()]
     assert got.count("v000") == n + 1 and len(set(got)) == 3
+
+
+def test_no_caps_on_paths_and_cliques(spark):
+    n = 21
+    e = spark.createDataFrame([(f"v{i:02}", f"v{i + 1:02}") for i in range(n)] + [("v00", "w"), ("v21", "w")], "src string, dst string")
+    got = T.shortest_paths(spark.createDataFrame([("v00", "v21")], "source string, target string"), e).collect()
+    assert [(r["length"], r["directed"]) for r in got] == [(n, True)]
+    clique = [f"k{i:02}" for i in range(14)]
+    e = spark.createDataFrame([(a, b) for a in clique for b in clique if a < b] + [("k00", "x"), ("k01", "x"), ("x", "y")], "src string, dst string")
+    assert sorted(r["members"] for r in T.maximal_cliques(e).collect()) == sorted([clique, ["k00", "k01", "x"]])
