@@ -66,6 +66,15 @@ def analysis(spark, d):
     return P.analysis(findings_all(spark, d))
 
 
+def findings_whole(spark, d):
+    """All detectors: findings_all and layering, which has too many chains for SQL."""
+    return findings_all(spark, d).unionByName(P.findings(layering=P.layering(transfers(spark, d))))
+
+
+def analysis_whole(spark, d):
+    return P.analysis(findings_whole(spark, d))
+
+
 def graph_filter(spark, d):
     _, e = G.filter_graph(*_ve(spark, d), types=["person", "bank_account"], rels=["transferred_to"], min_confidence=0.5, evidence_source="inferred")
     return e
@@ -225,6 +234,7 @@ VE = ("vertices", "edges")
 
 QUERIES = {
     "hub_edges": hub_edges, "sim_swap": sim_swap, "shared_device": shared_device, "shared_sim": shared_sim, "triangles": triangles, "dense_clusters": dense_clusters, "findings_all": findings_all, "analysis": analysis,
+    "findings_whole": findings_whole, "analysis_whole": analysis_whole,
     "graph_filter": graph_filter, "graph_build": graph_build, "ego2": ego2, "shortest_path": shortest_path, "money_paths": money_paths, "components": components, "component_sizes": component_sizes,
     "search": search, "node_detail": node_detail, "degree": degree, "typed_nbrs": typed_nbrs, "pagerank3": pagerank3, "betweenness_small": betweenness_small, "role_volumes": role_volumes, "roles_local": roles_local,
 }
