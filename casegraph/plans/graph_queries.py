@@ -123,6 +123,15 @@ def component_sizes(spark, d):
     return s.withColumn("index", F.col("index").cast("long"))
 
 
+def components_whole(spark, d):
+    """Over the edges of every relation."""
+    return T.components(*_ve(spark, d))
+
+
+def component_sizes_whole(spark, d):
+    return T.component_sizes(components_whole(spark, d)).withColumn("index", F.col("index").cast("long"))
+
+
 def search(spark, d):
     return G.search(vertices(spark, d), "aTION").select("id", "type", "label")
 
@@ -144,6 +153,11 @@ def pagerank3(spark, d):
     return T.pagerank(v, e, fixed_rounds=3).withColumn("rank", F.round("rank", 9))
 
 
+def pagerank_whole(spark, d):
+    """To its tolerance."""
+    return T.pagerank(*_ve(spark, d))
+
+
 def betweenness_small(spark, d):
     """Suppliers, customers and nations along USES and LINKED_TO: a forest of stars joined by nation."""
     v, e = _ve(spark, d)
@@ -236,6 +250,7 @@ QUERIES = {
     "hub_edges": hub_edges, "sim_swap": sim_swap, "shared_device": shared_device, "shared_sim": shared_sim, "triangles": triangles, "dense_clusters": dense_clusters, "findings_all": findings_all, "analysis": analysis,
     "findings_whole": findings_whole, "analysis_whole": analysis_whole,
     "graph_filter": graph_filter, "graph_build": graph_build, "ego2": ego2, "shortest_path": shortest_path, "money_paths": money_paths, "components": components, "component_sizes": component_sizes,
+    "components_whole": components_whole, "component_sizes_whole": component_sizes_whole, "pagerank_whole": pagerank_whole,
     "search": search, "node_detail": node_detail, "degree": degree, "typed_nbrs": typed_nbrs, "pagerank3": pagerank3, "betweenness_small": betweenness_small, "role_volumes": role_volumes, "roles_local": roles_local,
 }
 ORACLES = {

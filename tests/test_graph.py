@@ -2,8 +2,10 @@
 
 import pytest
 
+from __spark_entry__ import queries
 from casegraph.operators import graph as G
 from casegraph.operators import traverse as T
+from casegraph.plans.driver_views import edges, vertices
 
 ENT = [("ent_001", "PERSON", "Rahul Sharma"), ("ent_002", "PHONE", "9876543210"), ("ent_003", "BANK_ACCOUNT", "HDFC0001234"), ("ent_004", "UPI_ID", "fraud@paytm"), ("ent_005", "VICTIM", "Priya Singh")]
 REL = [("ent_001", "ent_002", "OWNS", 0.85, "observed"), ("ent_001", "ent_003", "OWNS", 0.72, "inferred"), ("ent_004", "ent_003", "TRANSFERRED_TO", 0.78, "observed"), ("ent_005", "ent_001", "ASSOCIATED_WITH", 0.65, "inferred")]
@@ -64,3 +66,19 @@ def test_no_caps_on_paths_and_cliques(spark):
     clique = [f"k{i:02}" for i in range(14)]
     e = spark.createDataFrame([(a, b) for a in clique for b in clique if a < b] + [("k00", "x"), ("k01", "x"), ("x", "y")], "src string, dst string")
     assert sorted(r["members"] for r in T.maximal_cliques(e).collect()) == sorted([clique, ["k00", "k01", "x"]])
+
+
+def test_registered_components_follow_every_relation(spark):
+    d, root = "/root/testdata/sf0.001", {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for r in edges(spark, d).select("src", "dst").distinct().collect():
+        x, y = sorted((find(r["src"]), find(r["dst"])))
+        root[y] = x
+    got = {r["id"]: r["component"] for r in queries()["components_whole"](spark, d).collect()}
+    assert got == {r["id"]: find(r["id"]) for r in vertices(spark, d).select("id").collect()}
+    assert sum(r["rank"] for r in queries()["pagerank_whole"](spark, d).collect()) == pytest.approx(1)
