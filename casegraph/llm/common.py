@@ -1,34 +1,18 @@
-"""Helpers shared by the corpus operators: reading tables, materialising, column clashes."""
+"""Helpers shared by the corpus operators: reading tables, column clashes. Materialising is that of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegraph.functions.scratch import materialise, passing
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where the session names none."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="casegraph-")
-        sc.setCheckpointDir(found)
-    return found
+__all__ = ["corpus_bytes", "fresh", "materialise", "others", "passing", "quoted", "small", "table"]
+BROADCAST_ROWS = 100_000
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/casegraph/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def others(df: DataFrame, *taken: str) -> list[str]:
@@ -37,10 +21,23 @@ def others(df: DataFrame, *taken: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in lower]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    lower = {c.lower() for c in df.columns}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def quoted(names: list[str]) -> list:
     return [F.col(f"`{n}`") for n in names]
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (materialised, narrow rows), marked for broadcast where its counted rows are few."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def corpus_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts: what block and bucket counts are derived from."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

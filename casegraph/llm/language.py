@@ -2,11 +2,12 @@
 
 Document frequencies of the hashed n-grams are counted over all documents outside the held-out quarter that have a
 language, in Spark. The weights are trained by FTRL-proximal with an elastic net (l1 makes them sparse) on a bounded
-sample of those, and the probabilities are calibrated by a temperature fitted on a part of the sample that the
-weights never saw. Scoring is one dense count per block of documents and never shuffles.
+sample of those (features.learn, in one task), and the probabilities are calibrated by a temperature fitted on a part
+of the sample that the weights never saw. Scoring is one dense count per block of documents and never shuffles.
 
-Defined results: null texts and texts without a letter are `und` with score 0; repeated rows are scored each; if
-there is no language to learn, every text is `und`; columns named like a result are replaced.
+Defined results: null texts and texts without a letter are `und` with score 0; texts of any length are judged whole
+(features: parts of 4 MB); repeated rows are scored each; equal scores go to the first language by name; if there is no
+language to learn, every text is `und`; an empty table gives no rows; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from casegraph.llm import features as ft
 from casegraph.llm import text as tx
-from casegraph.llm.common import others, quoted, table
+from casegraph.llm.common import fresh, others, quoted, table
 
 BITS = 13
 NGRAMS = (1, 2, 3)
@@ -31,17 +32,25 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def counts(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Dense n-gram counts, one row per document of the block."""
-    points, p_at = tx.code_points(data, at)
-    upper = (points >= 65) & (points <= 90) | (points >= 0xC0) & (points <= 0xDE) & (points != 0xD7)
-    points = points + np.where(upper, np.uint32(32), np.uint32(0))
     n = len(at) - 1
     out = np.zeros(n << bits, np.float32)
-    for k in NGRAMS:
-        row, bucket = ft.char_ngrams(points, p_at, k, bits)
-        out += np.bincount((row << bits) + bucket, minlength=n << bits)
+    for part, part_at in tx.pieces(data, at):
+        points, p_at = tx.code_points(part, part_at)
+        upper = (points >= 65) & (points <= 90) | (points >= 0xC0) & (points <= 0xDE) & (points != 0xD7)
+        points = points + np.where(upper, np.uint32(32), np.uint32(0))
+        for k in NGRAMS:
+            row, bucket = ft.char_ngrams(points, p_at, k, bits)
+            out += np.bincount((row.astype(np.int64) << bits) + bucket, minlength=n << bits)
     return out.reshape(n, 1 << bits)
 
 
+def tally(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of one text and their counts."""
+    row = counts(text, np.array([0, len(text)]))[0]
+    used = np.flatnonzero(row)
+    return used, row[used]
+
+
 def _pieces(data: np.ndarray, at: np.ndarray):
     for a in range(0, len(at) - 1, ROWS):
         b = min(a + ROWS, len(at) - 1)
@@ -100,18 +109,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.001, epochs: int = 4, seed: int = 11) -> Model:
-    """FTRL-proximal, one document a step; every fifth row is left to the temperature."""
-    languages = sorted({v for _, v in rows})
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.001, epochs: int = 4, seed: int = 11) -> Model:
+    """FTRL-proximal, one document a step; every fifth row is left to the temperature. rows: buckets, their counts, language."""
+    languages = sorted({v for _, _, v in rows})
     k, size = len(languages), len(idf)
     z, n, w = np.zeros((size, k)), np.zeros((size, k)), np.zeros((size, k))
     zb = nb = b = np.zeros(k)
     rng = np.random.default_rng(seed)
     x = []
-    for text, v in rows:
-        row = tfidf(counts(*ft.to_buffers([text])), idf)[0]
-        used = np.flatnonzero(row)
-        x.append((used, row[used], languages.index(v)))
+    for used, count, v in rows:
+        value = np.log1p(count) * idf[used]
+        x.append((used, (value / max(np.sqrt((value * value).sum()), 1e-9)).astype(np.float32), languages.index(v)))
     fit, held = [d for i, d in enumerate(x) if i % 5], x[::5] if len(x) >= 10 else x
 
     def weights(z_, n_, l1_):
@@ -140,17 +148,24 @@ def train(rows: list[tuple[str, str]], idf: np.ndarray, alpha: float = 0.5, beta
 
 def fit(docs: DataFrame, n: int = ft.SAMPLE_ROWS) -> Model:
     rows = docs.select("doc_id", "text", "lang").where(~ft.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    drawn = ft.sample(rows, None, "lang", n)
-    if not drawn:
-        return Model([], np.zeros((1 << BITS, 1)), np.zeros(1), np.zeros(1 << BITS))
     df, total = document_frequencies(rows)
-    return train(drawn, np.log((1 + total) / (1 + df)) + 1)
+    idf = np.log((1 + total) / (1 + df)) + 1
+
+    def trained(taken: list) -> dict:
+        m = train(taken, idf)
+        return {"languages": m.languages, "weights": m.weights.tobytes(), "bias": m.bias.tobytes(), "temperature": m.temperature}
+
+    got = ft.learn(rows, None, "lang", tally, trained, "languages array<string>, weights binary, bias binary, temperature double", n)
+    if not got:
+        return Model([], np.zeros((1 << BITS, 1)), np.zeros(1), idf)
+    return Model(got["languages"], np.frombuffer(got["weights"], np.float32).reshape(1 << BITS, -1), np.frombuffer(got["bias"]), idf, got["temperature"])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs plus lang_pred and score; the text stays."""
-    rows = docs.select(*quoted(others(docs, "lang_pred", "score", "_text")), F.col("text").alias("_text"))
-    return ft.scored(rows, [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double")], model.predict, "_text", BLOCK)
+    text = fresh(docs, "_text")
+    rows = docs.select(*quoted(others(docs, "lang_pred", "score")), F.col("text").alias(text))
+    return ft.scored(rows, [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double")], model.predict, text, BLOCK)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ A word that repeats the one before it makes the pair <same>, whatever the word.
 needs one number per bucket (vector times output weights), so a document costs one table lookup per feature
 and never shuffles.
 
-Training draws a bounded sample (features.sample) of labelled rows outside the held-out quarter. Labels are
-judged by doc_id: if they contradict, the lowest quality counts.
+Training draws a bounded sample (features.learn) of labelled rows outside the held-out quarter, in one task. Labels
+are judged by doc_id: if they contradict, the lowest quality counts.
 
-Defined results: null and empty texts have no feature and get the score of the bias alone; repeated rows are scored
-each; without any label every score is 0.5; columns named like a result are replaced.
+Defined results: null and empty texts have no feature and get the score of the bias alone; texts of any length are
+scored whole (features: parts of 4 MB); repeated rows are scored each; equal texts have equal scores; without any label
+every score is 0.5; an empty table gives no rows; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from casegraph.llm import features as ft
 from casegraph.llm import text as tx
-from casegraph.llm.common import others, quoted, table
+from casegraph.llm.common import fresh, others, quoted, table
 
 BITS = 17
 DIM = 8
@@ -40,17 +41,22 @@ def occurrences(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> Iterator[
     row, start, end = tx.words(data, at, ~tx.BLANK)
     h = tx.span_hashes(data, start, end)
     shift = np.uint64(64 - bits)
-    yield row, ((h * np.uint64(3)) >> shift).astype(np.int64)
+    yield row, ((h * np.uint64(3)) >> shift).astype(np.int32)
     if len(h) > 1:
         inside = row[1:] == row[:-1]
         pair = np.where(h[1:] == h[:-1], np.uint64(0x5A5A5A5A5A5A5A5A), tx.mix64(h[:-1] * np.uint64(31) + h[1:]))
-        yield row[1:][inside], (pair[inside] >> shift).astype(np.int64)
+        yield row[1:][inside], (pair[inside] >> shift).astype(np.int32)
     del row, start, end, h
     points, p_at = tx.code_points(data, at)
     for n in NGRAMS:
         yield ft.char_ngrams(points, p_at, n, bits)
 
 
+def tally(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of one text and their counts."""
+    return ft.tallied(np.concatenate([b for _, b in occurrences(*p)]) for p in tx.pieces(text, np.array([0, len(text)])))
+
+
 class Model:
     """One number per bucket and a bias: the difference of the two softmax inputs."""
 
@@ -60,27 +66,25 @@ class Model:
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         n = len(at) - 1
         total, count = np.zeros(n), np.zeros(n)
-        for row, bucket in occurrences(data, at):
-            total += np.bincount(row, self.table[bucket], n)
-            count += np.bincount(row, minlength=n)
+        for piece in tx.pieces(data, at):
+            for row, bucket in occurrences(*piece):
+                total += np.bincount(row, self.table[bucket], n)
+                count += np.bincount(row, minlength=n)
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)))
 
 
-def train(rows: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+def train(docs: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+    """docs: buckets, their counts, label."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     out = np.zeros((dim, 2), np.float32)
     bias = np.zeros(2, np.float32)
-    docs = []
-    for text, label in rows:
-        bucket = np.concatenate([b for _, b in occurrences(*ft.to_buffers([text]), bits)])
-        if len(bucket):
-            u, c = np.unique(bucket, return_counts=True)
-            docs.append((u, (c / c.sum()).astype(np.float32), int(label)))
+    docs = [d for d in docs if len(d[0])]
     steps = max(1, epochs * len(docs))
     for e in range(epochs):
         for k, d in enumerate(rng.permutation(len(docs))):
-            u, share, label = docs[d]
+            u, c, label = docs[d]
+            share = c / c.sum()
             lr = rate * (1 - (e * len(docs) + k) / steps)
             v = vectors[u]
             hidden = share @ v
@@ -100,14 +104,20 @@ def train(rows: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epochs:
 def fit(docs: DataFrame, labels: DataFrame, n: int = ft.SAMPLE_ROWS) -> Model:
     """Learn from labelled documents outside the held-out quarter."""
     marks = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    drawn = ft.sample(docs.select("doc_id", "text"), marks, "_quality", n)
-    return train(drawn) if drawn else Model(np.zeros(1 << BITS), 0.0)
+
+    def trained(taken: list) -> dict:
+        model = train(taken)
+        return {"weights": model.table.tobytes(), "bias": model.bias}
+
+    got = ft.learn(docs.select("doc_id", "text"), marks, "_quality", tally, trained, "weights binary, bias double", n)
+    return Model(np.frombuffer(got["weights"], np.float32), got["bias"]) if got else Model(np.zeros(1 << BITS), 0.0)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs plus score and predicted; the text stays."""
-    rows = docs.select(*quoted(others(docs, "score", "predicted", "_text")), F.col("text").alias("_text"))
-    out = ft.scored(rows, [("score", pa.float64(), "double")], lambda data, at: [model.score(data, at)], "_text", BLOCK)
+    text = fresh(docs, "_text")
+    rows = docs.select(*quoted(others(docs, "score", "predicted")), F.col("text").alias(text))
+    out = ft.scored(rows, [("score", pa.float64(), "double")], lambda data, at: [model.score(data, at)], text, BLOCK)
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+PIECE_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -43,6 +44,50 @@ def blocks(at: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
         start = end
 
 
+def pieces(data: np.ndarray, at: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The block itself; where it is one longer row, parts of it, cut after a blank (or else between characters)."""
+    lo, n = 0, len(data)
+    if len(at) != 2 or n <= limit:
+        yield data, at
+        return
+    while lo < n:
+        hi = min(n, lo + limit)
+        if hi < n:
+            blank = np.flatnonzero(BLANK[data[max(lo, hi - (1 << 16)) : hi]])
+            if len(blank):
+                hi = max(lo, hi - (1 << 16)) + int(blank[-1]) + 1
+            while (data[hi] & 0xC0) == 0x80 and hi > lo + 1:
+                hi -= 1
+        yield data[lo:hi], np.array([0, hi - lo])
+        lo = hi
+
+
+def hashed_words(data: np.ndarray, at: np.ndarray, keep: np.ndarray, limit: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and 64-bit hashes of words (runs of bytes for which keep holds), A-Z lower-cased; at starts at 0.
+
+    A longer row is taken in parts that end between words, so that what it needs beside its words is bounded.
+    """
+    if len(data) <= limit:
+        low = LOWER[data]
+        row, start, end = words(low, at, keep)
+        return row, span_hashes(low, start, end)
+    rows, hashes, lo, n = [], [], 0, len(data)
+    while lo < n:
+        hi = min(n, lo + limit)
+        while hi < n:  # on to the next byte that is in no word
+            free = np.flatnonzero(~keep[LOWER[data[hi : hi + limit]]])
+            if len(free):
+                hi += int(free[0])
+                break
+            hi = min(n, hi + limit)
+        first = np.searchsorted(at, lo, "right") - 1
+        row, h = hashed_words(data[lo:hi], np.clip(at[first:] - lo, 0, hi - lo), keep, hi - lo)
+        rows.append(row + first)
+        hashes.append(h)
+        lo = hi
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64 bits (xor-shift and multiply)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
