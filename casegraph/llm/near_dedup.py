@@ -11,16 +11,23 @@ Every document is its set of word shingles, hashed once. The k least values are
  4. So only classes in as many long lists as their overlap (members of large near-copy groups) still need pairs from long
     lists. There each meets the hub of its list (the class whose own lists are longest: what the others were copied
     from), the runner-up and its neighbour by rank; links found so join most of a group.
- 5. Those outside the largest component of a long list meet the whole list (but for each class's last lists in the order
-    of keys, one fewer than its overlap: linked classes share an earlier one), in blocks of bounded size: a matrix
-    product of larger sketches counts common values, and one pair for each component that a class could join goes on.
+ 5. What is left in a long list are links of a class x that is not joined with the hub. They are found by what sets it
+    and its partner apart from the hub: a linked y shares with x more than about half of the values in which y differs
+    from the hub (`departures`). So y gives just under half of those away, gets a list for each other one, and x one for
+    each of its own: these are edits, which few have. Lists of departures that are long again (many copies with the
+    same cut) meet their own hub first; the classes still apart after it meet every other one of their list.
  6. Everywhere the union sketch (the k least of both) estimates the similarity; what is clearly below the threshold
     (four standard errors) goes, the rest is confirmed on the full sets. Links join into components.
-No step lists the pairs of a long list, and no class is dropped or capped.
+No class is dropped or capped. Work is linear in the lists but for step 5's last resort, which is linear in pairs of
+classes that share a departure from a hub, are joined with neither it nor each other, and lie in a long list.
+
+Equal sets and equal shingles are those of equal 128- and 64-bit hashes: two of n different shingles fall together with a
+chance of n * n / 2**65.
 
 Defined results: null texts and texts without words have no set and are linked with nothing; shorter texts than a
-shingle are one shingle; repeated rows are documents of equal sets; rows that share a doc_id are one document; rows
-without doc_id go; an empty table gives no rows; other columns are ignored.
+shingle are one shingle; texts of any length are taken whole; repeated rows are documents of equal sets, each with a row
+of the result; rows that share a doc_id and differ are one document with the least of their texts, and one row; rows without
+doc_id go; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,25 +41,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegraph.llm import text as tx
-from casegraph.llm.common import materialise, table
+from casegraph.llm.common import materialise, passing, table
+from casegraph.llm.pairs import against_heads, common, shingle_sets, sliced, streamed, with_heads
 from casegraph.operators.components import star_components
 
 WIDTH = 5
 THRESHOLD = (80, 100)
 K = 64
-K_LONG = 512
 PROBES = 24
 OVERLAP = 5
 LONG = 32
-BLOCK = 2048  # classes of a long list in one task
-BROADCAST_ROWS = 1_000_000
-
-
-def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and sorted distinct 64-bit shingle hashes; A-Z is lower-cased."""
-    data = tx.LOWER[data]
-    row, start, end = tx.words(data, at, ~tx.BLANK)
-    return tx.distinct_by_row(*tx.shingles(row, tx.span_hashes(data, start, end), len(at) - 1, width))
+SLICE = 2048  # classes of a long list that are ranked together
 
 
 def shared_keys(n: int, t: tuple[int, int], probes: int = PROBES) -> int:
@@ -148,8 +147,8 @@ def _short_pairs(lists: DataFrame, hot: DataFrame, t: tuple[int, int]) -> DataFr
 
 
 def _star_pairs(long: DataFrame) -> DataFrame:
-    """Each class with the hub, the runner-up and its neighbour by rank within a slice of its list (about BLOCK classes)."""
-    slices = F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / BLOCK)).cast("int")
+    """Each class with the hub, the runner-up and its neighbour by rank within a slice of its list."""
+    slices = F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / SLICE)).cast("int")
     w = Window.partitionBy("key", "slice").orderBy(F.desc("hub"), "id")
     ranked = long.select("key", "id", "hub", slices.alias("slice")).withColumns({"c3": F.lag("id").over(w), "rank": F.row_number().over(w)})
     first = F.min(F.struct(-F.col("hub"), "id"))["id"]
@@ -160,56 +159,83 @@ def _star_pairs(long: DataFrame) -> DataFrame:
     return stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
 
 
-def _rest_pairs(long: DataFrame, components: DataFrame, big: DataFrame, t: tuple[int, int], k: int) -> DataFrame:
-    """Pairs of different components in long lists, block against block: one side are the classes outside the list's largest component."""
-    num, den = t
+def _spokes(long: DataFrame, components: DataFrame) -> DataFrame:
+    """head, member, mark, n: the hub of a long list and each class in it, for hubs that some class (mark) is not joined with."""
     # Linked classes that meet in long lists only share `need` of them: both keep the first shared one in the order of keys.
     order = F.row_number().over(Window.partitionBy("id").orderBy("key"))
-    m = long.withColumn("place", order).where(F.col("place") <= F.col("h") - F.col("need") + 1)
-    m = m.select("key", "id").join(components.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    m = materialise(m)
-    sizes = m.groupBy("key", "comp").agg(F.count("*").alias("s"))
-    lists = sizes.groupBy("key").agg(F.max(F.struct("s", "comp"))["comp"].alias("main"), F.sum("s").alias("all"), F.max("s").alias("top")).where(F.col("top") < F.col("all"))
-    m = materialise(m.join(lists, "key"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    n_x, n_y = blocks(F.col("all") - F.col("top")), blocks(F.col("all"))
-    slot = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    x = m.where(F.col("comp") != F.col("main")).select("key", "id", "comp", slot(n_x).alias("bx"), F.explode(F.sequence(F.lit(0), n_y - 1)).alias("by"), F.lit(True).alias("x"))
-    y = m.select("key", "id", "comp", F.explode(F.sequence(F.lit(0), n_x - 1)).alias("bx"), slot(n_y).alias("by"), F.lit(False).alias("x"))
-    rows = x.unionByName(y).join(big.select("id", "n", "sketch"), "id")
-
-    def compare(group: pa.Table) -> pa.Table:
-        side = np.array(group.column("x").to_pylist(), bool)
-        ids, comp, n = (group.column(c).to_numpy() for c in ("id", "comp", "n"))
-        sk = group.column("sketch").to_pylist()
-        length = np.array([len(s) // 4 for s in sk])
-        _, value = np.unique(np.frombuffer(b"".join(sk), "<u4"), return_inverse=True)
-        start = np.cumsum(length) - length
-        # The lists of the block: which y have a value.
-        ys = np.flatnonzero(~side)
-        slot = np.full(len(sk), -1)
-        slot[ys] = np.arange(len(ys))
-        owner = slot[np.repeat(np.arange(len(sk)), length)]
-        mine = np.flatnonzero(owner >= 0)
-        order = mine[np.argsort(value[mine], kind="stable")]
-        posting, cut = owner[order], np.searchsorted(value[order], np.arange(value.max(initial=0) + 2))
-        low = num / den - 4 * math.sqrt(num * (den - num) / den**2 / k)
-        found = []
-        for x in np.flatnonzero(side).tolist():
-            v = value[start[x] : start[x] + length[x]]
-            same = np.bincount(np.concatenate([posting[cut[i] : cut[i + 1]] for i in v.tolist()]), minlength=len(ys)) if len(v) else np.zeros(len(ys), np.int64)
-            q = np.flatnonzero((same >= low * np.maximum(length[x], length[ys])) & (comp[ys] != comp[x]) & (den * np.minimum(n[x], n[ys]) >= num * np.maximum(n[x], n[ys])))
-            same, q = same[q], ys[q]
-            whole = (n[x] <= k) & (n[q] <= k)  # the sketches are the sets: what they share is exact
-            linked = q[whole & (den * same >= num * (n[x] + n[q] - same))]
-            _, first = np.unique(comp[linked], return_index=True)  # one link for each component that it can join
-            found += [(x, y) for y in linked[first].tolist()]
-            found += [(x, y) for y in q[~whole].tolist() if _may_link(estimate(sk[x], sk[y], k), t)]
-        both = np.array(found, np.int64).reshape(-1, 2)
-        a, b = ids[both[:, 0]], ids[both[:, 1]]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    return rows.groupBy("key", "bx", "by").applyInArrow(compare, "a long, b long").distinct()
+    heads = long.groupBy("key").agg(F.min(F.struct(-F.col("hub"), "id"))["id"].alias("head"))
+    s = long.withColumn("place", order).where(F.col("place") <= F.col("h") - F.col("need") + 1)
+    s = s.join(heads, "key").where("id <> head").select("head", F.col("id").alias("member")).distinct()
+    s = _joined(_joined(s, components, "head"), components, "member")
+    s = s.select("head", "member", (F.col("c_head") != F.col("c_member")).alias("mark"))
+    apart = s.groupBy("head").agg(F.count("*").alias("n"), F.max("mark").alias("any")).where("any").select("head", "n")
+    return s.join(apart, "head")
+
+
+def _joined(df: DataFrame, components: DataFrame, name: str) -> DataFrame:
+    """df with c_<name>, the component of the class in that column."""
+    of = components.select(F.col("u").alias(name), F.col("v").alias(f"c_{name}"))
+    return df.join(of, name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
+
+
+def departures(hub: np.ndarray, own: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, int]:
+    """Values in which a set differs from the hub's, its own first, and how many of them need a list.
+
+    With d(s) the values that s and the hub h don't share and c = (1 - t) / (1 + t): x and y are linked if they differ in at
+    most c (|x| + |y|) values, x and h are not linked, so d(x) > c (|x| + |h|), and x and y differ in d(x) + d(y) less
+    twice what d(x) and d(y) share. So they share more than (d(y) + c (|h| - |y|)) / 2 values of d(y), and one of any
+    d(y) values but that many.
+    """
+    num, den = t
+    d = np.concatenate([np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)])
+    spared = (len(d) * (den + num) + (den - num) * (len(hub) - len(own))) // (2 * (den + num))
+    return d, len(d) - spared
+
+
+def _departure_lists(spokes: DataFrame, docs: DataFrame, width: int, t: tuple[int, int]) -> DataFrame:
+    """key, id, x: classes x (not joined with the hub) and their possible partners by the values that set them apart from it."""
+
+    def run(batches):
+        for rows in streamed(batches, width):
+            keys, ids, xs = [], [], []
+            for head, member, x, hub, own in rows:
+                d, few = departures(hub, own, t)
+                salt = tx.mix64(np.array([head], np.int64).view(np.uint64))
+                made = tx.mix64(d ^ salt).view(np.int64)
+                for part, mark in ((made[:few], False), (made, True)) if x else ((made[:few], False),):
+                    keys.append(part)
+                    ids.append(np.full(len(part), member))
+                    xs.append(np.full(len(part), mark))
+            out = [np.concatenate(c) if c else [] for c in (keys, ids, xs)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["key", "id", "x"])
+
+    return against_heads(sliced(spokes), docs, width).mapInArrow(run, "key long, id long, x boolean")
+
+
+def _apart(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """a < b: each x of a list with the others that it is not joined with."""
+    m = _joined(lists, components, "id")
+    x, y = m.where("x").select("key", F.col("id").alias("p"), F.col("c_id").alias("c_p")), m.where("NOT x").select("key", F.col("id").alias("q"), F.col("c_id").alias("c_q"))
+    return x.join(y, "key").where("c_p <> c_q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+def _links_apart(long: DataFrame, links: DataFrame, components: DataFrame, docs: DataFrame, classes: DataFrame, width: int, t: tuple[int, int]) -> DataFrame:
+    """components after the links of classes that are not joined with the hub of their long list (step 5)."""
+    spokes = materialise(_spokes(long, components))
+    if spokes.isEmpty():
+        return components
+    found = materialise(_departure_lists(spokes, docs, width, t))
+    counts = found.groupBy("key").agg(F.count("*").alias("cnt"), F.max("x").alias("any"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("any AND lo < hi").select("key", "cnt")
+    lists = materialise(found.join(counts, "key"))
+    long = lists.where(F.col("cnt") > LONG)
+    stars = _star_pairs(long.select("key", "id", "cnt", F.lit(0).alias("hub")).distinct())
+    first = _apart(lists.where(F.col("cnt") <= LONG), components).unionByName(stars).distinct()
+    links = materialise(links.unionByName(_linked(first, classes, docs, width, t)))
+    components = _components(links)
+    rest = materialise(_apart(long, components))
+    if not rest.isEmpty():
+        components = _components(links.unionByName(_linked(rest, classes, docs, width, t)))
+    return components
 
 
 def _may_link(estimated: tuple[float, int], t: tuple[int, int]) -> bool:
@@ -218,12 +244,6 @@ def _may_link(estimated: tuple[float, int], t: tuple[int, int]) -> bool:
     return estimated[0] >= num / den - 4 * math.sqrt(num * (den - num) / den**2 / max(1, estimated[1]))
 
 
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents named in ids (a materialised column id): broadcast up to a counted size, else shuffled."""
-    ids = ids.withColumnRenamed("id", "doc_id")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-
-
 def _estimated(pairs: DataFrame, classes: DataFrame, t: tuple[int, int], k: int) -> DataFrame:
     """The pairs whose union sketch does not speak clearly against a link (four standard errors)."""
     num, den = t
@@ -239,33 +259,21 @@ def _estimated(pairs: DataFrame, classes: DataFrame, t: tuple[int, int], k: int)
     return both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, t: tuple[int, int]) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, t: tuple[int, int]) -> DataFrame:
     """The pairs linked by their full sets: a, b."""
     num, den = t
-    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = _of(docs.select("doc_id", "text"), asked).withColumnRenamed("doc_id", "id")
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "t_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "t_b"}), "b")
+    pairs = materialise(_estimated(pairs, classes, t, K))
 
     def run(batches):
-        for batch in batches:
+        for rows in streamed(batches, width):
             out = []
-            for piece in range(0, len(batch), 256):
-                sub = batch.slice(piece, 256)
-                sets = []
-                for c in ("t_a", "t_b"):
-                    data, at = tx.buffers(sub.column(c))
-                    mine = []
-                    for a, b in tx.blocks(at):
-                        row, h = shingle_sets(data[at[a] : at[b]], at[a : b + 1] - at[a], width)
-                        mine += np.split(h, np.searchsorted(row, np.arange(1, b - a)))
-                    sets.append(mine)
-                for x, y in zip(*sets, strict=True):
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    out.append(den * same >= num * (len(x) + len(y) - same))
-            mask = pa.array(out, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            for head, member, _, x, y in rows:
+                same = common(x, y)
+                if den * same >= num * (len(x) + len(y) - same):
+                    out.append((min(head, member), max(head, member)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+    return against_heads(with_heads(pairs), docs, width).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -273,22 +281,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, i
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     num, den = threshold
     least = next(n for n in range(1, 10**6) if den * n >= num * (n + 1))  # smaller sets are linked to equal ones only
-    sk = materialise(sketches(docs, width, single=needs(threshold)[1]))
-    classes = sk.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    classes = materialise(classes)
-    lists = materialise(_lists(classes, least))
-    long = lists.where(F.col("cnt") > LONG)
-    hot = materialise(long.groupBy("id").agg(F.count("*").cast("int").alias("h"), F.first("n").alias("n")).withColumn("need", _need("n", threshold)))
-    members = hot.where(F.col("h") >= F.col("need"))
-    long = materialise(long.join(members.drop("n"), "id"))
-    pairs = _short_pairs(lists, hot, threshold).unionByName(_star_pairs(long)).distinct()
-    links = materialise(_confirmed(materialise(_estimated(pairs, classes, threshold, K)), docs, width, threshold))
-    components = _components(links)
-    if not members.isEmpty():
-        big = sketches(_of(docs, members.select("id")), width, K_LONG).select(F.col("doc_id").alias("id"), "n", "sketch")
-        more = materialise(_rest_pairs(long, components, materialise(big), threshold, K_LONG))
-        if not more.isEmpty():
-            components = _components(links.unionByName(_confirmed(more, docs, width, threshold)))
+    with passing() as kept:
+        sk = materialise(sketches(docs, width, single=needs(threshold)[1]))
+        # Rows of one doc_id with different texts: the thin table tells whether there are any.
+        if not sk.groupBy("doc_id").agg(F.min(F.coalesce("set_id", F.lit(b""))).alias("lo"), F.max(F.coalesce("set_id", F.lit(b""))).alias("hi")).where("lo <> hi").isEmpty():
+            docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+            sk = materialise(sketches(docs, width, single=needs(threshold)[1]))
+        classes = sk.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+        classes = materialise(classes)
+        lists = materialise(_lists(classes, least))
+        long = lists.where(F.col("cnt") > LONG)
+        hot = materialise(long.groupBy("id").agg(F.count("*").cast("int").alias("h"), F.first("n").alias("n")).withColumn("need", _need("n", threshold)))
+        members = hot.where(F.col("h") >= F.col("need"))
+        long = materialise(long.join(members.drop("n"), "id"))
+        pairs = _short_pairs(lists, hot, threshold).unionByName(_star_pairs(long)).distinct()
+        links = materialise(_linked(pairs, classes, docs, width, threshold))
+        components = _components(links)
+        components = _links_apart(long, links, components, docs, classes, width, threshold)
+        kept += [sk, classes, components]
     of = classes.select("set_id", "id").join(components.select(F.col("u").alias("id"), F.col("v").alias("least")), "id", "left")
     of = of.select("set_id", F.coalesce("least", "id").alias("component"))
     out = sk.select("doc_id", "n", "set_id").join(of, "set_id", "left")
