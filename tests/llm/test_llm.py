@@ -286,7 +286,7 @@ def test_fingerprints(spark):
     rows = corpus()
     df = clash(spark.createDataFrame(rows, DOC), "n_chars", "part", "head").repartition(3)
     for size in (1500, 1 << 25):
-        got = {r["doc_id"]: r for r in fingerprint.fingerprints(df).collect()} if size > 2000 else {r["doc_id"]: r for r in _small_ranges(df, size)}
+        got = {r["doc_id"]: r for r in fingerprint.fingerprints(df, range_bytes=size).collect()}
         texts = sorted((i, t or "") for i, t in rows)
         for k, (i, t) in enumerate(texts):
             after = texts[(k + 1) % len(texts)][1]
@@ -329,15 +329,6 @@ def test_near_pairs_lists_every_pair_of_a_group(spark, monkeypatch):
     assert members.where("doc_id = 200").first()["class_id"] == 3
 
 
-def _small_ranges(df, size):
-    old = fingerprint.with_neighbours
-    fingerprint.with_neighbours = lambda docs: old(docs, size)
-    try:
-        return fingerprint.fingerprints(df).collect()
-    finally:
-        fingerprint.with_neighbours = old
-
-
 # Chat formatting (9)
 
 
