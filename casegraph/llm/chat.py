@@ -7,9 +7,9 @@ are escaped, then its control strings too, until the turn parsed is identical. T
 character range of its body if the role is assistant.
 
 Rows are dealt by conv_id and sorted by turn; tasks stream over them with running digests, so a conversation
-of any length needs the memory of one Arrow batch.
+of any length needs the memory of one Arrow batch. A turn is parsed in one pass and needs a few times its own size.
 
-Defined results: null text and null role are empty; null conv_id is a conversation of its own; equal turns are
+Defined results: null text and null role are empty; texts of any length are formatted whole; null conv_id is a conversation of its own; equal turns are
 ordered by role, then text; null turns come first; an empty table gives no conversations; other columns are ignored.
 """
 
@@ -27,28 +27,40 @@ from casegraph.llm.common import table
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>"
 #: Fixed values of the contract: the conversation added to the table.
 ADDED = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
-_ESCAPED = re.compile(r"\\(.)", re.S)
-_HEADER = re.compile(r"### ((?:[^\\:]|\\.|:(?! ))*): ", re.S)
-_BODY = re.compile(r"((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
 _CONTROL = re.compile(r"### |: |</turn>")
-_STEPS = (
-    lambda s: s,
-    lambda s: s.replace("\\", "\\\\"),
-    lambda s: _CONTROL.sub(lambda m: "\\" + m[0], s.replace("\\", "\\\\")),
-)
+_STOPS = {end: re.compile(rf"\\.|{re.escape(end)}", re.S) for end in (COLON, CLOSE)}
+
+
+def _hard(s: str) -> str:
+    s = s.replace("\\", "\\\\")
+    for control in (OPEN, COLON, CLOSE):
+        s = s.replace(control, "\\" + control)
+    return s
+
+
+_STEPS = (lambda s: s, lambda s: s.replace("\\", "\\\\"), _hard)
 
 
 def unescape(s: str) -> str:
-    return _ESCAPED.sub(r"\1", s) if "\\" in s else s
+    """s without the backslash before each escaped character; a backslash pair is one."""
+    return "\\".join(part.replace("\\", "") for part in s.split("\\\\")) if "\\" in s else s
+
+
+def _until(text: str, at: int, end: str) -> int:
+    """Where the first unescaped `end` from a place on begins, or -1. One pass, one match at a time."""
+    if text.find("\\", at) < 0:
+        return text.find(end, at)
+    return next((m.start() for m in _STOPS[end].finditer(text, at) if m[0] == end), -1)
 
 
 def parse_turn(text: str, at: int = 0) -> tuple[str, str, tuple[int, int], int] | None:
     """Role, text, range of the body and end of the turn that starts at a place of the rendered text; None if none does."""
-    head = _HEADER.match(text, at)
-    body = head and _BODY.match(text, head.end())
-    if not body:
+    colon = _until(text, at + len(OPEN), COLON) if text.startswith(OPEN, at) else -1
+    body = colon + len(COLON)
+    close = _until(text, body, CLOSE) if colon >= 0 else -1
+    if close < 0 or not text.startswith("\n", close + len(CLOSE)):
         return None
-    return unescape(head[1]), unescape(body[1]), body.span(1), body.end()
+    return unescape(text[at + len(OPEN) : colon]), unescape(text[body:close]), (body, close), close + len(CLOSE) + 1
 
 
 def render_turn(role: str, text: str) -> str:
