@@ -4,19 +4,23 @@ Each shard (a block of whole documents inside a task) is reduced to the position
 could start (its first two words stand side by side in some test item; its first word, where an item has
 only one), and those suffixes are sorted into a suffix array, compared to the depth of one window. Every test
 suffix is then binary-searched: the range of its window's first `width` words gives all places that hold it.
-Neighbouring hits on one diagonal join into the longest verbatim matches, with their places.
+Neighbouring hits on one diagonal join into the longest verbatim matches, with their places; what they cover decides
+which documents are contaminated.
 
-Documents never shuffle. The test items are read in blocks of bounded size; each block is one more pass of
-the same stage over the documents, so neither the driver nor a task holds more than a block.
+Documents never shuffle. The test items go to the tasks in blocks of bounded size (numbers only, no texts). One block is
+one pass over the documents. A larger benchmark takes a pass for each block, one after another: each writes its matches,
+which are few, and lets go of the block, so neither the driver nor a task ever holds more than one.
 
-Defined results: null and empty texts have no words; an item without words has no window; null item_ids are
-skipped; repeated rows are judged each; an empty benchmark hits nothing; columns named like a result are
-replaced.
+Words are compared by 64-bit hashes: a text word and one of v different test words fall together with a chance of v / 2**64.
+
+Defined results: null and empty texts have no words; texts of any length are searched whole; an item without words has no
+window; null item_ids are skipped; an item_id with several texts has the windows of all; repeated rows are judged each;
+equal windows of several items are found for each; an empty benchmark hits nothing, empty documents give no rows; columns
+named like a result are replaced.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,54 +30,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph.llm import text as tx
-from casegraph.llm.common import others, quoted, table
+from casegraph.llm.common import BROADCAST_ROWS, materialise, others, quoted, table
 
 WIDTH = 13
 BLOCK_MB = 8
 RATIO = 20  # contaminated: hit words times this reach the number of words
-STATE = "hits"
 
 
 class TestBlock:
-    """The windows of some test items: word numbers, and who has each window where."""
+    """The windows of some test items as sorted word numbers, and for each the items and places that have it."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[int, str]], width: int):
-        self.width = width
-        col = pa.array([t for _, t in items], pa.large_string())
-        data, at = tx.buffers(col)
-        data = tx.LOWER[data]
-        row, start, end = tx.words(data, at, tx.WORDY)
-        hashes = tx.span_hashes(data, start, end)
+        self.width, size = width, 4 * width
+        data, at = tx.buffers(pa.array([t for _, t in items], pa.large_string()))
+        row, hashes = tx.hashed_words(data[at[0] : at[-1]], at - at[0], tx.WORDY)
         self.vocab, ids = np.unique(hashes, return_inverse=True)
-        ids = (ids + 1).astype(np.uint32)
-        owners: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        bounds = np.searchsorted(row, np.arange(len(items) + 1))
-        for k, (item, _) in enumerate(items):
-            w = ids[bounds[k] : bounds[k + 1]].astype(">u4").tobytes()
-            n = len(w) // 4
-            for i in range(max(1, n - width + 1) if n else 0):
-                owners[w[4 * i : 4 * min(n, i + width)]].append((item, i))
-        self.windows = sorted(owners)
-        self.owners = [owners[w] for w in self.windows]
-        self.lengths = np.array([len(w) // 4 for w in self.windows], np.int64)
-        size = 4 * width
-        self.low = np.array([w.ljust(size, b"\0") for w in self.windows], f"S{size}")
-        self.high = np.array([w.ljust(size, b"\xff") for w in self.windows], f"S{size}")
-        firsts = {(np.frombuffer(w[:4], ">u4")[0], np.frombuffer(w[4:8], ">u4")[0]) for w in self.windows if len(w) > 4}
-        self.pairs = np.array(sorted({int(a) << 32 | int(b) for a, b in firsts}), np.uint64)
-        self.singles = np.array(sorted({int(np.frombuffer(w, ">u4")[0]) for w in self.windows if len(w) == 4}), np.uint32)
+        count = np.bincount(row, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
+        n = np.minimum(count, width)  # words of an item's windows
+        first, many = np.cumsum(count) - count, np.where(n > 0, count - n + 1, 0)
+        item = np.repeat(np.arange(len(items)), many)
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        start, length = first[item] + place, n[item]
+        padded = np.concatenate([ids + 1, np.zeros(width, np.int64)]).astype(">u4")
+        low = np.zeros((len(start), width), ">u4")
+        for k in range(width):
+            low[:, k] = np.where(length > k, padded[start + k], 0)
+        low = np.ascontiguousarray(low).view(f"S{size}").ravel() if len(start) else np.zeros(0, f"S{size}")
+        order = np.argsort(low, kind="stable")
+        low, item, place, length = low[order], item[order], place[order], length[order]
+        new = np.append(True, low[1:] != low[:-1]) if len(low) else np.zeros(0, bool)
+        # Distinct windows, and the owners of each as a range.
+        self.low, self.lengths = low[new], length[new]
+        self.owner_item = np.array([i for i, _ in items], np.int64)[item] if len(items) else np.zeros(0, np.int64)
+        self.owner_place, self.owners = place, np.append(np.flatnonzero(new), len(low))
+        words = self.low.view(">u4").reshape(-1, width).astype(np.uint64) if len(self.low) else np.zeros((0, width), np.uint64)
+        high = words.astype(">u4")
+        for k in range(width):
+            high[self.lengths <= k, k] = 0xFFFFFFFF
+        self.high = np.ascontiguousarray(high).view(f"S{size}").ravel() if len(high) else self.low
+        two = self.lengths > 1
+        self.pairs = np.unique(words[two, 0] << np.uint64(32) | words[two, 1]) if width > 1 else np.zeros(0, np.uint64)
+        self.singles = np.unique(words[~two, 0]).astype(np.uint32)
 
     def search(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of words of each row; word positions (over all rows) and window numbers of all hits."""
-        data = tx.LOWER[data]
-        row, start, end = tx.words(data, at, tx.WORDY)
+        row, h = tx.hashed_words(data, at, tx.WORDY)
         counts = np.bincount(row, minlength=len(at) - 1)
         none = np.zeros(0, np.int64)
-        if not len(row) or not self.windows:
+        if not len(row) or not len(self.low):
             return counts, none, none
-        h = tx.span_hashes(data, start, end)
         k = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
         ids = np.where(self.vocab[k] == h, k + 1, 0).astype(np.uint32)
         # One zero after each document keeps suffixes inside it.
@@ -98,131 +105,114 @@ class TestBlock:
         rank = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found) + np.repeat(lo, found)
         return counts, suffix[order[rank]], window
 
-
-def _read_blocks(benchmark: DataFrame, block_mb: float) -> Iterator[list[tuple[int, str]]]:
-    """The items by size, one bounded block at a time on the driver."""
+    def matches(self, counts: np.ndarray, pos: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Longest verbatim matches, one a row: row, item, place in the item, place in the row, words; sorted by row and item."""
+        first = np.concatenate([[0], np.cumsum(counts)])
+        many = (self.owners[1:] - self.owners[:-1])[window]
+        owner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.owners[window], many)
+        pos, length = np.repeat(pos, many), self.lengths[np.repeat(window, many)]
+        row = np.searchsorted(first, pos, "right") - 1
+        item, place, at = self.owner_item[owner], self.owner_place[owner], pos - first[row]
+        order = np.lexsort((length, place, at - place, item, row))
+        row, item, place, at, length = row[order], item[order], place[order], at[order], length[order]
+        if not len(row):
+            return np.zeros((0, 5), np.int64)
+        # A match goes on where the next window of the item stands one word on in the row.
+        same = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) & (at[1:] - place[1:] == at[:-1] - place[:-1]) & (place[1:] - place[:-1] <= 1)
+        head = np.flatnonzero(np.append(True, ~same))
+        tail = np.append(head[1:], len(row)) - 1
+        return np.stack([row[head], item[head], place[head], at[head], at[tail] + length[tail] - at[head]], 1)
+
+
+def _blocks(benchmark: DataFrame, width: int, block_mb: float) -> Iterator[TestBlock]:
+    """The items in blocks of bounded size, one at a time on the driver."""
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     block, size = [], 0
     for r in rows.toLocalIterator():
         block.append((r[0], r[1]))
         size += len(r[1])
         if size > block_mb * 1e6:
-            yield block
+            yield TestBlock(block, width)
             block, size = [], 0
     if block:
-        yield block
+        yield TestBlock(block, width)
 
 
-def _search_blocks(docs: DataFrame, block: TestBlock, text_col: str, made: pa.Schema, fill) -> DataFrame:
-    schema = docs.drop(*[f.name for f in made]).schema
-    kept = [f.name for f in schema]
-    out_schema = T.StructType(list(schema))
-    for f in made:
-        out_schema = out_schema.add(f.name, _SPARK[f.type])
+def _searched(docs: DataFrame, block: TestBlock, kept: list[str], text: str) -> DataFrame:
+    """The columns kept of docs, n_words and `found`, the matches: (item, place in the item, place in the document, words) in one flat list."""
+    schema = T.StructType([docs.schema[c] for c in kept]).add("n_words", "long").add("found", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
-            data, at = tx.buffers(batch.column(text_col))
-            old = batch.column(STATE).to_pylist() if STATE in batch.schema.names else None
-            columns: dict[str, list] = {f.name: [] for f in made}
+            data, at = tx.buffers(batch.column(text))
+            n_words, flat, ends = [], [], [np.zeros(1, np.int64)]
             for a, b in tx.blocks(at):
                 counts, pos, window = block.search(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                fill(columns, block, counts, pos, window, old[a:b] if old else None)
-            arrays = [batch.column(c) for c in kept] + [pa.array(columns[f.name], f.type) for f in made]
-            yield pa.RecordBatch.from_arrays(arrays, names=kept + made.names)
-
-    return docs.mapInArrow(run, out_schema)
-
-
-_SPARK = {pa.int64(): T.LongType(), pa.binary(): T.BinaryType(), pa.list_(pa.int64()): T.ArrayType(T.LongType())}
-_PASS = pa.schema([("n_words", pa.int64()), (STATE, pa.binary()), ("items", pa.list_(pa.int64()))])
-_MATCH = pa.schema([("found", pa.list_(pa.int64()))])
-
-
-def _fill_pass(columns, block, counts, pos, window, old) -> None:
-    """Adds a block's hits to the bit sets and item lists of earlier blocks."""
-    first = np.concatenate([[0], np.cumsum(counts)])
-    row = np.searchsorted(first, pos, "right") - 1
-    hit = np.zeros(first[-1] + 1, np.int64)
-    np.add.at(hit, pos, 1)
-    np.add.at(hit, np.minimum(pos + block.lengths[window], first[-1]), -1)
-    covered = np.cumsum(hit)[:-1] > 0
-    items: dict[int, set] = defaultdict(set)
-    for r, w in np.unique(np.stack([row, window], 1), axis=0).tolist():
-        items[r].update(i for i, _ in block.owners[w])
-    for r, n in enumerate(counts.tolist()):
-        bits = covered[first[r] : first[r + 1]]
-        columns["n_words"].append(n)
-        columns[STATE].append(np.packbits(bits).tobytes() if r in items else None)
-        columns["items"].append(sorted(items[r]) if r in items else [])
-
-
-def _fill_matches(columns, block, counts, pos, window, old) -> None:
-    """Flat quadruples (item, item position, document position, words) of the longest matches."""
-    first = np.concatenate([[0], np.cumsum(counts)])
-    row = np.searchsorted(first, pos, "right") - 1
-    runs: dict[tuple[int, int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for r, p, w in zip(row.tolist(), pos.tolist(), window.tolist(), strict=True):
-        for item, i in block.owners[w]:
-            p_in = p - int(first[r])
-            runs[r, item, p_in - i].append((i, p_in, int(block.lengths[w])))
-    found: dict[int, list[int]] = defaultdict(list)
-    for (r, item, _), places in sorted(runs.items()):
-        places.sort()
-        i0, p0, end = places[0][0], places[0][1], places[0][0] + places[0][2]
-        for i, p, n in places[1:]:
-            if i > end - n + 1:  # not the next window of this match
-                found[r] += [item, i0, p0, end - i0]
-                i0, p0 = i, p
-            end = i + n
-        found[r] += [item, i0, p0, end - i0]
-    columns["found"] += [found.get(r, []) for r in range(len(counts))]
+                m = block.matches(counts, pos, window)
+                n_words.append(counts)
+                flat.append(m[:, 1:].ravel())
+                ends.append(ends[-1][-1] + 4 * np.searchsorted(m[:, 0], np.arange(b - a), "right"))
+            found = pa.ListArray.from_arrays(np.concatenate(ends).astype(np.int32), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), found], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, width: int, block_mb: float, doc_id: str, text: str) -> DataFrame:
+    """docs with n_words and `found`, the matches over all blocks."""
+    kept = docs.columns
+    blocks = _blocks(benchmark, width, block_mb)
+    block, later = next(blocks, TestBlock([], width)), next(blocks, None)
+    if later is None:
+        return _searched(docs, block, kept, text)
+    # Rows alike in doc_id and digest are alike in their matches.
+    thin = docs.select(F.col(doc_id).alias("key_id"), F.md5(text).alias("key_text"), F.col(text).alias("text"))
+    parts = []
+    while block is not None:
+        parts.append(materialise(_searched(thin, block, ["key_id", "key_text"], "text").where("size(found) > 0").drop("n_words").distinct()))
+        block, later = later, next(blocks, None)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = materialise(every.groupBy("key_id", "key_text").agg(F.flatten(F.collect_list("found")).alias("found")))
+    rows, size = every.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
+    every = F.broadcast(every) if rows <= BROADCAST_ROWS and size <= 10 * BROADCAST_ROWS else every
+    counted = _searched(docs, TestBlock([], width), kept, text).drop("found")
+    on = F.col(doc_id).eqNullSafe(F.col("key_id")) & (F.md5(text) == F.col("key_text"))
+    return counted.join(every, on, "left").select(*kept, "n_words", F.coalesce("found", F.array().cast("array<long>")).alias("found"))
+
+
+def _covered(found: str) -> tuple:
+    """Words that the flat matches cover, and their distinct items."""
+    each = F.transform(F.sequence(F.lit(0), F.size(found) - 4, F.lit(4)), lambda k: F.struct(F.get(found, k + 2).alias("at"), F.get(found, k + 3).alias("n"), F.get(found, k).alias("item")))
+    each = F.when(F.size(found) > 0, each).otherwise(F.array().cast("array<struct<at:bigint,n:bigint,item:bigint>>"))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit"))
+
+    def add(s, m):
+        end = m["at"] + m["n"]
+        return F.struct(F.greatest(s["end"], end).alias("end"), (s["hit"] + F.greatest(F.lit(0).cast("long"), end - F.greatest(s["end"], m["at"]))).alias("hit"))
+
+    return F.aggregate(F.array_sort(each), start, add, lambda s: s["hit"]), F.array_sort(F.array_distinct(F.transform(each, lambda m: m["item"])))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ratio: int = RATIO, block_mb: float = BLOCK_MB) -> DataFrame:
     """docs plus n_words, n_hit, items (ids of items that occur), contaminated."""
     made = ("n_words", "n_hit", "items", "contaminated")
-    docs = docs.select(*quoted(others(docs, *made, STATE, "_hits", "_items")))
-    out, passes = docs, 0
-    for items in _read_blocks(benchmark, block_mb):
-        out = _search_blocks(out, TestBlock(items, width), "text", _PASS, _fill_pass)
-        if passes:  # bits and items of the earlier blocks
-            merged = F.when(F.col("_hits").isNull() | F.col(STATE).isNull(), F.coalesce("_hits", STATE)).otherwise(_either("_hits", STATE))
-            out = out.withColumns({STATE: merged, "items": F.array_sort(F.array_union("_items", "items"))}).drop("_hits", "_items")
-        passes += 1
-        out = out.withColumnsRenamed({STATE: "_hits", "items": "_items"})
-    if not passes:
-        out = _search_blocks(out, TestBlock([], width), "text", _PASS, _fill_pass).withColumnsRenamed({STATE: "_hits", "items": "_items"})
-    n_hit = F.coalesce(F.length(F.translate(_bits("_hits"), "0", "")), F.lit(0)).cast("long")
-    out = out.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words")))
-    return out.withColumnRenamed("_items", "items").drop("_hits")
-
-
-def _bits(name: str):
-    """Binary to text of 0 and 1, by hex digits."""
-    h = F.hex(name)
-    for d in range(16):
-        h = F.replace(h, F.lit(f"{d:X}"), F.lit(f"{d:04b}".translate(str.maketrans("01", "xy"))))
-    return F.translate(h, "xy", "01")
-
-
-def _either(a: str, b: str):
-    """Bitwise or of two binaries of one length, by hex digits."""
-    pair = F.zip_with(F.split(F.hex(a), ""), F.split(F.hex(b), ""), lambda x, y: F.hex(F.conv(x, 16, 10).cast("int").bitwiseOR(F.conv(y, 16, 10).cast("int"))))
-    return F.unhex(F.array_join(pair, ""))
+    kept = others(docs, *made)
+    names = {c: f"c{k}" for k, c in enumerate(kept)}  # no column of docs meets one made here
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    out = _passes(rows, benchmark, width, block_mb, names["doc_id"], names["text"])
+    hit, items = _covered("found")
+    out = out.withColumns({"n_hit": hit, "items": items}).drop("found")
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words")))
+    return out.withColumnsRenamed({n: c for c, n in names.items()}).select(*quoted(kept), *made)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_mb: float = BLOCK_MB) -> DataFrame:
     """The longest verbatim matches of at least a window: doc_id, item_id, item_pos, doc_pos, n_words (positions in words)."""
-    docs, out = docs.select("doc_id", "text"), None
-    for items in _read_blocks(benchmark, block_mb):
-        found = _search_blocks(docs, TestBlock(items, width), "text", _MATCH, _fill_matches).where("size(found) > 0")
-        at = F.explode(F.sequence(F.lit(1), F.size("found"), F.lit(4)))
-        found = found.withColumn("k", at).select("doc_id", *[F.element_at("found", F.col("k") + j).alias(c) for j, c in enumerate(("item_id", "item_pos", "doc_pos", "n_words"))])
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = docs.where("false").selectExpr("doc_id", *[f"0L AS {c}" for c in ("item_id", "item_pos", "doc_pos", "n_words")])
-    return out
+    found = _passes(docs.select("doc_id", "text"), benchmark, width, block_mb, "doc_id", "text").where("size(found) > 0").select("doc_id", "found")
+    found = found.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("found") - 4, F.lit(4))))
+    return found.select("doc_id", *[F.get("found", F.col("k") + j).alias(c) for j, c in enumerate(("item_id", "item_pos", "doc_pos", "n_words"))])
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

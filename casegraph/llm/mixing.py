@@ -3,11 +3,12 @@
 Words are summed per source; each source gets a target by water-filling (shares by weight, no target above
 a multiple of the source's own size, the excess shared again by weight); a source's repetition rate is
 target / size. A document is emitted floor(rate) times, and once more if a hash of (seed, doc_id) falls
-below the fraction. Nothing but the per-source sums is shuffled; the target table is one row per source and
-joins by whatever strategy its size allows (a hot source is split by AQE where it is not broadcast).
+below the fraction. Nothing but the per-source sums is shuffled: the target table, one row per source, is broadcast
+up to a counted number of rows; beyond it the join is one by source, whose hot keys AQE splits.
 
-Defined results: null text counts 0 words; a null source is a source of its own, last in order; an empty
-table gives no rows; equal doc_ids draw alike; a source without words has target 0 and rate 0.
+Defined results: null text counts 0 words; texts of any length count whole; a null source is a source of its own, last in
+order; an empty table gives no rows; repeated rows and equal doc_ids draw alike; sources that tie for a level fill up
+together; a source without words has target 0 and rate 0; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import others, quoted, table
+from casegraph.llm.common import BROADCAST_ROWS, fresh, materialise, others, quoted, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -62,9 +63,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """docs plus size, source_size, target, rate, copies (times that the mix takes the document), taken (words)."""
     made = ("size", "source_size", "target", "rate", "copies", "taken")
     sized = docs.select(*quoted(others(docs, *made)), word_count(F.col("text")).alias("size"))
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = targets(per_source, weights, share, limit).withColumnRenamed("source", "t_source")
-    out = sized.join(t, sized["source"].eqNullSafe(t["t_source"]), "left").drop("t_source")
+    per_source = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    name = fresh(sized, "mix_source")
+    t = targets(per_source, weights, share, limit).withColumnRenamed("source", name)
+    t = F.broadcast(t) if per_source.count() <= BROADCAST_ROWS else t  # one row for each source
+    out = sized.join(t, sized["source"].eqNullSafe(F.col(name)), "left").drop(name)
     whole = F.floor("rate")
     copies = whole + F.when(draw(F.col("doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
     return out.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
