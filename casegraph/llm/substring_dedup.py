@@ -15,13 +15,18 @@ are judged as they came in, as UTF-8; matches never cross documents.
     and merges them by a priority queue, so shards may be far larger than memory. The tasks read them in order,
     and for each step to the left induce the order of the suffixes one byte longer: stable by that byte, with the
     common-prefix lengths carried along (one more than the range minimum where the byte is equal). Neighbours that
-    share `length` bytes are equal windows; each class tells its smallest doc_id.
+    share `length` bytes are equal windows; each class tells its smallest doc_id. An anchor that stands in very many
+    places (`HOT`) is no group that one task could hold: its runs give their windows instead, by 128-bit digest, whose
+    smallest doc_ids are found by aggregation.
  5. Chunks mark the bytes of every window that a smaller document has.
 
 The texts are shuffled once (the steps of the plan share that exchange); what goes back and forth are anchor hashes and
 the repeated runs. Longer documents than a block are cut into pieces that overlap by length - 1 bytes.
 
-Defined results: null is an empty text; texts shorter than `length` keep all; rows without doc_id count as the smallest
+Runs and anchors are told apart by 64- and 48-bit hashes, windows of hot anchors by 128-bit digests. Two different anchors of
+one hash only cost work; two of n different runs of a chunk fall together with a chance of n * n / 2**65.
+
+Defined results: null is an empty text; texts of any length are judged whole; ties go to the smaller doc_id; texts shorter than `length` keep all; rows without doc_id count as the smallest
 doc_id; equal doc_ids never remove one another; an empty table gives no rows; other columns are not returned.
 """
 
@@ -37,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.llm import text as tx
-from casegraph.llm.common import corpus_bytes, table
+from casegraph.llm.common import corpus_bytes, materialise, table
 
 LENGTH = 50
 GRAM = 20
@@ -45,6 +50,7 @@ CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
 PIECE = 1 << 20
 GROUP_ROWS = 100_000
+HOT = 4096  # occurrences of an anchor above which its windows are aggregated
 NONE = -(1 << 63)
 
 
@@ -133,13 +139,14 @@ def _anchor_blocks(length: int, buckets: int):
         for _, _, value, _, _, row in (pieces := Pieces(docs, length, _ids(copies))):
             values.append(value)
             rows.append(row)
-        out = {"bucket": [], "chunk": [], "values": [], "several": []}
+        out = {"bucket": [], "chunk": [], "values": [], "several": [], "counts": []}
         if values:
             value, owner = np.concatenate(values), pieces.ids[np.concatenate(rows)]
             order = np.argsort(value, kind="stable")
             value, owner = value[order], owner[order]
             head = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
             several = np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head)
+            count = np.diff(np.append(head, len(owner)))
             value = value[head]
             bucket = (value % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -148,7 +155,8 @@ def _anchor_blocks(length: int, buckets: int):
                 out["chunk"].append(chunk)
                 out["values"].append(_pack(value[part]))
                 out["several"].append(np.packbits(several[part]).tobytes())
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+                out["counts"].append(np.minimum(count[part], 1 << 30).astype("<u4").tobytes())
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
 
     return run
 
@@ -158,18 +166,22 @@ def _ids(copies: pa.Table) -> np.ndarray:
 
 
 def _shared(blocks: pa.Table) -> pa.Table:
-    """Of a bucket, the values that more than one document has, for each chunk that has them."""
+    """Of a bucket, the values that more than one document has, for each chunk that has them; hot: those of very many places."""
     values = [_unpack(v) for v in blocks.column("values").to_pylist()]
     several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(v)).astype(bool) for s, v in zip(blocks.column("several").to_pylist(), values, strict=True)]
-    u, n = np.unique(np.concatenate(values), return_counts=True)
-    wanted = np.union1d(u[n > 1], np.concatenate([v[s] for v, s in zip(values, several, strict=True)]))
-    out = [v[np.isin(v, wanted, assume_unique=True)] for v in values]
-    chunks = blocks.column("chunk").to_pylist()
-    kept = [(c, _pack(v)) for c, v in zip(chunks, out, strict=True) if len(v)]
-    return pa.table({"chunk": pa.array([c for c, _ in kept], pa.int64()), "values": pa.array([v for _, v in kept], pa.binary())})
+    u, where, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    places = np.bincount(where, np.concatenate([np.frombuffer(c, "<u4") for c in blocks.column("counts").to_pylist()]), len(u))
+    shared = np.union1d(u[n > 1], np.concatenate([v[s] for v, s in zip(values, several, strict=True)]))
+    many = u[places > HOT]
+    kept = []
+    for c, v in zip(blocks.column("chunk").to_pylist(), values, strict=True):
+        v = v[np.isin(v, shared, assume_unique=True)]
+        hot = np.isin(v, many, assume_unique=True)
+        kept += [(c, _pack(part), h) for part, h in ((v[~hot], False), (v[hot], True)) if len(part)]
+    return pa.table({"chunk": pa.array([c for c, _, _ in kept], pa.int64()), "values": pa.array([v for _, v, _ in kept], pa.binary()), "hot": pa.array([h for _, _, h in kept], pa.bool_())})
 
 
-_RUN = pa.schema([("chunk", pa.int64()), ("run_id", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("near", pa.int32()), ("least", pa.int64())])
+_RUN = pa.schema([("chunk", pa.int64()), ("run_id", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("near", pa.int32()), ("least", pa.int64()), ("hot", pa.bool_())])
 
 
 def _repeated_runs(length: int):
@@ -177,10 +189,12 @@ def _repeated_runs(length: int):
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         parts = []
-        packed = [v for v in shared.column("values").to_pylist() if v is not None]
+        packed = [(_unpack(v), h) for v, h in zip(shared.column("values").to_pylist(), shared.column("hot").to_pylist(), strict=True) if v is not None]
         if len(docs) and packed:
             chunk = docs.column("chunk")[0].as_py()
-            wanted = np.sort(np.concatenate([_unpack(v) for v in packed]))
+            wanted, often = np.concatenate([v for v, _ in packed]), np.repeat([h for _, h in packed], [len(v) for v, _ in packed])
+            order = np.argsort(wanted)
+            wanted, often = wanted[order], often[order]
             pieces = Pieces(docs, length, _ids(shared))
             whole = []
             for start, anchor, value, first, last, row in pieces:
@@ -188,16 +202,16 @@ def _repeated_runs(length: int):
                 mine = wanted[k] == value
                 if mine.any():
                     anchor, first, last, row = anchor[mine], first[mine], last[mine], row[mine]
-                    whole.append((start + anchor, start + first, start + last, pieces.ids[row], pieces.bytes_of(start, first, last)))
+                    whole.append((start + anchor, start + first, start + last, pieces.ids[row], pieces.bytes_of(start, first, last), often[k[mine]]))
             if whole:
-                anchor, first, last, owner, digest = (np.concatenate(x) for x in zip(*whole, strict=True))
+                anchor, first, last, owner, digest, hot = (np.concatenate(x) for x in zip(*whole, strict=True))
                 order = np.lexsort((owner, digest))
                 head = order[np.append(True, digest[order][1:] != digest[order][:-1])]  # the smallest doc_id of each
-                anchor, first, last, owner, digest = anchor[head], first[head], last[head], owner[head], digest[head]
+                anchor, first, last, owner, digest, hot = anchor[head], first[head], last[head], owner[head], digest[head], hot[head]
                 text = pieces.data
                 parts.append(pa.table([
                     pa.array(np.full(len(head), chunk)), pa.array(digest.view(np.int64)), _slices(text, anchor, last + length), _slices(text, first, anchor),
-                    pa.array((anchor - last).astype(np.int32)), pa.array(owner),
+                    pa.array((anchor - last).astype(np.int32)), pa.array(owner), pa.array(hot),
                 ], schema=_RUN))
         return parts[0] if parts else _RUN.empty_table()
 
@@ -274,9 +288,21 @@ def induce(right: list[bytes], left: list[bytes], near: np.ndarray, least: np.nd
     return np.concatenate(runs_out), np.concatenate(windows), np.concatenate(smallest)
 
 
+_ANSWER = pa.schema([("chunk", pa.int64()), ("run_id", pa.int64()), ("smallest", pa.binary()), ("window", pa.int32()), ("digest", pa.binary()), ("least", pa.int64())])
+
+
+def _windows(t: pa.Table, length: int) -> pa.RecordBatch:
+    """Runs in; out, a row for each of their windows with its digest."""
+    right, left, near = t.column("right").to_pylist(), t.column("left").to_pylist(), t.column("near").to_pylist()
+    many = [len(x) - n + 1 for x, n in zip(left, near, strict=True)]
+    digests = [hashlib.blake2b((x + r)[w : w + length], digest_size=16).digest() for x, r, m in zip(left, right, many, strict=True) for w in range(m)]
+    window = np.concatenate([np.arange(m, dtype=np.int32) for m in many])
+    rep = lambda c: pa.array(np.repeat(t.column(c).to_numpy(), many))
+    return pa.RecordBatch.from_arrays([rep("chunk"), rep("run_id"), pa.nulls(len(window), pa.binary()), pa.array(window), pa.array(digests, pa.binary()), rep("least")], schema=_ANSWER)
+
+
 def _answers(length: int):
-    """Sorted runs in; out, for runs with a window that a smaller document of another chunk has, that document for each window."""
-    schema = pa.schema([("chunk", pa.int64()), ("run_id", pa.int64()), ("smallest", pa.binary())])
+    """Sorted runs in; out, for runs with a window that a smaller document of another chunk has, that document for each window. Hot runs, which come last, give their windows."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         least = t.column("least").to_numpy()
@@ -286,19 +312,28 @@ def _answers(length: int):
         cut = np.searchsorted(run, np.arange(len(least) + 1))
         told = np.flatnonzero(np.minimum.reduceat(low, cut[:-1]) < least)
         packed = [low[cut[k] : cut[k + 1]].tobytes() for k in told]
-        return pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks().take(pa.array(told)), t.column("run_id").combine_chunks().take(pa.array(told)), pa.array(packed, pa.binary())], schema=schema)
+        none = [pa.nulls(len(told), f.type) for f in _ANSWER][3:]
+        return pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks().take(pa.array(told)), t.column("run_id").combine_chunks().take(pa.array(told)), pa.array(packed, pa.binary()), *none], schema=_ANSWER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
+            cold = int(np.count_nonzero(~np.array(batch.column("hot").to_pylist(), bool)))
+            if cold < len(batch):
+                hot = pa.Table.from_batches([batch.slice(cold)])
+                for start in range(0, len(hot), 4096):
+                    yield _windows(hot.slice(start, 4096).combine_chunks(), length)
+                batch = batch.slice(0, cold)
+            if not len(batch):
+                continue
             held.append(batch)
             n += len(batch)
             if n < GROUP_ROWS:
                 continue
-            # Up to the last change of anchor, so that all runs of an anchor stay together.
+            # Up to the last change of anchor, so that all runs of an anchor (HOT at most) stay together.
             t = pa.Table.from_batches(held)
             right = t.column("right").combine_chunks()
-            cut, last = n - 1, right[n - 1].as_py()[:GRAM]
+            last = right[n - 1].as_py()[:GRAM]
             lo, hi = 0, n - 1
             while lo < hi:  # first row with the last anchor; rows are sorted
                 mid = (lo + hi) // 2
@@ -306,10 +341,9 @@ def _answers(length: int):
                     lo = mid + 1
                 else:
                     hi = mid
-            cut = lo
-            if cut:
-                yield solve(t.slice(0, cut).combine_chunks())
-            held, n = t.slice(cut).to_batches(), n - cut
+            if lo:
+                yield solve(t.slice(0, lo).combine_chunks())
+            held, n = t.slice(lo).to_batches(), n - lo
         if n:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
@@ -330,7 +364,8 @@ def _cut(length: int, digest: bool):
         asked = answers.column("run_id").to_numpy() if len(answers) else np.zeros(0, np.int64)
         order = np.argsort(asked)
         asked = asked[order]
-        low_of = [np.frombuffer(x, np.int64) for x in answers.column("smallest").to_pylist()] if len(answers) else []
+        both = zip(answers.column("smallest").to_pylist(), answers.column("lows").to_pylist(), strict=True) if len(answers) else ()
+        low_of = [np.frombuffer(x, np.int64) if y is None else np.array(y, np.int64) for x, y in both]
         size = np.array([len(x) for x in low_of], np.int64)[order] if low_of else np.zeros(0, np.int64)
         flat = np.concatenate([low_of[k] for k in order]) if low_of else np.zeros(0, np.int64)
         base = np.cumsum(size) - size
@@ -388,11 +423,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False)
     copies = docs.select("doc_id", "chunk", F.sha2("text", 256).alias("sha")).join(same, "sha").where("doc_id > first")
     copies = copies.select("chunk", F.col("doc_id").alias("copy")).distinct()
     by_chunk = docs.groupBy("chunk")
-    blocks = by_chunk.cogroup(copies.withColumnRenamed("chunk", "home").groupBy("home")).applyInArrow(_anchor_blocks(length, buckets), "bucket long, chunk long, values binary, several binary")
-    shared = blocks.groupBy("bucket").applyInArrow(_shared, "chunk long, values binary").unionByName(copies, allowMissingColumns=True)
-    found = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_repeated_runs(length), "chunk long, run_id long, right binary, left binary, near int, least long")
-    dealt = found.withColumn("deal", F.xxhash64(F.substring("right", 1, GRAM))).repartition("deal").sortWithinPartitions("right")
-    answers = dealt.drop("deal").mapInArrow(_answers(length), "chunk long, run_id long, smallest binary").unionByName(copies, allowMissingColumns=True)
+    blocks = by_chunk.cogroup(copies.withColumnRenamed("chunk", "home").groupBy("home")).applyInArrow(_anchor_blocks(length, buckets), "bucket long, chunk long, values binary, several binary, counts binary")
+    shared = blocks.groupBy("bucket").applyInArrow(_shared, "chunk long, values binary, hot boolean").unionByName(copies, allowMissingColumns=True)
+    found = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_repeated_runs(length), "chunk long, run_id long, right binary, left binary, near int, least long, hot boolean")
+    # Runs of one anchor meet; those of hot ones, which don't have to, are spread.
+    deal = F.when(F.col("hot"), F.col("run_id")).otherwise(F.xxhash64(F.substring("right", 1, GRAM)))
+    dealt = found.withColumn("deal", deal).repartition("deal").sortWithinPartitions("hot", "right")
+    answers = dealt.drop("deal").mapInArrow(_answers(length), "chunk long, run_id long, smallest binary, window int, digest binary, least long")
+    answers = materialise(answers)
+    windows = answers.where("digest IS NOT NULL").select("chunk", "run_id", "window", "digest", "least")
+    low = windows.groupBy("digest").agg(F.min("least").alias("low"))
+    told = windows.join(low, "digest").groupBy("chunk", "run_id").agg(F.array_sort(F.collect_list(F.struct("window", "low"))).alias("lows"), F.max(F.col("low") < F.col("least")).alias("any"))
+    told = told.where("any").select("chunk", "run_id", F.transform("lows", lambda w: w["low"]).alias("lows"))
+    answers = answers.where("digest IS NULL").select("chunk", "run_id", "smallest").unionByName(told, allowMissingColumns=True).unionByName(copies, allowMissingColumns=True)
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_cut(length, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
