@@ -13,13 +13,12 @@ Every document is its set of word shingles, hashed once. The k least values are
     from), the runner-up and its neighbour by rank; links found so join most of a group.
  5. What is left in a long list are links of a class x that is not joined with the hub. They are found by what sets it
     and its partner apart from the hub: a linked y shares with x more than about half of the values in which y differs
-    from the hub (`departures`). So y gives just under half of those away, gets a list for each other one, and x one for
-    each of its own: these are edits, which few have. Lists of departures that are long again (many copies with the
-    same cut) meet their own hub first; the classes still apart after it meet every other one of their list.
+    from the hub (`spared`). So one of just over half of those is enough to find x by, its own edits first, which few
+    have. Each class sends its departures from the hub once; what two of them share gives their similarity exactly.
  6. Everywhere the union sketch (the k least of both) estimates the similarity; what is clearly below the threshold
     (four standard errors) goes, the rest is confirmed on the full sets. Links join into components.
-No class is dropped or capped. Work is linear in the lists but for step 5's last resort, which is linear in pairs of
-classes that share a departure from a hub, are joined with neither it nor each other, and lie in a long list.
+No class is dropped or capped, and no step sends a class once for each partner: rows grow with the classes. Tasks of step 5
+compare classes that share a departure, apart from the hub and from each other, and send only the links they find.
 
 Equal sets and equal shingles are those of equal 128- and 64-bit hashes: two of n different shingles fall together with a
 chance of n * n / 2**65.
@@ -52,6 +51,7 @@ PROBES = 24
 OVERLAP = 5
 LONG = 32
 SLICE = 2048  # classes of a long list that are ranked together
+BUCKET = 4_000_000  # shingles of a hub's classes whose departures one task compares
 
 
 def shared_keys(n: int, t: tuple[int, int], probes: int = PROBES) -> int:
@@ -160,16 +160,16 @@ def _star_pairs(long: DataFrame) -> DataFrame:
 
 
 def _spokes(long: DataFrame, components: DataFrame) -> DataFrame:
-    """head, member, mark, n: the hub of a long list and each class in it, for hubs that some class (mark) is not joined with."""
+    """head, member, mark, n, buckets: the hub of a long list and each class in it, for hubs that some class (mark) is not joined with."""
     # Linked classes that meet in long lists only share `need` of them: both keep the first shared one in the order of keys.
     order = F.row_number().over(Window.partitionBy("id").orderBy("key"))
     heads = long.groupBy("key").agg(F.min(F.struct(-F.col("hub"), "id"))["id"].alias("head"))
     s = long.withColumn("place", order).where(F.col("place") <= F.col("h") - F.col("need") + 1)
-    s = s.join(heads, "key").where("id <> head").select("head", F.col("id").alias("member")).distinct()
+    s = s.join(heads, "key").where("id <> head").select("head", F.col("id").alias("member"), "n").distinct()
     s = _joined(_joined(s, components, "head"), components, "member")
-    s = s.select("head", "member", (F.col("c_head") != F.col("c_member")).alias("mark"))
-    apart = s.groupBy("head").agg(F.count("*").alias("n"), F.max("mark").alias("any")).where("any").select("head", "n")
-    return s.join(apart, "head")
+    s = s.select("head", "member", "n", (F.col("c_head") != F.col("c_member")).alias("mark"))
+    apart = s.groupBy("head").agg(F.count("*").alias("all"), F.max("mark").alias("any"), F.ceil(F.sum("n") / BUCKET).cast("int").alias("buckets")).where("any")
+    return s.drop("n").join(apart.select("head", F.col("all").alias("n"), "buckets"), "head")
 
 
 def _joined(df: DataFrame, components: DataFrame, name: str) -> DataFrame:
@@ -178,45 +178,79 @@ def _joined(df: DataFrame, components: DataFrame, name: str) -> DataFrame:
     return df.join(of, name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
 
 
-def departures(hub: np.ndarray, own: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, int]:
-    """Values in which a set differs from the hub's, its own first, and how many of them need a list.
+def spared(d: np.ndarray, n: np.ndarray, hub: np.ndarray, t: tuple[int, int]) -> np.ndarray:
+    """More than so many of its d departures from the hub does a set of n values share with any x that is linked with it but not with the hub.
 
-    With d(s) the values that s and the hub h don't share and c = (1 - t) / (1 + t): x and y are linked if they differ in at
-    most c (|x| + |y|) values, x and h are not linked, so d(x) > c (|x| + |h|), and x and y differ in d(x) + d(y) less
-    twice what d(x) and d(y) share. So they share more than (d(y) + c (|h| - |y|)) / 2 values of d(y), and one of any
-    d(y) values but that many.
+    With c = (1 - t) / (1 + t): x and y are linked if they differ in at most c (|x| + |y|) values, x and the hub h are not
+    linked, so d(x) > c (|x| + |h|), and x and y differ in d(x) + d(y) less twice what d(x) and d(y) share. So they share
+    more than (d(y) + c (|h| - |y|)) / 2.
     """
     num, den = t
-    d = np.concatenate([np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)])
-    spared = (len(d) * (den + num) + (den - num) * (len(hub) - len(own))) // (2 * (den + num))
-    return d, len(d) - spared
+    return (d * (den + num) + (den - num) * (hub - n)) / (2 * (den + num))
 
 
-def _departure_lists(spokes: DataFrame, docs: DataFrame, width: int, t: tuple[int, int]) -> DataFrame:
-    """key, id, x: classes x (not joined with the hub) and their possible partners by the values that set them apart from it."""
+def _departures(spokes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """A row for each member of a hub and bucket of values: the set's size, the hub's, all departures, and those in the bucket (its own first)."""
 
     def run(batches):
         for rows in streamed(batches, width):
-            keys, ids, xs = [], [], []
-            for head, member, x, hub, own in rows:
-                d, few = departures(hub, own, t)
-                salt = tx.mix64(np.array([head], np.int64).view(np.uint64))
-                made = tx.mix64(d ^ salt).view(np.int64)
-                for part, mark in ((made[:few], False), (made, True)) if x else ((made[:few], False),):
-                    keys.append(part)
-                    ids.append(np.full(len(part), member))
-                    xs.append(np.full(len(part), mark))
-            out = [np.concatenate(c) if c else [] for c in (keys, ids, xs)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["key", "id", "x"])
-
-    return against_heads(sliced(spokes), docs, width).mapInArrow(run, "key long, id long, x boolean")
-
+            out = []
+            for (head, buckets), member, x, hub, own in rows:
+                parts = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
+                d = np.concatenate(parts)
+                of = d % np.uint64(buckets)
+                for k in range(buckets):
+                    mine = d[of == k] if buckets > 1 else d
+                    out.append((head, k, buckets, member, x, len(own), len(hub), len(d), mine.tobytes()))
+            names = ["head", "bucket", "buckets", "id", "x", "n", "hub", "d", "values"]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
+
+    return against_heads(sliced(spokes), docs, width, "buckets").mapInArrow(run, "head long, bucket int, buckets int, id long, x boolean, n long, hub long, d long, values binary")
+
+
+def _compared(rows: DataFrame, components: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """a, b, sure: links of classes x with others that they are not joined with; where a hub has several buckets, possible links."""
+    num, den = t
 
-def _apart(lists: DataFrame, components: DataFrame) -> DataFrame:
-    """a < b: each x of a list with the others that it is not joined with."""
-    m = _joined(lists, components, "id")
-    x, y = m.where("x").select("key", F.col("id").alias("p"), F.col("c_id").alias("c_p")), m.where("NOT x").select("key", F.col("id").alias("q"), F.col("c_id").alias("c_q"))
-    return x.join(y, "key").where("c_p <> c_q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    def compare(group: pa.Table) -> pa.Table:
+        ids, comp, n, hub, total = (group.column(c).to_numpy() for c in ("id", "c_id", "n", "hub", "d"))
+        whole = group.column("buckets")[0].as_py() == 1
+        values = [np.frombuffer(v, np.uint64) for v in group.column("values").to_pylist()]
+        here = np.array([len(v) for v in values])
+        least = spared(total, n, hub, t) * here / np.maximum(total, 1)  # a share of the bucket
+        few = (here - np.floor(least)).astype(np.int64)
+        owner = np.repeat(np.arange(len(ids)), few)
+        listed = np.concatenate([v[:k] for v, k in zip(values, few.tolist(), strict=True)])
+        order = np.argsort(listed, kind="stable")
+        listed, owner = listed[order], owner[order]
+        values = [np.sort(v) for v in values]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        found = []
+        for x in np.flatnonzero(group.column("x").to_numpy(zero_copy_only=False)).tolist():
+            lo, hi = np.searchsorted(listed, values[x], "left"), np.searchsorted(listed, values[x], "right")
+            met = np.unique(np.concatenate([owner[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True) if j > i] or [owner[:0]]))
+            met = met[(den * np.minimum(n[met], n[x]) >= num * np.maximum(n[met], n[x])) & (comp[met] != comp[x])]
+            for y in met.tolist():
+                if find(int(comp[x])) == find(int(comp[y])):
+                    continue
+                shared = common(values[x], values[y])
+                same = (n[x] + n[y] - (total[x] + total[y] - 2 * shared)) // 2
+                if whole and den * same >= num * (n[x] + n[y] - same):
+                    root[find(int(comp[x]))] = find(int(comp[y]))
+                    found.append((x, y))
+                elif not whole and shared > least[y]:
+                    found.append((x, y))
+        both = ids[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.table({"a": pa.array(both.min(1), pa.int64()), "b": pa.array(both.max(1), pa.int64()), "sure": pa.array(np.full(len(both), whole))})
+
+    return _joined(rows, components, "id").groupBy("head", "bucket").applyInArrow(compare, "a long, b long, sure boolean")
 
 
 def _links_apart(long: DataFrame, links: DataFrame, components: DataFrame, docs: DataFrame, classes: DataFrame, width: int, t: tuple[int, int]) -> DataFrame:
@@ -224,18 +258,12 @@ def _links_apart(long: DataFrame, links: DataFrame, components: DataFrame, docs:
     spokes = materialise(_spokes(long, components))
     if spokes.isEmpty():
         return components
-    found = materialise(_departure_lists(spokes, docs, width, t))
-    counts = found.groupBy("key").agg(F.count("*").alias("cnt"), F.max("x").alias("any"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("any AND lo < hi").select("key", "cnt")
-    lists = materialise(found.join(counts, "key"))
-    long = lists.where(F.col("cnt") > LONG)
-    stars = _star_pairs(long.select("key", "id", "cnt", F.lit(0).alias("hub")).distinct())
-    first = _apart(lists.where(F.col("cnt") <= LONG), components).unionByName(stars).distinct()
-    links = materialise(links.unionByName(_linked(first, classes, docs, width, t)))
-    components = _components(links)
-    rest = materialise(_apart(long, components))
-    if not rest.isEmpty():
-        components = _components(links.unionByName(_linked(rest, classes, docs, width, t)))
-    return components
+    found = materialise(_compared(_departures(spokes, docs, width), components, t).distinct())
+    more = found.where("sure").select("a", "b")
+    possible = found.where("NOT sure").select("a", "b")
+    if not possible.isEmpty():
+        more = more.unionByName(_linked(possible, classes, docs, width, t))
+    return components if more.isEmpty() else _components(links.unionByName(more))
 
 
 def _may_link(estimated: tuple[float, int], t: tuple[int, int]) -> bool:
@@ -267,7 +295,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, t
     def run(batches):
         for rows in streamed(batches, width):
             out = []
-            for head, member, _, x, y in rows:
+            for (head, _), member, _, x, y in rows:
                 same = common(x, y)
                 if den * same >= num * (len(x) + len(y) - same):
                     out.append((min(head, member), max(head, member)))

@@ -44,33 +44,35 @@ def sliced(work: DataFrame) -> DataFrame:
     return work.withColumn("slice", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / SLICE)).cast("int")).drop("n")
 
 
-def against_heads(work: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Rows (head, slice, member, mark, text): in each partition a head's text, then those of its members.
+def against_heads(work: DataFrame, docs: DataFrame, width: int, tag: str | None = None) -> DataFrame:
+    """Rows (head, slice, member, mark, tag, text): in each partition a head's text, then those of its members.
 
-    work: head, member, slice and, if wanted, mark (boolean). A head's text goes out once for each slice of its members,
-    a member's once for each of its pairs; no task holds more than one head beside the batch it reads.
+    work: head, member, slice and, if wanted, mark (boolean) and a number of the head's in the column that tag names.
+    A head's text goes out once for each slice of its members, a member's once for each of its pairs; no task holds more
+    than one head beside the batch it reads.
     """
-    work = materialise(work if "mark" in work.columns else work.withColumn("mark", F.lit(False)))
+    mark, number = F.col("mark") if "mark" in work.columns else F.lit(False), F.col(tag) if tag else F.lit(0)
+    work = materialise(work.select("head", "member", "slice", mark.alias("mark"), number.cast("int").alias("tag")))
     ids = materialise(work.select(F.explode(F.array("head", "member")).alias("doc_id")).distinct())
     texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
-    heads = work.select("head", "slice").distinct().join(texts.withColumnRenamed("doc_id", "head"), "head")
-    heads = heads.select("head", "slice", F.lit(None).cast("long").alias("member"), F.lit(False).alias("mark"), "text")
-    members = work.join(texts.withColumnRenamed("doc_id", "member"), "member").select("head", "slice", "member", "mark", "text")
+    heads = work.select("head", "slice", "tag").distinct().join(texts.withColumnRenamed("doc_id", "head"), "head")
+    heads = heads.select("head", "slice", F.lit(None).cast("long").alias("member"), F.lit(False).alias("mark"), "tag", "text")
+    members = work.join(texts.withColumnRenamed("doc_id", "member"), "member").select("head", "slice", "member", "mark", "tag", "text")
     return heads.unionByName(members).repartition("head", "slice").sortWithinPartitions("head", "slice", F.col("member").asc_nulls_first(), "text")
 
 
-def streamed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Iterator[tuple[int, int, bool, np.ndarray, np.ndarray]]]:
-    """For each batch of against_heads: (head, member, mark, the head's set, the member's set)."""
+def streamed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Iterator[tuple[tuple[int, int], int, bool, np.ndarray, np.ndarray]]]:
+    """For each batch of against_heads: ((head, tag), member, mark, the head's set, the member's set)."""
     held = {"set": np.zeros(0, np.uint64)}
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for start in range(0, len(batch), 256):
             part = batch.slice(start, 256)
-            for head, member, mark, h in zip(*(part.column(c).to_pylist() for c in ("head", "member", "mark")), sets_of(part.column("text"), width), strict=True):
+            for head, member, mark, tag, h in zip(*(part.column(c).to_pylist() for c in ("head", "member", "mark", "tag")), sets_of(part.column("text"), width), strict=True):
                 if member is None:
                     held["set"] = h
                 else:
-                    yield head, member, mark, held["set"], h
+                    yield (head, tag), member, mark, held["set"], h
 
     for batch in batches:
         yield rows(batch)
