@@ -50,6 +50,11 @@ def chain(ev: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataF
     return ev.select("evidence_id", "case_id", "type").join(e, "evidence_id", "left").join(r, "evidence_id", "left")
 
 
+def evidence_of(ev: DataFrame, case_id: str) -> DataFrame:
+    """EV-2: the evidence of a case."""
+    return ev.where(F.col("case_id") == case_id)
+
+
 def search_evidence(ev: DataFrame, text: str) -> DataFrame:
     """EV-4."""
     return ev.where(F.contains(F.lower("type"), F.lit(text.lower())) | F.contains(F.lower("description"), F.lit(text.lower())))
@@ -79,6 +84,11 @@ def list_cases(cases: DataFrame, limit: int = 50, offset: int = 0, **equal: str)
     return page.join(F.broadcast(total), F.lit(True))
 
 
+def case_by_id(cases: DataFrame, case_id: str) -> DataFrame:
+    """CS-3."""
+    return cases.where(F.col("id") == case_id)
+
+
 def update_cases(cases: DataFrame, updates: DataFrame, as_of: str) -> DataFrame:
     """CS-4: whitelisted fields of the updates with valid values; closed_at is set when a case first closes."""
     u = updates.select("id", *[c for c in updates.columns if c in UPDATABLE])

@@ -75,14 +75,14 @@ def mentions(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         F.struct(F.lit(k).alias("rule_no"), F.lit(r.type).alias("rule"), F.lit(r.confidence).alias("confidence"), F.lit(r.source).alias("evidence_source"), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group)).alias("found"))
         for k, r in enumerate(rules)
     ])
-    rows = docs.select("doc_id", "text", F.inline(per_rule)).where(F.size("found") > 0)
-    rows = rows.select("doc_id", "text", "rule_no", "rule", "confidence", "evidence_source", F.posexplode("found").alias("pos", "hit"))
+    rows = docs.select("doc_id", F.substring("text", 1, SNIPPET).alias("source_text"), F.inline(per_rule)).where(F.size("found") > 0)
+    rows = rows.select("doc_id", "source_text", "rule_no", "rule", "confidence", "evidence_source", F.posexplode("found").alias("pos", "hit"))
     cue = F.when(F.col("rule") == "PERSON", F.lower(F.regexp_extract("hit", CUE, 1)))
     raw = F.when(F.col("rule") == "PERSON", F.regexp_replace("hit", CUE, "")).when(F.col("rule") == "PHONE", F.regexp_replace("hit", r"[\s\-]", "")).otherwise(F.trim("hit"))
     kind = F.when(F.col("role_hint").isin("victim", "complainant"), "VICTIM").when(F.col("role_hint").isin("accused", "suspect"), "SUSPECT").otherwise(F.col("rule"))
     rows = rows.withColumns({"role_hint": cue, "raw_value": raw}).withColumn("type", kind)
     rows = rows.where(~((F.col("type") == "IP_ADDRESS") & F.rlike("raw_value", F.lit(PRIVATE_IP)))).where((F.col("type") != "LOCATION") | (F.length("raw_value") > 3))
-    rows = rows.withColumn("value", normal_value(F.col("type"), F.col("raw_value"))).withColumn("source_text", F.substring("text", 1, SNIPPET))
+    rows = rows.withColumn("value", normal_value(F.col("type"), F.col("raw_value")))
     return rows.select("doc_id", "rule_no", "pos", "type", "raw_value", "value", "confidence", "evidence_source", "role_hint", "source_text")
 
 

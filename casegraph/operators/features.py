@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegraph.functions.scratch import materialise
+
 # Descriptions (lower case) that count as suspicious.
 SUSPICIOUS = (
     "dormant account sudden activity", "offshore transfer to tax haven", "layered transfer via intermediary", "high-value cross-border wire",
@@ -90,17 +92,37 @@ def split(rows: DataFrame, key: str, label: str, shares: tuple[float, float] = (
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """ML-25: one row per column: missing, distinct, range, mean, quartiles, deviation, zeros, negatives and 3-sigma outliers.
 
-    The columns are unpivoted, so one pass serves all; outliers need the mean first and take a second.
+    One pass counts the values of all columns; the rest is done on distinct values. Quartiles are exact (linear between
+    neighbours): values are dealt by range, so that running counts need no more than the totals of the ranges before.
     """
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
-    q = lambda p: F.percentile("x", F.lit(p))
-    agg = long.groupBy("column").agg(
-        F.count("*").alias("rows"), F.count(F.when(F.col("x").isNull(), 1)).alias("missing"), F.countDistinct("x").alias("distinct"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),
-        q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.stddev_samp("x").alias("std"), F.count(F.when(F.col("x") == 0, 1)).alias("zeros"), F.count(F.when(F.col("x") < 0, 1)).alias("negatives"),
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    counts = materialise(df.select(F.inline(pairs)).groupBy("column", "x").agg(F.count("*").alias("n")))
+    known, x, n = F.col("x").isNotNull(), F.col("x"), F.col("n")
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    agg = counts.groupBy("column").agg(
+        F.sum("n").alias("rows"), total(~known).alias("missing"), F.count("x").alias("distinct"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(x * n) / total(known)).alias("mean"),
+        total(x == 0).alias("zeros"), total(x < 0).alias("negatives"),
     )
-    far = long.join(F.broadcast(agg.select("column", "mean", "std")), "column")  # one row for each named column
-    far = far.groupBy("column").agg(F.count(F.when(F.abs(F.col("x") - F.col("mean")) > 3 * F.col("std"), 1)).alias("outliers"))
-    return agg.join(far, "column")
+    far = counts.where(known).join(F.broadcast(agg.select("column", "mean")), "column")  # one row for each named column
+    var = F.sum((x - F.col("mean")) * (x - F.col("mean")) * n)
+    agg = agg.join(far.groupBy("column").agg(F.when(F.sum("n") > 1, F.sqrt(var / (F.sum("n") - 1))).alias("std")), "column", "left")
+    far = counts.where(known).join(F.broadcast(agg.select("column", "mean", "std")), "column")
+    agg = agg.join(far.groupBy("column").agg(total(F.abs(x - F.col("mean")) > 3 * F.col("std")).alias("outliers")), "column", "left").fillna(0, ["outliers"])
+    ranges = materialise(counts.where(known).repartitionByRange("column", "x").withColumn("range", F.spark_partition_id()))
+    sums = ranges.groupBy("column", "range").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("column", "range", F.coalesce(before, F.lit(0)).alias("before"))
+    up_to = F.sum("n").over(Window.partitionBy("column", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranges.withColumn("up_to", up_to).join(sums, ["column", "range"]).join(F.broadcast(agg.select("column", (F.col("rows") - F.col("missing")).alias("all"))), "column")
+
+    def quantile(p: float) -> Column:
+        at = (F.col("all") - 1) * F.lit(p)
+        value = lambda place: F.min(F.when(F.col("before") + F.col("up_to") > place, x))
+        low, high = value(F.floor(at)), value(F.ceil(at))
+        return low + (high - low) * F.max(at - F.floor(at))
+
+    q = placed.groupBy("column").agg(quantile(0.5).alias("median"), quantile(0.25).alias("q25"), quantile(0.75).alias("q75"))
+    return agg.join(q, "column", "left")
 
 
 def profile_top(df: DataFrame, columns: list[str], n: int = 5) -> DataFrame:

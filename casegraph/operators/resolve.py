@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegraph.functions.expr import key12
@@ -17,9 +17,10 @@ def merge_entities(rows: DataFrame) -> DataFrame:
     first = lambda c: F.min_by(c, F.col("seq"))
     ids = lambda c: F.array_sort(F.collect_set(c))
     key = entity_key(F.col("type"), F.col("value"))
-    # Equal texts fold before they are collected, so a hot entity gathers distinct texts only, three at most.
-    texts = rows.groupBy(key.alias("key"), "source_text").agg(F.min("seq").alias("at")).where("source_text IS NOT NULL")
-    texts = texts.groupBy("key").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("at", "source_text"))), 1, 3), lambda t: t["source_text"]).alias("source_texts"))
+    # Equal texts fold, and tasks pass on the first three of an entity at most, before any are collected.
+    texts = rows.where("source_text IS NOT NULL").groupBy(key.alias("key"), "source_text").agg(F.min("seq").alias("at"))
+    texts = texts.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("at", "source_text"))).where("place <= 3")
+    texts = texts.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source_text"))), lambda t: t["source_text"]).alias("source_texts"))
     out = rows.groupBy(key.alias("key")).agg(
         first("type").alias("type"), first("value").alias("value"), first("raw_value").alias("raw_value"), F.max("confidence").alias("confidence"), first("evidence_source").alias("evidence_source"),
         ids("evidence_id").alias("evidence_ids"), ids("case_id").alias("case_ids"), F.count("*").alias("mentions"),
@@ -75,3 +76,8 @@ def relate(docs: DataFrame, supplied: DataFrame, store: DataFrame) -> DataFrame:
 def for_case(rows: DataFrame, case_id: str) -> DataFrame:
     """ER-7."""
     return rows.where(F.array_contains("case_ids", case_id))
+
+
+def by_id(entities: DataFrame, ids: DataFrame) -> DataFrame:
+    """ER-7: the entities named in ids (entity_id)."""
+    return entities.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")

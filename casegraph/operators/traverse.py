@@ -6,30 +6,16 @@ a lost executor costs one round. Frontiers carry their seed, so all seeds run in
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegraph import schemas as S
+from casegraph.functions.scratch import materialise as write
 from casegraph.operators.components import star_components
 from casegraph.operators.graph import undirected
 from casegraph.operators.patterns import neighbours
 
 
-def write(df: DataFrame) -> DataFrame:
-    """df as Parquet below spark.checkpoint.dir (a temporary folder only where the session names none), read back."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="casegraph-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/casegraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _arcs(edges: DataFrame, direction: str) -> DataFrame:
     """at -> to in the wanted direction."""
     out = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
@@ -121,36 +107,45 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def component_sizes(of: DataFrame) -> DataFrame:
-    """GR-10: components by size, largest first, numbered from 0."""
+    """GR-10: components by size, largest first, numbered from 0.
+
+    Components are dealt by range and numbered inside it, on top of the counts of the ranges before.
+    """
     sizes = of.groupBy("component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("index", F.row_number().over(Window.orderBy(F.desc("size"), "component")) - 1)
+    ranges = write(sizes.repartitionByRange(F.desc("size"), "component").withColumn("range", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    offsets = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("size"), "component"))
+    return ranges.withColumn("place", place).join(F.broadcast(offsets), "range").select("component", "size", (F.col("before") + F.col("place") - 1).alias("index"))
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, max_rounds: int = 200, tol: float = 1e-6, fixed_rounds: int | None = None) -> DataFrame:
     """GR-15: (id, rank); dangling mass is spread evenly, ranks are brought back to a sum of 1 each round.
 
-    Stops when the summed change falls below N * tol, or after fixed_rounds.
+    Stops when the summed change falls below N * tol, or after fixed_rounds. A round is one join and two aggregations by
+    vertex; its sums (all ranks, those of dangling vertices, the change) come from one pass over what it wrote.
     """
-    v = write(vertices.select("id").distinct())
-    n = v.count()
+    v = vertices.select("id").distinct()
+    arcs = write(edges.select("src", "dst").distinct())
+    out = arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
+    state = write(v.join(out, "id", "left").select("id", "out", F.lit(1.0).alias("rank"), F.lit(0.0).alias("old")))
+    sums = lambda df: df.agg(F.count("*"), F.sum("rank"), F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.sum(F.abs(F.col("rank") - F.col("old")))).first()
+    n, total, dangling, _ = sums(state)
     if not n:
         return v.withColumn("rank", F.lit(0.0))
-    arcs = edges.select("src", "dst").distinct()
-    out = arcs.groupBy("src").agg(F.count("*").alias("out"))
-    arcs = write(arcs.join(out, "src").repartition("src"))
-    state = write(v.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "out", F.lit(1.0 / n).alias("rank")))
-    for _ in range(fixed_rounds or max_rounds):
-        dangling = state.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = arcs.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        new = state.join(given, "id", "left").select("id", "out", F.col("rank").alias("old"), ((1 - alpha) / n + alpha * (dangling / n + F.coalesce("got", F.lit(0.0)))).alias("rank"))
-        new = write(new)
-        total = new.agg(F.sum("rank")).first()[0]
-        new = new.withColumn("rank", F.col("rank") / total)
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        state = new.select("id", "out", "rank")
+    for k in range(fixed_rounds or max_rounds):
+        now = state.select("id", "out", (F.col("rank") / total).alias("old"))
+        given = now.where("out IS NOT NULL").select(F.col("id").alias("src"), (F.col("old") / F.col("out")).alias("share")).join(arcs, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        base = (1 - alpha) / n + alpha * (dangling or 0.0) / total / n
+        state = write(now.join(given, "id", "left").select("id", "out", (base + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"), "old"))
+        if k + 1 == fixed_rounds:
+            break
+        _, total, dangling, change = sums(state)
         if not fixed_rounds and change < n * tol:
             break
-    return state.select("id", "rank")
+    if fixed_rounds:
+        total = state.agg(F.sum("rank")).first()[0]
+    return state.select("id", (F.col("rank") / total).alias("rank"))
 
 
 def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None) -> DataFrame:
@@ -189,6 +184,27 @@ def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None
     return v.join(total, "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """GR-18: members (sorted array) of every triangle, whether or not it is part of a larger clique.
+
+    Edges point from the vertex of lower (degree, id) to the other, so no vertex points at more than the square root of
+    twice the edges, and each triangle is found once, at the vertex that points at both others.
+    """
+    arcs = write(_upward(edges))
+    two = arcs.join(arcs.select("u", F.col("v").alias("w")), "u").where("v < w")
+    closed = arcs.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("w"))
+    return two.join(closed, ["v", "w"]).select(F.array_sort(F.array("u", "v", "w")).alias("members"))
+
+
+def _upward(edges: DataFrame) -> DataFrame:
+    """u, v: each undirected edge from the vertex of lower (degree, id) to the other."""
+    und = undirected(edges)
+    deg = und.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
+    sides = und.join(deg.withColumnsRenamed({"id": "a", "deg": "da"}), "a").join(deg.withColumnsRenamed({"id": "b", "deg": "db"}), "b")
+    low = F.struct("da", "a") < F.struct("db", "b")
+    return sides.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
+
+
 def maximal_cliques(edges: DataFrame) -> DataFrame:
     """GR-18: members (sorted array) of the maximal cliques of three or more, of any size.
 
@@ -196,11 +212,7 @@ def maximal_cliques(edges: DataFrame) -> DataFrame:
     the square root of twice the edges. Each vertex's task grows the cliques of its out-list (Bron and Kerbosch with a
     pivot), so none comes twice. A clique is maximal unless some vertex points at all of it.
     """
-    und = undirected(edges)
-    deg = und.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
-    sides = und.join(deg.withColumnsRenamed({"id": "a", "deg": "da"}), "a").join(deg.withColumnsRenamed({"id": "b", "deg": "db"}), "b")
-    low = F.struct("da", "a") < F.struct("db", "b")
-    arcs = write(sides.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v")))
+    arcs = write(_upward(edges))
     out = write(arcs.groupBy("u").agg(F.collect_set("v").alias("out")))
     then = out.select(F.col("u").alias("c"), F.col("out").alias("more"))
     near = out.where(F.size("out") > 1).select("u", "out", F.explode("out").alias("c")).join(then, "c")

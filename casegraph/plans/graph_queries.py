@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casegraph.functions.scratch import scratch_path
 from casegraph.operators import graph as G
 from casegraph.operators import patterns as P
 from casegraph.operators import roles as R
 from casegraph.operators import traverse as T
 from casegraph.plans.driver_views import calls, edges, transfers, vertices, with_views
 from casegraph.plans.sqltext import clamp4, sig
-from casegraph.plans.transfer_queries import FLOWS, HUB, LEGS, MULE, RAPID, VELOCITY
+from casegraph.sources import io as O
+from casegraph.plans.transfer_queries import FLOWS, HUB, LAYERING, LEGS, MULE, RAPID, VELOCITY
 
 BOTH = "both_ways AS (SELECT src AS id, dst AS nbr, rel, confidence FROM edges UNION ALL SELECT dst, src, rel, confidence FROM edges)"
 
@@ -43,8 +45,7 @@ def shared_sim(spark, d):
 
 
 def triangles(spark, d):
-    c = T.maximal_cliques(edges(spark, d))
-    return c.where(F.size("members") == 3).select(F.array_join("members", ">").alias("members"))
+    return T.triangles(edges(spark, d)).select(F.array_join("members", ">").alias("members"))
 
 
 def dense_clusters(spark, d):
@@ -58,7 +59,7 @@ def findings_all(spark, d):
     t = transfers(spark, d)
     return P.findings(
         sim_swap=sim_swap(spark, d), mule=P.mule(t, 0.05), rapid_hop=P.rapid_hop(t), shared_device=P.shared_device(v, e), shared_sim=P.shared_sim(v, e),
-        velocity=P.velocity(t), comm_hub=P.comm_hub(calls(spark, d), ratio=1.02), hub_edges=hub_edges(spark, d), dense_cluster=P.dense_clusters(T.maximal_cliques(e), v),
+        velocity=P.velocity(t), comm_hub=P.comm_hub(calls(spark, d), ratio=1.02), hub_edges=hub_edges(spark, d), dense_cluster=P.dense_clusters(T.maximal_cliques(e), v), layering=P.layering(t),
     )
 
 
@@ -66,13 +67,13 @@ def analysis(spark, d):
     return P.analysis(findings_all(spark, d))
 
 
-def findings_whole(spark, d):
-    """All detectors: findings_all and layering, which has too many chains for SQL."""
-    return findings_all(spark, d).unionByName(P.findings(layering=P.layering(transfers(spark, d))))
-
-
-def analysis_whole(spark, d):
-    return P.analysis(findings_whole(spark, d))
+def analysis_stored(spark, d):
+    """The analysis stored by case, one case replaced and read back."""
+    path = scratch_path(spark)
+    found = analysis(spark, d)
+    O.replace_case(found.unionByName(found.withColumn("case_id", F.lit("c2"))), path)
+    O.replace_case(found.withColumns({"case_id": F.lit("c2"), "total": F.lit(0).cast("long")}), path)
+    return O.of_stored(spark, path, "c1").unionByName(O.of_stored(spark, path, "c2")).select("case_id", "total", "top_score", "by_pattern")
 
 
 def graph_filter(spark, d):
@@ -164,6 +165,49 @@ def betweenness_small(spark, d):
     return T.betweenness(v.where("type IN ('SIM', 'BANK_ACCOUNT')"), e.where("dst LIKE 'N%' AND src LIKE 'S%'")).withColumn("betweenness", F.round("betweenness", 9))
 
 
+def _stars(spark, d):
+    """Customers, suppliers and nations with the links to their nation: 25 stars, whose centralities SQL can tell."""
+    v, e = _ve(spark, d)
+    return v.where("type <> 'DEVICE'"), e.where("dst LIKE 'N%'")
+
+
+def _calls_of_suppliers(spark, d):
+    return calls(spark, d).withColumns({x: F.concat(F.lit("S"), F.substring(x, 2, 20)) for x in ("caller", "receiver")})
+
+
+def roles_stars(spark, d):
+    """All six roles with betweenness from every source and PageRank, on the stars."""
+    v, e = _stars(spark, d)
+    return R.assign(v, e, account_transfers(spark, d), _calls_of_suppliers(spark, d), T.betweenness(v, e), T.pagerank(v, e, fixed_rounds=3))
+
+
+def roles_assigned(spark, d):
+    r = roles_stars(spark, d)
+    return r.select("id", *[F.round(c, 3).alias(c) for c in ("coordinator", "intermediary", "mule", "technical", "victim", "unknown")], "primary_role", F.size("evidence").alias("n_evidence"), (F.length("explanation") > 0).alias("explained"))
+
+
+def roles_stored(spark, d):
+    """Vertices by role, stored by case and read back."""
+    path = scratch_path(spark)
+    O.replace_case(R.tally(roles_stars(spark, d).withColumn("case_id", F.lit("c1")), "case_id"), path)
+    return O.of_stored(spark, path, "c1").select("case_id", "primary_role", "n")
+
+
+PIVOTS = 64
+
+
+def betweenness_whole(spark, d):
+    """Over all vertices and edges, from 64 sources chosen by hash (all sources take vertices times edges)."""
+    return T.betweenness(*_ve(spark, d), pivots=PIVOTS)
+
+
+def roles_whole(spark, d):
+    """All six roles over the whole graph, with sampled betweenness and PageRank to its tolerance."""
+    v, e = _ve(spark, d)
+    r = R.assign(v, e, account_transfers(spark, d), _calls_of_suppliers(spark, d), T.betweenness(v, e, pivots=PIVOTS), T.pagerank(v, e))
+    return r.select("id", "primary_role", "role_score", F.array_join("evidence", "; ").alias("evidence"))
+
+
 def role_volumes(spark, d):
     c = calls(spark, d).withColumns({x: F.concat(F.lit("S"), F.substring(x, 2, 20)) for x in ("caller", "receiver")})
     out = R.volumes(vertices(spark, d).where("type = 'BANK_ACCOUNT'"), account_transfers(spark, d), c)
@@ -186,8 +230,11 @@ def _supplier_transfers(sql: str, *views: str) -> str:
     return made.replace("transfers AS (SELECT event_id", "t0 AS (SELECT event_id", 1)
 
 
-TRI = """und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst),
-tri AS (SELECT x.a, x.b, y.b AS c FROM und x JOIN und y ON x.b = y.a JOIN und z ON z.a = x.a AND z.b = y.b)"""
+TRI = """und AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst),
+deg AS MATERIALIZED (SELECT id, count(*) AS d FROM (SELECT unnest([a, b]) AS id FROM und) GROUP BY id),
+arc AS MATERIALIZED (SELECT CASE WHEN (x.d, a) < (y.d, b) THEN a ELSE b END AS u, CASE WHEN (x.d, a) < (y.d, b) THEN b ELSE a END AS v FROM und JOIN deg x ON x.id = a JOIN deg y ON y.id = b),
+wedge AS MATERIALIZED (SELECT p.u, p.v, q.v AS w FROM arc p JOIN arc q ON p.u = q.u AND p.v < q.v),
+tri AS (SELECT m[1] AS a, m[2] AS b, m[3] AS c FROM (SELECT list_sort([u, v, w]) AS m FROM wedge JOIN und ON und.a = v AND und.b = w))"""
 HUBE = f"SELECT src AS id, count(*) AS n, {clamp4(sig('count(*)', 6, 0.3))} AS score, 0.5::DOUBLE AS confidence FROM edges WHERE rel = 'TRANSFERRED_TO' AND src IN (SELECT id FROM vertices WHERE type IN ('PHONE', 'PERSON')) GROUP BY src HAVING count(*) >= 4"
 SWAP = f"""{LEGS}, {BOTH}, tx AS (SELECT account, count(*) AS tx FROM legs GROUP BY account),
 ph AS (SELECT b.id AS sim, b.nbr AS phone FROM both_ways b JOIN vertices s ON s.id = b.id AND s.type = 'SIM' JOIN vertices p ON p.id = b.nbr AND p.type IN ('PHONE', 'PERSON')),
@@ -246,9 +293,37 @@ BETWEEN = """k AS (SELECT dst AS id, count(*)::DOUBLE AS k FROM edges WHERE dst
 SELECT v.id, round(coalesce(k * (k - 1), 0.0) / ((n - 1) * (n - 2)), 9) AS betweenness FROM vertices v CROSS JOIN n LEFT JOIN k ON k.id = v.id WHERE type IN ('SIM', 'BANK_ACCOUNT')"""
 VE = ("vertices", "edges")
 
+
+def _least_labels(rounds: int) -> str:
+    """The least id within so many edges: that of the component where no path is longer."""
+    steps = ["l0 AS (SELECT id, id AS c FROM vertices)"]
+    steps += [f"l{k + 1} AS MATERIALIZED (SELECT l.id, least(l.c, coalesce(n.c, l.c)) AS c FROM l{k} l LEFT JOIN (SELECT b.id, min(o.c) AS c FROM both_ways b JOIN l{k} o ON o.id = b.nbr GROUP BY b.id) n ON n.id = l.id)" for k in range(rounds)]
+    return ", ".join(steps)
+
+
+WHOLE = f", {BOTH}, {_least_labels(9)}"
+# In a star only the hub lies between its leaves; its rank and theirs come from three rounds.
+STARS = f"""{VOLUMES}, sv AS (SELECT * FROM vertices WHERE type <> 'DEVICE'), se AS (SELECT * FROM edges WHERE dst LIKE 'N%'), nn AS (SELECT count(*)::DOUBLE AS n FROM sv),
+sb AS (SELECT id, src AS nbr FROM (SELECT dst AS id, src FROM se) UNION ALL SELECT src, dst FROM se),
+sd AS (SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM se UNION ALL SELECT dst, 1, 0 FROM se) GROUP BY id),
+sy AS (SELECT b.id, count(*) FILTER (v.type = 'BANK_ACCOUNT') AS accounts, count(*) FILTER (v.type = 'DEVICE') AS devices, count(*) FILTER (v.type = 'SIM') AS sims FROM sb b JOIN sv v ON v.id = b.nbr GROUP BY b.id),
+{_ranks(3).replace('edges', 'se').replace('vertices', 'sv').rsplit(' SELECT', 1)[0]},
+sx AS (SELECT vol.*, coalesce(degree, 0) AS degree, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, coalesce(accounts, 0) AS accounts, coalesce(devices, 0) AS devices, coalesce(sims, 0) AS sims, r3.rank AS rank,
+  CASE WHEN vol.type = 'SIM' THEN coalesce(in_degree * (in_degree - 1), 0) / ((nn.n - 1) * (nn.n - 2)) ELSE 0.0::DOUBLE END AS bc FROM vol JOIN sv ON sv.id = vol.id CROSS JOIN nn LEFT JOIN sd ON sd.id = vol.id LEFT JOIN sy ON sy.id = vol.id LEFT JOIN r3 ON r3.id = vol.id),
+sc AS (SELECT *, round(0.35 * {sig('bc', 0.1, 15)} + 0.30 * {sig('rank', 0.05, 20)} + 0.20 * {sig('out_degree', 5, 0.4)} + 0.15 * {sig('calls_out', 5, 0.3)}, 4) AS coordinator,
+  round(0.30 * {sig('bc', 0.05, 12)} + 0.30 * {sig('degree', 4, 0.5)} + 0.25 * least(in_degree, out_degree) / greatest(in_degree, out_degree, 1)::DOUBLE + 0.15 * {sig('fwd', 0.5, 4)}, 4) AS intermediary,
+  round(CASE WHEN type = 'BANK_ACCOUNT' OR (received > 0 AND forwarded > 0) THEN 0.5 * {sig('fwd', 0.8, 8)} + 0.3 * {sig('n_in', 3, 0.8)} + 0.2 * (1 - {sig('degree', 6, 0.5)}) ELSE 0.0 END, 4) AS mule,
+  round(CASE WHEN type IN ('DEVICE', 'SIM') THEN 0.7 * {sig('accounts + devices + sims + degree', 3, 0.7)} + 0.3 * {sig('degree', 4, 0.5)} ELSE 0.0 END, 4) AS technical,
+  round(least((CASE WHEN coalesce(risk, 0) < 0.3 THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN in_degree > 0 AND out_degree = 0 THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN received > 0 AND forwarded = 0 THEN 0.2::DOUBLE ELSE 0 END), 0.8), 4) AS victim FROM sx),
+su AS (SELECT *, round(greatest(0.0::DOUBLE, 0.4 - 0.4 * greatest(coordinator, intermediary, mule, technical, victim)), 4) AS unknown FROM sc),
+ro AS (SELECT *, greatest(coordinator, intermediary, mule, technical, victim, unknown) AS best FROM su),
+assigned AS (SELECT *, CASE best WHEN coordinator THEN 'Potential Coordinator' WHEN intermediary THEN 'Potential Intermediary' WHEN mule THEN 'Potential Mule Account' WHEN technical THEN 'Technical/Device Node' WHEN victim THEN 'Victim' ELSE 'Unknown' END AS primary_role FROM ro)"""
+ASSIGNED = """ SELECT id, round(coordinator, 3) AS coordinator, round(intermediary, 3) AS intermediary, round(mule, 3) AS mule, round(technical, 3) AS technical, round(victim, 3) AS victim, round(unknown, 3) AS unknown, primary_role,
+  ((bc > 0.05)::INT + (rank > 0.01)::INT + (received + forwarded > 0)::INT + (fwd > 0)::INT + (accounts > 0)::INT + (devices > 0)::INT + (sims > 0)::INT + (calls_in + calls_out > 0)::INT)::INTEGER AS n_evidence, true AS explained FROM assigned"""
+
 QUERIES = {
     "hub_edges": hub_edges, "sim_swap": sim_swap, "shared_device": shared_device, "shared_sim": shared_sim, "triangles": triangles, "dense_clusters": dense_clusters, "findings_all": findings_all, "analysis": analysis,
-    "findings_whole": findings_whole, "analysis_whole": analysis_whole,
+    "findings_whole": findings_all, "analysis_whole": analysis, "analysis_stored": analysis_stored, "roles_assigned": roles_assigned, "roles_stored": roles_stored, "roles_whole": roles_whole, "betweenness_whole": betweenness_whole,
     "graph_filter": graph_filter, "graph_build": graph_build, "ego2": ego2, "shortest_path": shortest_path, "money_paths": money_paths, "components": components, "component_sizes": component_sizes,
     "components_whole": components_whole, "component_sizes_whole": component_sizes_whole, "pagerank_whole": pagerank_whole,
     "search": search, "node_detail": node_detail, "degree": degree, "typed_nbrs": typed_nbrs, "pagerank3": pagerank3, "betweenness_small": betweenness_small, "role_volumes": role_volumes, "roles_local": roles_local,
@@ -261,6 +336,10 @@ ORACLES = {
     "ego2": with_views(f", {BOTH}, lk AS (SELECT id, nbr FROM both_ways WHERE rel IN ('USES', 'LINKED_TO')) {EGO}", *VE),
     "shortest_path": with_views(f", {BOTH}{SHORTEST}", *VE), "money_paths": with_views(MONEY, "edges"), "components": with_views(COMPONENTS, *VE),
     "component_sizes": with_views(f", c AS ({COMPONENTS}) SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS index FROM c GROUP BY component", *VE),
+    "components_whole": with_views(f"{WHOLE} SELECT id, c AS component FROM l9", *VE),
+    "component_sizes_whole": with_views(f"{WHOLE} SELECT c AS component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS index FROM l9 GROUP BY c", *VE),
+    "roles_assigned": _supplier_transfers(f", {STARS}{ASSIGNED}", "calls", *VE),
+    "roles_stored": _supplier_transfers(f", {STARS} SELECT 'c1' AS case_id, primary_role, count(*) AS n FROM assigned GROUP BY 1, 2", "calls", *VE),
     "search": with_views("SELECT id, type, label FROM vertices WHERE contains(lower(label), 'ation') OR contains(lower(id), 'ation')", "vertices"),
     "node_detail": with_views(
         f""", {BOTH}, {DEGREE}, nb AS (SELECT id, count(DISTINCT nbr) FILTER (nbr <> id) AS neighbours, count(*) FILTER (rel IN ('TRANSFERRED_TO', 'PAID_TO')) AS money_edges FROM both_ways GROUP BY id)
@@ -272,9 +351,11 @@ FROM vertices v LEFT JOIN dg USING (id) LEFT JOIN nb USING (id)""", *VE),
     "roles_local": _supplier_transfers(f", {ROLES}", "calls", *VE),
 }
 ORACLES = {k: v.replace(") , ", "), ") for k, v in ORACLES.items()}
-_SUBJECT = {"velocity": "account", "mule": "account", "comm_hub": "caller", "rapid_hop": "concat_ws('>', a, b, c, d)", "dense_cluster": "members"}
-_FOUND = {"sim_swap": ORACLES["sim_swap"], "mule": MULE, "rapid_hop": RAPID, "shared_device": ORACLES["shared_device"], "shared_sim": ORACLES["shared_sim"], "velocity": VELOCITY, "comm_hub": HUB, "hub_edges": ORACLES["hub_edges"], "dense_cluster": ORACLES["dense_clusters"]}
+_SUBJECT = {"velocity": "account", "mule": "account", "comm_hub": "caller", "rapid_hop": "concat_ws('>', a, b, c, d)", "dense_cluster": "members", "layering": "concat_ws('>', a, b, c, d)"}
+_FOUND = {"sim_swap": ORACLES["sim_swap"], "mule": MULE, "rapid_hop": RAPID, "shared_device": ORACLES["shared_device"], "shared_sim": ORACLES["shared_sim"], "velocity": VELOCITY, "comm_hub": HUB, "hub_edges": ORACLES["hub_edges"], "dense_cluster": ORACLES["dense_clusters"], "layering": LAYERING}
 _FOUND = {k: v.replace(") , ", "), ") for k, v in _FOUND.items()}
 ORACLES["findings_all"] = " UNION ALL ".join(f"SELECT 'c1' AS case_id, '{k}' AS pattern, {_SUBJECT.get(k, 'id')} AS subject, score, confidence FROM ({v})" for k, v in _FOUND.items())
 ORACLES["analysis"] = f"""WITH f AS ({ORACLES['findings_all']}), p AS (SELECT case_id, pattern, count(*) AS n, max(score) AS top FROM f GROUP BY 1, 2)
 SELECT case_id, sum(n)::BIGINT AS total, max(top) AS top_score, string_agg(pattern || '=' || n, ',' ORDER BY pattern) AS by_pattern FROM p GROUP BY case_id"""
+ORACLES["findings_whole"], ORACLES["analysis_whole"] = ORACLES["findings_all"], ORACLES["analysis"]
+ORACLES["analysis_stored"] = f"""WITH r AS ({ORACLES['analysis']}) SELECT case_id, total, top_score, by_pattern FROM r UNION ALL SELECT 'c2', 0, top_score, by_pattern FROM r"""

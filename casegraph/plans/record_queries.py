@@ -100,8 +100,9 @@ def load_transfers(spark, d):
 
 
 def live_or_sample(spark, d):
-    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("case_id"), "o_orderkey", "o_orderstatus", "o_custkey")
-    return O.live_or_sample(o.where("o_custkey % 101 = 0"), o.where("o_custkey % 2 = 0")).select("case_id", "o_orderkey")
+    """Open orders of a customer are live; customers without any get their others."""
+    o = table(spark, d, "orders").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("case_id"), "o_orderkey", "o_orderstatus")
+    return O.live_or_sample(o.where("o_orderstatus = 'O'"), o.where("o_orderstatus <> 'O'")).select("case_id", "o_orderkey")
 
 
 def merge_updates(spark, d):
@@ -127,7 +128,7 @@ def cases(spark, d):
 def timeline_events(spark, d):
     e = table(spark, d, "events")
     i, a, b = F.col("event_id").cast("string"), F.concat(F.lit("A"), F.col("user_id").cast("string")), F.concat(F.lit("A"), F.get_json_object("props", "$.k"))
-    case = F.concat(F.lit("c"), (F.col("user_id") % 50).cast("string")).alias("case_id")
+    case = F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("case_id")
     tx = e.where("event_type = 'purchase'").select(i.alias("id"), case, a.alias("src_account"), b.alias("dst_account"), F.col("value").alias("amount"), _time("ts").alias("timestamp"))
     calls = e.where("event_type IN ('click', 'view')").select(i.alias("id"), case, a.alias("caller_id"), b.alias("receiver_id"), F.floor("value").alias("duration_sec"), _time("ts").alias("timestamp"))
     return T.build(transactions=tx, calls=calls, cases=cases(spark, d))
@@ -176,10 +177,10 @@ def browse(spark, d):
 
 
 def brief_sections(spark, d):
-    c = cases(spark, d).where("cast(substr(id, 2) AS int) < 50")
+    c = cases(spark, d)
     events = timeline_events(spark, d)
     e = table(spark, d, "events")
-    case = F.concat(F.lit("c"), (F.col("user_id") % 50).cast("string"))
+    case = F.concat(F.lit("c"), F.col("user_id").cast("string"))
     found = e.groupBy(case.alias("case_id"), F.col("event_type").alias("pattern")).agg(F.round(F.max("value") / 1000, 4).alias("score"), F.array(F.concat(F.lit("ev"), F.min("event_id").cast("string"))).alias("evidence_ids"))
     roles = e.groupBy(case.alias("case_id"), F.col("user_id").cast("string").alias("id")).agg(F.max_by("event_type", "event_id").alias("primary_role"), F.round(F.max("value") / 1000, 4).alias("role_score"))
     pred = roles.select("case_id", F.col("id").alias("entity_id"), F.col("role_score").alias("risk_score"), F.when(F.col("role_score") > 0.095, "HIGH").otherwise("LOW").alias("classification"), F.lit("v1").alias("model_version"), F.lit("t").alias("timestamp"))
@@ -209,7 +210,7 @@ rel AS (SELECT a.doc_id, a.case_id, a.evidence_id, a.type AS source_type, a.valu
   UNION ALL SELECT doc_id, case_id, evidence_id, 'PHONE', '9' || lpad(doc_id::VARCHAR, 9, '0'), 'CALLED', 'PHONE', '8' || lpad(doc_id::VARCHAR, 9, '0'), 0.91 FROM narr)"""
 _CASES = """cs AS (SELECT 'c' || c_custkey AS id, c_name AS title, ['open', 'under_investigation', 'closed', 'chargesheeted', 'archived'][c_custkey % 5 + 1] AS status, ['critical', 'high', 'medium', 'low'][c_custkey % 4 + 1] AS severity,
   c_acctbal AS loss, '2024-01-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') AS created_at FROM customer)"""
-_EV = """ev AS (SELECT event_id, 'c' || (user_id % 50) AS case_id, 'A' || user_id AS a, 'A' || (props->>'k') AS b, event_type, value, user_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t FROM events)"""
+_EV = """ev AS (SELECT event_id, 'c' || user_id AS case_id, 'A' || user_id AS a, 'A' || (props->>'k') AS b, event_type, value, user_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t FROM events)"""
 _TL = f"""{_CASES}, {_EV}, tl AS (SELECT case_id, 'evt_tx_' || event_id AS event_id, t AS timestamp, 'transaction' AS event_type, a || ',' || b AS entity_ids, 'transactions' AS source FROM ev WHERE event_type = 'purchase'
   UNION ALL SELECT case_id, 'evt_call_' || event_id, t, 'call', a || ',' || b, 'call_records' FROM ev WHERE event_type IN ('click', 'view')
   UNION ALL SELECT id, 'evt_case_open_' || id, created_at || 'T00:00:00Z', 'case_event', 'v' || id[2:], 'cases' FROM cs UNION ALL SELECT id, 'evt_case_close_' || id, '2024-03-01T00:00:00Z', 'case_event', '', 'cases' FROM cs WHERE status = 'closed')"""
@@ -233,7 +234,7 @@ ORACLES = {
     "detect_type": "SELECT p_partkey, ['devices', 'sims', 'upi_ids', 'calls', 'bank_accounts', 'complaints', 'locations', 'phones', 'transactions', 'unknown'][p_partkey % 10 + 1] AS record_type FROM part",
     "manifest": "SELECT 'f' || (o_custkey % 20) AS source_file, strftime(o_orderdate, '%Y') AS case_id, 'transactions' AS record_type, count(*) AS total_rows, count(*) FILTER (o_orderkey % 9 <> 0) AS normalised, count(*) FILTER (o_orderkey % 9 = 0) AS skipped FROM orders GROUP BY 1, 2",
     "load_transfers": "SELECT (o_orderstatus = 'F')::INTEGER AS is_fraud_tx, CASE WHEN o_orderstatus = 'F' THEN 'F' END AS o_orderstatus, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders GROUP BY 1, 2",
-    "live_or_sample": "WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS case_id, o_orderkey, o_custkey FROM orders), l AS (SELECT * FROM o WHERE o_custkey % 101 = 0) SELECT case_id, o_orderkey FROM l UNION ALL SELECT case_id, o_orderkey FROM o WHERE o_custkey % 2 = 0 AND case_id NOT IN (SELECT case_id FROM l)",
+    "live_or_sample": "WITH o AS (SELECT 'C' || o_custkey AS case_id, o_orderkey, o_orderstatus FROM orders) SELECT case_id, o_orderkey FROM o WHERE o_orderstatus = 'O' OR case_id NOT IN (SELECT case_id FROM o WHERE o_orderstatus = 'O')",
     "merge_updates": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'closed' ELSE o_orderstatus END AS status, o_orderpriority AS severity, CASE WHEN o_orderkey % 5 = 0 THEN '2024-01-01T00:00:00Z' END AS updated_at FROM orders",
     "timeline": f"WITH {_TL} SELECT * FROM tl", "timeline_counts": f"WITH {_TL} SELECT case_id, event_type, count(*) AS n FROM tl GROUP BY 1, 2",
     "evidence_chain": "SELECT 'ev' || o_orderkey AS evidence_id, o_orderpriority AS type, c_name AS entities, n_name AS relationships FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = o_orderkey % 10",
@@ -247,5 +248,5 @@ ORACLES = {
         (SELECT min(timestamp) FROM tl WHERE tl.case_id = cs.id) AS first_event, (SELECT max(timestamp) FROM tl WHERE tl.case_id = cs.id) AS last_event, coalesce((SELECT count(*) FROM q WHERE q.case_id = cs.id), 0) AS predictions,
         coalesce((SELECT count(*) FROM q WHERE q.case_id = cs.id AND rs > 0.095), 0) AS high_risk, coalesce((SELECT count(DISTINCT user_id) FROM ev WHERE ev.case_id = cs.id), 0) AS nodes, coalesce((SELECT count(*) FROM ev WHERE ev.case_id = cs.id), 0) AS edges,
         (SELECT least(count(*), 20) FROM q WHERE q.case_id = cs.id HAVING count(*) > 0)::INTEGER AS n_roles, (SELECT least(count(*), 10) FROM ev WHERE ev.case_id = cs.id HAVING count(*) > 0)::INTEGER AS n_evidence, best.top_role
-      FROM cs LEFT JOIN best ON best.case_id = cs.id WHERE cs.id[2:]::INTEGER < 50""",
+      FROM cs LEFT JOIN best ON best.case_id = cs.id""",
 }

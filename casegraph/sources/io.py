@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph.functions.expr import key12
+from casegraph.sources.ingest import numbered
 
 # Fields that may hold the records of a JSON object, in the order they are tried.
 WRAPPERS = ("records", "data", "items", "results", "rows", "transactions", "calls", "sims", "devices", "bank_accounts", "upi_ids", "complaints", "phones", "locations")
@@ -31,16 +32,22 @@ def read_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """IO-3: text files with a header, each with the first separator that splits it: source_file, and `fields`, a map from header to value."""
-    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    head = F.try_element_at("lines", F.lit(1))
+    """IO-3: text files with a header, each with the first separator that splits it: source_file, row (from 0) and `fields`, a map from header to value.
+
+    Files are read by line, so one of any size is split over tasks; a table of one header for each file joins back.
+    """
+    lines = numbered(spark.read.text(paths).where(F.trim("value") != ""), "line_no")
+    first = F.min(F.struct("line_no", "value"))
+    heads = lines.groupBy("source_file").agg(first["line_no"].alias("head_no"), first["value"].alias("head"), F.count("*").alias("n"))
     sep = F
     for s in SEPARATORS:
-        sep = sep.when(F.contains(head, F.lit(s)) & (F.size("lines") > 1), F.lit(s))
-    rows = lines.withColumn("sep", sep).where("sep IS NOT NULL").withColumn("names", F.split(head, F.concat(F.lit(r"\Q"), F.col("sep"), F.lit(r"\E"))))
-    rows = rows.select("source_file", "sep", "names", F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("row", "line"))
-    values = F.split("line", F.concat(F.lit(r"\Q"), F.col("sep"), F.lit(r"\E")), -1)
-    return rows.select("source_file", "row", F.map_from_arrays(F.transform("names", lambda n: F.trim(n)), F.transform(F.sequence(F.lit(1), F.size("names")), lambda k: F.trim(F.try_element_at(values, k)))).alias("fields"))
+        sep = sep.when(F.contains("head", F.lit(s)) & (F.col("n") > 1), F.lit(s))
+    literal = lambda c: F.concat(F.lit(r"\Q"), F.col(c), F.lit(r"\E"))
+    heads = heads.withColumn("sep", sep).where("sep IS NOT NULL").withColumn("names", F.split("head", literal("sep")))
+    rows = lines.join(heads.select("source_file", "head_no", "sep", "names"), "source_file").where("line_no > head_no")
+    values = F.split("value", literal("sep"), -1)
+    fields = F.map_from_arrays(F.transform("names", lambda n: F.trim(n)), F.transform(F.sequence(F.lit(1), F.size("names")), lambda k: F.trim(F.try_element_at(values, k))))
+    return rows.select("source_file", (F.col("line_no") - F.col("head_no") - 1).alias("row"), fields.alias("fields"))
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -55,10 +62,7 @@ def load_transfers(normal: DataFrame, fraud: DataFrame) -> DataFrame:
 
 def first_per_file(df: DataFrame, n: int) -> DataFrame:
     """IO-5: at most n rows of each file (a row cap that the caller asks for)."""
-    from pyspark.sql import Window
-
-    rows = df.select("*", F.col("_metadata.file_path").alias("_f")).withColumn("_m", F.monotonically_increasing_id())
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_f").orderBy("_m"))).where(F.col("_n") <= n).drop("_f", "_m", "_n")
+    return numbered(df, "_no", "_file").where(F.col("_no") < n).drop("_no", "_file")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -90,6 +94,11 @@ def replace_case(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").parquet(path)
 
 
+def of_stored(spark: SparkSession, path: str, case_id: str) -> DataFrame:
+    """PT-12, RO-10, CB-10: what replace_case stored for a case; only its partition is read."""
+    return spark.read.parquet(path).where(F.col("case_id") == case_id)
+
+
 def merge_updates(rows: DataFrame, updates: DataFrame, as_of: str, key: str = "id") -> DataFrame:
     """IO-12: rows with the non-null values of the updates; updated_at is set where one applies."""
     u = updates.select(F.col(key), *[F.col(c).alias(f"_u_{c}") for c in updates.columns if c != key], F.lit(True).alias("_hit"))
