@@ -50,7 +50,7 @@ K = 64
 PROBES = 24
 OVERLAP = 5
 LONG = 32
-SLICE = 2048  # classes of a long list that are ranked together
+SLICE = 256  # classes of a long list that are ranked together
 BUCKET = 4_000_000  # shingles of a hub's classes whose departures one task compares
 
 

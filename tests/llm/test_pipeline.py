@@ -38,3 +38,35 @@ def test_stages(spark, tmp_path):
     assert ids[3] == {i for i in ids[2] if not hits[i][3]} and 2000 not in ids[3]
     assert ids[4] <= ids[3] and kept[4].where("copy > 2").count() == 0
     assert cp.run(spark, d).count() == kept[4].count()
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and empty texts, a repeated row, a row without doc_id, columns that clash with the operators' own, empty tables."""
+    rng = random.Random(7)
+    good = [sentence(rng, 40) for _ in range(40)]
+    line = sentence(rng, 6)
+    rows = [(i, t) for i, t in enumerate(good)] + [(50, None), (51, ""), (52, good[3]), (52, good[3]), (None, good[4] + "\n" + line), (53, line), (54, line), (55, " \n "), (56, "x" * 300_000)]
+    docs = spark.createDataFrame([(i, t, None if i == 50 else "en", None if i in (None, 51) else f"s{(i or 0) % 2}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("score", "found", "n_lines", "key", "size", "items", "part", "_text"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(good[7].split()[:15]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now, d = docs, str(tmp_path)
+    kept = []
+    for name, stage in cp.STAGES:
+        now = cp.materialise(stage(spark, now, d))
+        assert now.columns == docs.columns + (["copy"] if name == "mixing" else []) and now.where("score <> 'mine'").count() == 0
+        kept.append(sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in now.select("doc_id", "text").collect() if r["text"] is not None))
+    assert (51, "") in kept[0] and kept[0].count((52, good[3])) == 2
+    assert (54, "") not in kept[1] and (53, line) not in kept[1] and (-1, good[4] + "\n" + line) in kept[1]  # a null doc_id is the first
+    assert [k for k, _ in kept[2]].count(52) == 0 and 7 not in [k for k, _ in kept[3]] and 8 in [k for k, _ in kept[3]]
+    empty = docs.limit(0)
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty, d).count() == 0
+
+
+def test_a_repeated_row_stays_once(spark):
+    docs = spark.createDataFrame([(1, "b b b b b b"), (1, "a a a a a a"), (2, "c c c c c c"), (None, "x"), (None, "x")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in cp.near_stage(spark, docs, "").collect())
+    assert got == [("1", "a a a a a a"), ("2", "c c c c c c"), ("None", "x"), ("None", "x")]

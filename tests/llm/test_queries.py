@@ -268,7 +268,7 @@ def test_a_sample_has_rows_of_any_length_and_every_label(spark):
     def train(taken):
         return {"n": len(taken), "labels": len({v for _, _, v in taken}), "longest": max(float(c.sum()) for _, c, _ in taken)}
 
-    got = features.learn(docs, None, "lang", language.tally, train, "n int, labels int, longest double", n=300)
+    got = features.learn(docs, None, "lang", language.tally, train, "n long, labels long, longest double", n=300)
     held = {v for i, _, v in rows if not is_held(i)}
     assert got["labels"] == got["n"] == len(held) > 200 and got["longest"] > 60_000 and seen == {}
 
