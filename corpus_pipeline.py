@@ -6,39 +6,63 @@ All but the last return the columns of documents; the last adds `copy` (1 for a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegraph.llm import decontaminate, line_dedup, mixing, near_dedup, quality
-from casegraph.llm.common import materialise, quoted, table
+from casegraph.llm.common import fresh, materialise, others, quoted, small, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. Null and empty texts have no feature and are judged by the bias alone."""
+    """Documents that the classifier rejects go. Null and empty texts have no feature and are judged by the bias alone;
+    repeated rows are judged each and alike."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model).where("predicted = 1").select(*quoted(docs.columns))
+    return _judged(docs, lambda thin: quality.classify(thin, model), "predicted = 1")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines seen earlier go; a document goes only if it lost lines and nothing but blanks is left of it."""
-    return line_dedup.dedup_lines(docs).where("n_removed = 0 OR trim(text) <> ''").select(*quoted(docs.columns))
+    """Lines seen earlier go; a document goes only if it lost lines and nothing but blanks is left of it. Null and empty texts
+    stay; the lines of a repeated row are copies of those of the first."""
+    return _judged(docs, line_dedup.dedup_lines, "n_removed = 0 OR trim(text) <> ''")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays.
+
+    Documents without words are in no group and stay. Rows of one doc_id are one document: the one of the least text stays.
+    Rows without doc_id stay as they are.
+    """
+    gone = materialise(near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*quoted(docs.columns))
+    again = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    place = fresh(docs, "place")
+    once = left.join(small(again), "doc_id", "left_semi").withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where(F.col(place) == 1)
+    return left.join(small(again), "doc_id", "left_anti").unionByName(once.drop(place)).select(*quoted(docs.columns))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by test items go."""
-    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return out.where(~F.col("contaminated")).select(*quoted(docs.columns))
+    """Documents contaminated by test items go. Null and empty texts have no words and stay; repeated rows are judged alike."""
+    bench = table(spark, sf_dir, "benchmark")
+    return _judged(docs, lambda thin: decontaminate.decontaminate(thin, bench), "NOT contaminated")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.emit(mixing.mix(docs)).select(*quoted(docs.columns), "copy")
+    """Each document as often as the mix takes it. Null texts have no words and follow the rate of their source; repeated
+    rows are taken alike."""
+    docs = docs.select(*quoted(others(docs, "copy")))
+    return _judged(docs, lambda thin: mixing.emit(mixing.mix(thin)), "true", "copy")
+
+
+def _judged(docs: DataFrame, judge, keep: str, *more: str) -> DataFrame:
+    """The columns of docs (and more) of what judge leaves by its own columns. Those of docs that it has no use for travel in
+    one struct, so that none is replaced by a result of the same name."""
+    used = ("doc_id", "text", "source")
+    rest = [c for c in docs.columns if c not in used]
+    held = docs.select(*[c for c in used if c in docs.columns], F.struct(*quoted(rest)).alias("others")) if rest else docs
+    out = judge(held).where(keep)
+    return out.select(*[F.col(f"others.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns], *more)
 
 
 STAGES = [
