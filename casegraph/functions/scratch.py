@@ -64,8 +64,18 @@ def passing() -> Iterator[list[DataFrame]]:
             _OPEN[-1].extend(kept)
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of materialise() that nothing will read again."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        fs, at = _file_system(t.sparkSession, t.scratch)
+        fs.delete(at, True)

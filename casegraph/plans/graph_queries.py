@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casegraph.functions.scratch import scratch_path
+from casegraph.functions.scratch import materialise, scratch_path
 from casegraph.operators import graph as G
 from casegraph.operators import patterns as P
 from casegraph.operators import roles as R
@@ -70,7 +70,7 @@ def analysis(spark, d):
 def analysis_stored(spark, d):
     """The analysis stored by case, one case replaced and read back."""
     path = scratch_path(spark)
-    found = analysis(spark, d)
+    found = materialise(analysis(spark, d))
     O.replace_case(found.unionByName(found.withColumn("case_id", F.lit("c2"))), path)
     O.replace_case(found.withColumns({"case_id": F.lit("c2"), "total": F.lit(0).cast("long")}), path)
     return O.of_stored(spark, path, "c1").unionByName(O.of_stored(spark, path, "c2")).select("case_id", "total", "top_score", "by_pattern")

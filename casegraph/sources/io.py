@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph.functions.expr import key12
+from casegraph.functions.scratch import exists, materialise, passing
 from casegraph.sources.ingest import numbered
 
 # Fields that may hold the records of a JSON object, in the order they are tried.
 WRAPPERS = ("records", "data", "items", "results", "rows", "transactions", "calls", "sims", "devices", "bank_accounts", "upi_ids", "complaints", "phones", "locations")
 SEPARATORS = (",", "\t", "|", ";")
 EXTENSIONS = ("csv", "json", "txt", "xlsx")
+BUCKETS = 64  # of the cases in a store of results
 
 
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -89,14 +91,30 @@ def store(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("case_id", "record_type").parquet(path)
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("case_id"), F.lit(BUCKETS)).cast("int")
+
+
 def replace_case(df: DataFrame, path: str) -> None:
-    """IO-11, IO-19: replace the results of the cases in df, leave those of others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").parquet(path)
+    """IO-11, IO-19: replace the results of the cases in df, leave those of others.
+
+    The store has a fixed number of buckets of cases, not a folder for each: the buckets touched are written anew.
+    """
+    spark = df.sparkSession
+    with passing():
+        new = materialise(df.withColumn("bucket", _bucket()))
+        if exists(spark, path):
+            old = spark.read.parquet(path).join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")  # BUCKETS rows
+            old = old.join(new.select("case_id").distinct(), "case_id", "left_anti")
+            new = materialise(new.unionByName(old, allowMissingColumns=True))
+        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def of_stored(spark: SparkSession, path: str, case_id: str) -> DataFrame:
-    """PT-12, RO-10, CB-10: what replace_case stored for a case; only its partition is read."""
-    return spark.read.parquet(path).where(F.col("case_id") == case_id)
+    """PT-12, RO-10, CB-10: what replace_case stored for a case; only its bucket is read."""
+    rows = spark.read.parquet(path).where(F.col("case_id") == case_id)
+    number = spark.range(1).select(F.lit(case_id).alias("case_id")).select(_bucket()).first()[0]
+    return rows.where(F.col("bucket") == number).drop("bucket")
 
 
 def merge_updates(rows: DataFrame, updates: DataFrame, as_of: str, key: str = "id") -> DataFrame:
