@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casegraph.llm import chat, decontaminate, fingerprint, language, line_dedup, mixing, near_dedup, quality, substring_dedup, url_filter
+from casegraph.llm import chat, decontaminate, fingerprint, language, line_dedup, mixing, near_dedup, quality, resample, substring_dedup, topk, url_filter, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_topk": topk.op11_topk,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_resampling": resample.op13_resampling,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
@@ -22,4 +25,6 @@ ORACLES = {
     "op5_mixing": mixing.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
+    "op11_topk": topk.ORACLE,
+    "op13_resampling": resample.ORACLE,
 }
