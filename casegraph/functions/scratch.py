@@ -74,8 +74,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of materialise() that nothing will read again."""
     for t in tables:
-        fs, at = _file_system(t.sparkSession, t.scratch)
-        fs.delete(at, True)
+        remove(t.sparkSession, t.scratch)

@@ -31,6 +31,11 @@ def velocity(transfers: DataFrame, hours: float = 24, least: int = 5) -> DataFra
     w = Window.partitionBy("case_id", "account", "b").orderBy("us").rangeBetween(-span, 0)
     rows = rows.select("case_id", "account", "us", "own", F.count("*").over(w).alias("n"), F.sum("amount").over(w).alias("volume"), F.min("us").over(w).alias("start_us")).where("own")
     best = rows.groupBy("case_id", "account").agg(F.max_by(F.struct("n", "volume", "start_us", "us"), F.struct(F.col("n"), -F.col("us"))).alias("w")).where(F.col("w.n") >= least)
+    return velocity_told(best)
+
+
+def velocity_told(best: DataFrame) -> DataFrame:
+    """PT-6: score and confidence of the windows w (n, volume, start_us, us) of accounts."""
     n, volume = F.col("w.n"), F.col("w.volume").cast("double")
     return best.select(
         "case_id", "account", n.alias("n"), volume.alias("volume"), F.col("w.start_us").alias("start_us"), F.col("w.us").alias("end_us"),
