@@ -4,14 +4,14 @@ Each shard (a block of whole documents inside a task) is reduced to the position
 could start (its first two words stand side by side in some test item; its first word, where an item has
 only one), and those suffixes are sorted into a suffix array, compared to the depth of one window. Every test
 suffix is then binary-searched: the range of its window's first `width` words gives all places that hold it.
-Neighbouring hits on one diagonal join into the longest verbatim matches, with their places; what they cover decides
-which documents are contaminated.
+What the hits cover decides which documents are contaminated; neighbouring ones join into verbatim matches, with their places
+(`matches`). The many places of a repeated passage are never multiplied with those of its document.
 
 Documents never shuffle. The test items go to the tasks in blocks of bounded size (numbers only, no texts). One block is
 one pass over the documents. A larger benchmark takes a pass for each block, one after another: each writes its matches,
 which are few, and lets go of the block, so neither the driver nor a task ever holds more than one.
 
-Words are compared by 64-bit hashes: a text word and one of v different test words fall together with a chance of v / 2**64.
+Words are compared by 64-bit hashes (text.word_hashes): a text word and one of v different test words fall together with a chance of v / 2**64.
 
 Defined results: null and empty texts have no words; texts of any length are searched whole; an item without words has no
 window; null item_ids are skipped; an item_id with several texts has the windows of all; repeated rows are judged each;
@@ -34,6 +34,7 @@ from casegraph.llm.common import BROADCAST_ROWS, materialise, others, quoted, ta
 
 WIDTH = 13
 BLOCK_MB = 8
+SHARD = 1 << 20  # suffixes sorted at a time
 RATIO = 20  # contaminated: hit words times this reach the number of words
 
 
@@ -61,10 +62,21 @@ class TestBlock:
         order = np.argsort(low, kind="stable")
         low, item, place, length = low[order], item[order], place[order], length[order]
         new = np.append(True, low[1:] != low[:-1]) if len(low) else np.zeros(0, bool)
-        # Distinct windows, and the owners of each as a range.
+        # Distinct windows; the items of each, once, and the first place of each in an item, as ranges.
         self.low, self.lengths = low[new], length[new]
-        self.owner_item = np.array([i for i, _ in items], np.int64)[item] if len(items) else np.zeros(0, np.int64)
-        self.owner_place, self.owners = place, np.append(np.flatnonzero(new), len(low))
+        number = np.cumsum(new) - 1
+        ids_of = np.array([i for i, _ in items], np.int64)
+        order = np.lexsort((place, item, number))
+        number, item, place = number[order], item[order], place[order]
+        first_place = np.append(True, (number[1:] != number[:-1]) | (item[1:] != item[:-1])) if len(number) else np.zeros(0, bool)
+        self.owner, self.owner_place = item[first_place], place[first_place]
+        self.owners = np.searchsorted(number[first_place], np.arange(len(self.low) + 1))
+        self.ids = ids_of
+        # The window at each place of each item: where a match goes on.
+        self.window_at = np.zeros(len(number), np.int64)
+        self.begins = np.cumsum(many) - many
+        self.window_at[self.begins[item] + place] = number
+        self.places = many
         words = self.low.view(">u4").reshape(-1, width).astype(np.uint64) if len(self.low) else np.zeros((0, width), np.uint64)
         high = words.astype(">u4")
         for k in range(width):
@@ -95,33 +107,65 @@ class TestBlock:
         suffix = np.flatnonzero(begins)
         if not len(suffix):
             return counts, none, none
-        keys = padded[where[suffix][:, None] + np.arange(self.width)].astype(">u4")
-        keys = np.ascontiguousarray(keys).view(f"S{4 * self.width}").ravel()
-        order = np.argsort(keys)
-        keys = keys[order]
-        lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
-        found = hi - lo
-        window = np.repeat(np.arange(len(found)), found)
-        rank = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found) + np.repeat(lo, found)
-        return counts, suffix[order[rank]], window
+        pos, window = [], []
+        for a in range(0, len(suffix), SHARD):  # a shard's suffix array
+            some = suffix[a : a + SHARD]
+            keys = padded[where[some][:, None] + np.arange(self.width)].astype(">u4")
+            keys = np.ascontiguousarray(keys).view(f"S{4 * self.width}").ravel()
+            order = np.argsort(keys)
+            keys = keys[order]
+            lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
+            found = hi - lo
+            rank = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found) + np.repeat(lo, found)
+            pos.append(some[order[rank]])
+            window.append(np.repeat(np.arange(len(found)), found))
+        return counts, np.concatenate(pos), np.concatenate(window)
+
+    def cover(self, counts: np.ndarray, pos: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the hits cover, a maximal run each (row, place in the row, words), and the items they are of (row, item), once each; sorted.
+
+        Work and memory follow the hits (one for each place and window length), not the places of an item that hold them.
+        """
+        if not len(pos):
+            return np.zeros((0, 3), np.int64), np.zeros((0, 2), np.int64)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        order = np.argsort(pos, kind="stable")
+        pos, window = pos[order], window[order]
+        row, end = np.searchsorted(first, pos, "right") - 1, np.maximum.accumulate(pos + self.lengths[window])
+        head = np.flatnonzero(np.append(True, (pos[1:] > end[:-1]) | (row[1:] != row[:-1])))
+        tail = np.append(head[1:], len(pos)) - 1
+        runs = np.stack([row[head], pos[head] - first[row[head]], end[tail] - pos[head]], 1)
+        pair = np.unique(row * len(self.low) + window)
+        row, window = pair // len(self.low), pair % len(self.low)
+        many = (self.owners[1:] - self.owners[:-1])[window]
+        owner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.owners[window], many)
+        return runs, np.unique(np.stack([np.repeat(row, many), self.ids[self.owner[owner]]], 1), axis=0)
 
     def matches(self, counts: np.ndarray, pos: np.ndarray, window: np.ndarray) -> np.ndarray:
-        """Longest verbatim matches, one a row: row, item, place in the item, place in the row, words; sorted by row and item."""
+        """Verbatim matches, one a row: row, item, place in the item, place in the row, words; sorted by row and item.
+
+        A match goes on as long as the item does as the row does; the next one begins at the first place of its window. So
+        each hit is in one match for each item, wherever else in the item its window stands.
+        """
         first = np.concatenate([[0], np.cumsum(counts)])
         many = (self.owners[1:] - self.owners[:-1])[window]
         owner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.owners[window], many)
-        pos, length = np.repeat(pos, many), self.lengths[np.repeat(window, many)]
+        pos, window = np.repeat(pos, many), np.repeat(window, many)
+        item, place = self.owner[owner], self.owner_place[owner]
+        order = np.lexsort((pos, item))
+        pos, window, item, place = pos[order], window[order], item[order], place[order]
         row = np.searchsorted(first, pos, "right") - 1
-        item, place, at = self.owner_item[owner], self.owner_place[owner], pos - first[row]
-        order = np.lexsort((length, place, at - place, item, row))
-        row, item, place, at, length = row[order], item[order], place[order], at[order], length[order]
-        if not len(row):
-            return np.zeros((0, 5), np.int64)
-        # A match goes on where the next window of the item stands one word on in the row.
-        same = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) & (at[1:] - place[1:] == at[:-1] - place[:-1]) & (place[1:] - place[:-1] <= 1)
-        head = np.flatnonzero(np.append(True, ~same))
-        tail = np.append(head[1:], len(row)) - 1
-        return np.stack([row[head], item[head], place[head], at[head], at[tail] + length[tail] - at[head]], 1)
+        out, last = [], None
+        for r, i, q, p, w in zip(row.tolist(), item.tolist(), place.tolist(), pos.tolist(), window.tolist()):
+            on = last[2] + 1 if last else 0
+            if last and (r, i, p) == (last[0], last[1], last[3] + 1) and on < self.places[i] and self.window_at[self.begins[i] + on] == w:
+                q = on
+                out[-1][4] += 1
+            else:
+                out.append([r, self.ids[i], q, p - first[r], self.lengths[w]])
+            last = (r, i, q, p)
+        found = np.array(out, np.int64).reshape(-1, 5)
+        return found[np.lexsort((found[:, 3], found[:, 1], found[:, 0]))]
 
 
 def _blocks(benchmark: DataFrame, width: int, block_mb: float) -> Iterator[TestBlock]:
@@ -138,28 +182,35 @@ def _blocks(benchmark: DataFrame, width: int, block_mb: float) -> Iterator[TestB
         yield TestBlock(block, width)
 
 
-def _searched(docs: DataFrame, block: TestBlock, kept: list[str], text: str) -> DataFrame:
-    """The columns kept of docs, n_words and `found`, the matches: (item, place in the item, place in the document, words) in one flat list."""
-    schema = T.StructType([docs.schema[c] for c in kept]).add("n_words", "long").add("found", T.ArrayType(T.LongType()))
+def _searched(docs: DataFrame, block: TestBlock, kept: list[str], text: str, verbatim: bool = False) -> DataFrame:
+    """The columns kept of docs, n_words, `found` and `items`: runs of covered words (place, words) in one flat list, and the distinct
+    items; verbatim: matches (item, place in the item, place in the document, words), and no items."""
+    schema = T.StructType([docs.schema[c] for c in kept]).add("n_words", "long").add("found", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.LongType()))
+
+    def lists(parts: list[np.ndarray], ends: list[np.ndarray], wide: int) -> pa.ListArray:
+        flat = np.concatenate([p[:, 1:].ravel() for p in parts]) if parts else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends) * wide, pa.int32()), pa.array(flat, pa.int64()))
 
     def run(batches):
         for batch in batches:
             data, at = tx.buffers(batch.column(text))
-            n_words, flat, ends = [], [], [np.zeros(1, np.int64)]
+            n_words, found, items = [], [], []
+            found_ends, item_ends = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
             for a, b in tx.blocks(at):
                 counts, pos, window = block.search(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                m = block.matches(counts, pos, window)
+                got, of = (block.matches(counts, pos, window), np.zeros((0, 2), np.int64)) if verbatim else block.cover(counts, pos, window)
                 n_words.append(counts)
-                flat.append(m[:, 1:].ravel())
-                ends.append(ends[-1][-1] + 4 * np.searchsorted(m[:, 0], np.arange(b - a), "right"))
-            found = pa.ListArray.from_arrays(np.concatenate(ends).astype(np.int32), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), found], names=schema.names)
+                for part, parts, ends in ((got, found, found_ends), (of, items, item_ends)):
+                    parts.append(part)
+                    ends.append(ends[-1][-1] + np.searchsorted(part[:, 0], np.arange(b - a), "right"))
+            counted = pa.array(np.concatenate(n_words) if n_words else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [counted, lists(found, found_ends, 4 if verbatim else 2), lists(items, item_ends, 1)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, width: int, block_mb: float, doc_id: str, text: str) -> DataFrame:
-    """docs with n_words and `found`, the matches over all blocks."""
+    """docs with n_words, `found` and `items` over all blocks."""
     kept = docs.columns
     blocks = _blocks(benchmark, width, block_mb)
     block, later = next(blocks, TestBlock([], width)), next(blocks, None)
@@ -174,25 +225,26 @@ def _passes(docs: DataFrame, benchmark: DataFrame, width: int, block_mb: float,
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    every = materialise(every.groupBy("key_id", "key_text").agg(F.flatten(F.collect_list("found")).alias("found")))
-    rows, size = every.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
+    every = materialise(every.groupBy("key_id", "key_text").agg(F.flatten(F.collect_list("found")).alias("found"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
+    rows, size = every.agg(F.count("*"), F.coalesce(F.sum(F.size("found") + F.size("items")), F.lit(0))).first()
     every = F.broadcast(every) if rows <= BROADCAST_ROWS and size <= 10 * BROADCAST_ROWS else every
-    counted = _searched(docs, TestBlock([], width), kept, text).drop("found")
+    counted = _searched(docs, TestBlock([], width), kept, text).drop("found", "items")
     on = F.col(doc_id).eqNullSafe(F.col("key_id")) & (F.md5(text) == F.col("key_text"))
-    return counted.join(every, on, "left").select(*kept, "n_words", F.coalesce("found", F.array().cast("array<long>")).alias("found"))
+    none = F.array().cast("array<long>")
+    return counted.join(every, on, "left").select(*kept, "n_words", F.coalesce("found", none).alias("found"), F.coalesce("items", none).alias("items"))
 
 
-def _covered(found: str) -> tuple:
-    """Words that the flat matches cover, and their distinct items."""
-    each = F.transform(F.sequence(F.lit(0), F.size(found) - 4, F.lit(4)), lambda k: F.struct(F.get(found, k + 2).alias("at"), F.get(found, k + 3).alias("n"), F.get(found, k).alias("item")))
-    each = F.when(F.size(found) > 0, each).otherwise(F.array().cast("array<struct<at:bigint,n:bigint,item:bigint>>"))
+def _covered(found: str):
+    """Words that the runs of a flat list (place, words) cover."""
+    each = F.transform(F.sequence(F.lit(0), F.size(found) - 2, F.lit(2)), lambda k: F.struct(F.get(found, k).alias("at"), F.get(found, k + 1).alias("n")))
+    each = F.when(F.size(found) > 0, each).otherwise(F.array().cast("array<struct<at:bigint,n:bigint>>"))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit"))
 
     def add(s, m):
         end = m["at"] + m["n"]
         return F.struct(F.greatest(s["end"], end).alias("end"), (s["hit"] + F.greatest(F.lit(0).cast("long"), end - F.greatest(s["end"], m["at"]))).alias("hit"))
 
-    return F.aggregate(F.array_sort(each), start, add, lambda s: s["hit"]), F.array_sort(F.array_distinct(F.transform(each, lambda m: m["item"])))
+    return F.aggregate(F.array_sort(each), start, add, lambda s: s["hit"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ratio: int = RATIO, block_mb: float = BLOCK_MB) -> DataFrame:
@@ -202,16 +254,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, rat
     names = {c: f"c{k}" for k, c in enumerate(kept)}  # no column of docs meets one made here
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     out = _passes(rows, benchmark, width, block_mb, names["doc_id"], names["text"])
-    hit, items = _covered("found")
-    out = out.withColumns({"n_hit": hit, "items": items}).drop("found")
+    out = out.withColumns({"n_hit": _covered("found"), "items": F.array_sort("items")}).drop("found")
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words")))
     return out.withColumnsRenamed({n: c for c, n in names.items()}).select(*quoted(kept), *made)
 
 
+
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_mb: float = BLOCK_MB) -> DataFrame:
-    """The longest verbatim matches of at least a window: doc_id, item_id, item_pos, doc_pos, n_words (positions in words)."""
-    found = _passes(docs.select("doc_id", "text"), benchmark, width, block_mb, "doc_id", "text").where("size(found) > 0").select("doc_id", "found")
-    found = found.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("found") - 4, F.lit(4))))
+    """Verbatim matches of at least a window: doc_id, item_id, item_pos, doc_pos, n_words (positions in words)."""
+    rows, out = docs.select("doc_id", "text"), None
+    for block in _blocks(benchmark, width, block_mb):
+        part = materialise(_searched(rows, block, ["doc_id"], "text", verbatim=True).where("size(found) > 0").select("doc_id", "found"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = _searched(rows.limit(0), TestBlock([], width), ["doc_id"], "text").select("doc_id", "found")
+    found = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("found") - 4, F.lit(4))))
     return found.select("doc_id", *[F.get("found", F.col("k") + j).alias(c) for j, c in enumerate(("item_id", "item_pos", "doc_pos", "n_words"))])
 
 

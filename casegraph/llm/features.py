@@ -1,8 +1,8 @@
 """Hashed n-gram features of whole texts, as code points in numpy, for the trained scorers.
 
 Each function takes the bytes and offsets of a block of rows and returns, per feature occurrence, its row and
-its bucket. Labels, language, source and doc_id never enter. Texts over 4 MB are taken in parts of that size, cut
-after a blank: pairs of words and n-grams that a cut runs through do not count, everything else does.
+its bucket. Labels, language, source and doc_id never enter. Texts over 4 MB are taken in parts of that size; what runs over a
+cut counts with the later part.
 """
 
 from __future__ import annotations
@@ -106,8 +106,12 @@ def scored(docs: DataFrame, columns: list[tuple[str, pa.DataType, str]], score,
     return docs.mapInArrow(run, schema)
 
 
-def char_ngrams(points: np.ndarray, at: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and buckets of the runs of n code points that stay inside one row."""
+def char_ngrams(points: np.ndarray, at: np.ndarray, n: int, bits: int, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and buckets of the runs of n code points that stay inside one row; where the first `old` points (of one row) have been
+    counted before, of those that end after them."""
+    if old >= n:
+        points = points[old - n + 1 :]
+        at = np.array([0, len(points)])
     if len(points) < n:
         return np.zeros(0, np.int32), np.zeros(0, np.int32)
     h = points[: len(points) - n + 1].astype(np.uint64) + np.uint64(n << 40)

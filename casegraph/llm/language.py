@@ -6,7 +6,7 @@ sample of those (features.learn, in one task), and the probabilities are calibra
 of the sample that the weights never saw. Scoring is one dense count per block of documents and never shuffles.
 
 Defined results: null texts and texts without a letter are `und` with score 0; texts of any length are judged whole
-(features: parts of 4 MB); repeated rows are scored each; equal scores go to the first language by name; if there is no
+(in parts, features.py); repeated rows are scored each; equal scores go to the first language by name; if there is no
 language to learn, every text is `und`; an empty table gives no rows; columns named like a result are replaced.
 """
 
@@ -27,19 +27,23 @@ BITS = 13
 NGRAMS = (1, 2, 3)
 BLOCK = 1 << 20
 ROWS = 64  # rows of a dense block
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter by its Unicode category; numbers of any script are none."""
+    return bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text)
 
 
 def counts(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Dense n-gram counts, one row per document of the block."""
     n = len(at) - 1
     out = np.zeros(n << bits, np.float32)
-    for part, part_at in tx.pieces(data, at):
-        points, p_at = tx.code_points(part, part_at)
+    for points, p_at, old in tx.point_parts(data, at, max(NGRAMS) - 1):
         upper = (points >= 65) & (points <= 90) | (points >= 0xC0) & (points <= 0xDE) & (points != 0xD7)
         points = points + np.where(upper, np.uint32(32), np.uint32(0))
         for k in NGRAMS:
-            row, bucket = ft.char_ngrams(points, p_at, k, bits)
+            row, bucket = ft.char_ngrams(points, p_at, k, bits, old)
             out += np.bincount((row.astype(np.int64) << bits) + bucket, minlength=n << bits)
     return out.reshape(n, 1 << bits)
 
@@ -96,7 +100,7 @@ class Model:
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         whole = data.tobytes()
-        letters = np.array([bool(_LETTER.search(whole[a:b].decode("utf-8", "replace"))) for a, b in zip(at[:-1], at[1:], strict=True)], bool)
+        letters = np.array([has_letter(whole[a:b].decode("utf-8", "replace")) for a, b in zip(at[:-1], at[1:], strict=True)], bool)
         if not self.languages:
             return np.full(len(at) - 1, "und", object), np.zeros(len(at) - 1)
         p = softmax(self.logits(data, at) / self.temperature)

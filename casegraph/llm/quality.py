@@ -38,23 +38,26 @@ BLOCK = 1 << 19  # bytes of text scored at a time
 
 def occurrences(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows and buckets of all features of a block, one kind at a time: words, word pairs, character n-grams."""
-    row, start, end = tx.words(data, at, ~tx.BLANK)
-    h = tx.span_hashes(data, start, end)
-    shift = np.uint64(64 - bits)
-    yield row, ((h * np.uint64(3)) >> shift).astype(np.int32)
-    if len(h) > 1:
-        inside = row[1:] == row[:-1]
-        pair = np.where(h[1:] == h[:-1], np.uint64(0x5A5A5A5A5A5A5A5A), tx.mix64(h[:-1] * np.uint64(31) + h[1:]))
-        yield row[1:][inside], (pair[inside] >> shift).astype(np.int32)
-    del row, start, end, h
-    points, p_at = tx.code_points(data, at)
-    for n in NGRAMS:
-        yield ft.char_ngrams(points, p_at, n, bits)
+    shift, last = np.uint64(64 - bits), np.zeros(0, np.uint64)
+    for part, part_at in tx.word_parts(data, at, ~tx.BLANK):
+        row, start, end = tx.words(part, part_at, ~tx.BLANK)
+        h = tx.span_hashes(part, start, end)
+        yield row, ((h * np.uint64(3)) >> shift).astype(np.int32)
+        h, row = np.concatenate([last, h]), np.concatenate([np.zeros(len(last), row.dtype), row])  # the last word of the part before
+        if len(h) > 1:
+            inside = row[1:] == row[:-1]
+            pair = np.where(h[1:] == h[:-1], np.uint64(0x5A5A5A5A5A5A5A5A), tx.mix64(h[:-1] * np.uint64(31) + h[1:]))
+            yield row[1:][inside], (pair[inside] >> shift).astype(np.int32)
+        last = h[-1:]
+        del row, start, end, h
+    for points, p_at, old in tx.point_parts(data, at, max(NGRAMS) - 1):
+        for n in NGRAMS:
+            yield ft.char_ngrams(points, p_at, n, bits, old)
 
 
 def tally(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of one text and their counts."""
-    return ft.tallied(np.concatenate([b for _, b in occurrences(*p)]) for p in tx.pieces(text, np.array([0, len(text)])))
+    return ft.tallied(b for _, b in occurrences(text, np.array([0, len(text)])))
 
 
 class Model:
@@ -66,10 +69,9 @@ class Model:
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         n = len(at) - 1
         total, count = np.zeros(n), np.zeros(n)
-        for piece in tx.pieces(data, at):
-            for row, bucket in occurrences(*piece):
-                total += np.bincount(row, self.table[bucket], n)
-                count += np.bincount(row, minlength=n)
+        for row, bucket in occurrences(data, at):
+            total += np.bincount(row, self.table[bucket], n)
+            count += np.bincount(row, minlength=n)
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)))
 
 

@@ -106,29 +106,10 @@ def word_crcs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return crc
 
 
-def _cuts(data: np.ndarray, at: np.ndarray, limit: int = tx.PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The block; where it is one longer row, parts of it that end between words."""
-    n, lo = len(data), 0
-    if len(at) != 2 or n <= limit:
-        yield data, at
-        return
-    while lo < n:
-        hi = min(n, lo + limit)
-        while hi < n:
-            free = np.flatnonzero(~tx.WORDY[tx.LOWER[data[hi : hi + limit]]])
-            if len(free):
-                hi += int(free[0])
-                break
-            hi = min(n, hi + limit)
-        yield data[lo:hi], np.array([0, hi - lo])
-        lo = hi
-
-
-def features(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS, limit: int = tx.PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def features(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of words, and rows and buckets of their n-grams, part by part; each n-gram stands in the part of its last word."""
     crcs, lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    for part, part_at in _cuts(data, at, limit):
-        low = tx.LOWER[part]
+    for low, part_at in tx.word_parts(tx.LOWER[data], at, tx.WORDY, limit):
         row, start, end = tx.words(low, part_at, tx.WORDY)
         old = len(crcs)  # the last words of the part before
         crcs, lengths = np.concatenate([crcs, word_crcs(low, start, end)]), np.concatenate([lengths, end - start])

@@ -7,6 +7,7 @@ the arrays made from it stay small whatever the size of the Arrow batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 20
 PIECE_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 64  # bytes
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -44,24 +47,43 @@ def blocks(at: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
         start = end
 
 
-def pieces(data: np.ndarray, at: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The block itself; where it is one longer row, parts of it, cut after a blank (or else between characters)."""
-    lo, n = 0, len(data)
+def word_parts(data: np.ndarray, at: np.ndarray, keep: np.ndarray, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The block itself; where it is one longer row, parts of it of some `limit` bytes that end between words (runs of bytes for which
+    keep holds), so that no word is cut."""
+    lo, n, limit = 0, len(data), limit or PIECE_BYTES
     if len(at) != 2 or n <= limit:
         yield data, at
         return
     while lo < n:
         hi = min(n, lo + limit)
-        if hi < n:
-            blank = np.flatnonzero(BLANK[data[max(lo, hi - (1 << 16)) : hi]])
-            if len(blank):
-                hi = max(lo, hi - (1 << 16)) + int(blank[-1]) + 1
-            while (data[hi] & 0xC0) == 0x80 and hi > lo + 1:
-                hi -= 1
+        while hi < n:  # on to the next byte that is in no word
+            free = np.flatnonzero(~keep[data[hi : hi + limit]])
+            if len(free):
+                hi += int(free[0])
+                break
+            hi = min(n, hi + limit)
         yield data[lo:hi], np.array([0, hi - lo])
         lo = hi
 
 
+def point_parts(data: np.ndarray, at: np.ndarray, carry: int, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Code points of the block, their offsets, and 0; where it is one longer row, of parts of it, each after the last `carry` code points
+    of the part before (as many as the third value says), so that what runs over a cut can be counted in the later part."""
+    lo, n, limit = 0, len(data), limit or PIECE_BYTES
+    if len(at) != 2 or n <= limit:
+        yield (*code_points(data, at), 0)
+        return
+    before = np.zeros(0, np.uint32)
+    while lo < n:
+        hi = min(n, lo + limit)
+        while hi < n and (data[hi] & 0xC0) == 0x80:
+            hi += 1
+        new = code_points(data[lo:hi], np.array([0, hi - lo]))[0]
+        points = np.concatenate([before, new])
+        yield points, np.array([0, len(points)]), len(before)
+        before, lo = points[len(points) - min(carry, len(points)) :], hi
+
+
 def hashed_words(data: np.ndarray, at: np.ndarray, keep: np.ndarray, limit: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Rows and 64-bit hashes of words (runs of bytes for which keep holds), A-Z lower-cased; at starts at 0.
 
@@ -70,7 +92,7 @@ def hashed_words(data: np.ndarray, at: np.ndarray, keep: np.ndarray, limit: int
     if len(data) <= limit:
         low = LOWER[data]
         row, start, end = words(low, at, keep)
-        return row, span_hashes(low, start, end)
+        return row, word_hashes(low, start, end)
     rows, hashes, lo, n = [], [], 0, len(data)
     while lo < n:
         hi = min(n, lo + limit)
@@ -106,8 +128,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], equal for equal bytes.
+
+    Eight bytes at a time, each time through the finaliser, so no arrangement of a word's letters cancels out; longer
+    words one by one by BLAKE2b.
+    """
+    length = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = length.astype(np.uint64) * np.uint64(_BASE)
+    live, k = np.flatnonzero(length <= LONG_WORD), 0
+    while len(live):
+        left = np.minimum(length[live] - k, 8)
+        h[live] = mix64(h[live] ^ (eight[start[live] + k] & _MASKS[left]))
+        k += 8
+        live = live[length[live] > k]
+    for i in np.flatnonzero(length > LONG_WORD):
+        h[i] = int.from_bytes(blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes."""
+    """64-bit hashes of the overlapping data[start:end] in linear work, equal for equal bytes. A polynomial modulo 2**64: for short
+    spans and hashed features, not for texts of which some were made to meet."""
     power, inverse = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])

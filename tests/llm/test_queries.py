@@ -31,6 +31,16 @@ def span(word):
     return mix((h + len(word)) & M)
 
 
+def word(w):
+    """Eight bytes at a time through the finaliser; longer words by BLAKE2b."""
+    if len(w) > 64:
+        return int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+    h = (len(w) * 0x9E3779B97F4A7C15) & M
+    for k in range(0, len(w), 8):
+        h = mix(h ^ int.from_bytes(w[k : k + 8], "little"))
+    return h
+
+
 def low(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
@@ -60,6 +70,7 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame([(i, int(len(set(words(t))) > 10), 0) for i, t in rows if i % 7], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(1, "http://a.com/x", ""), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(k, [0.1 * k, 0.5]) for k in range(5)], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
     spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return d
 
@@ -215,7 +226,7 @@ def test_op4_and_op10_and_op7(spark, tables):
 
 
 def signature(t):
-    h = [span(w.encode()) for w in words(low(t))]
+    h = [word(w.encode()) for w in words(low(t))]
     sets = [h[j : j + 5] for j in range(max(1, len(h) - 4))] if h else []
     out = [0xFFFFFFFF] * fingerprint.PERMUTATIONS
     for s in sets:
@@ -254,7 +265,7 @@ def test_op8_by_hand(spark, tables):
 
 
 def test_every_query_on_empty_tables(spark, tables, tmp_path):
-    for name in ("documents", "labels", "benchmark", "pages", "conversations"):
+    for name in ("documents", "labels", "benchmark", "pages", "conversations", "embeddings"):
         spark.read.parquet(f"{tables}/{name}.parquet").limit(0).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
     for name, query in QUERIES.items():
         assert query(spark, str(tmp_path)).count() == int(name == "op9_chat_formatting")
