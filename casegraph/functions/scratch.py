@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,18 @@ def passing() -> Iterator[list[DataFrame]]:
             _OPEN[-1].extend(kept)
 
 
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its result written and every other table that it made deleted."""
+
+    @wraps(operator)
+    def run(*args, **named) -> DataFrame:
+        with passing() as kept:
+            kept.append(materialise(operator(*args, **named)))
+        return kept[0]
+
+    return run
+
+
 def _file_system(spark: SparkSession, path: str) -> tuple:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casegraph.functions.expr import blank_null, key12
 from casegraph.sources.io import merge_updates, replace_case
@@ -168,3 +169,8 @@ def brief(cases: DataFrame, findings: DataFrame, events: DataFrame, roles: DataF
 def save_briefs(briefs: DataFrame, path: str) -> None:
     """CB-10, IO-19: one JSON document per case, replacing those of the same cases."""
     replace_case(briefs.select("case_id", F.to_json(F.struct(*briefs.columns)).alias("document")), path)
+
+
+def stored_briefs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CB-10: the briefs that save_briefs stored, with all their sections. schema: of the briefs."""
+    return spark.read.parquet(path).select(F.from_json("document", schema).alias("b")).select("b.*")

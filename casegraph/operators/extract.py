@@ -77,8 +77,9 @@ def mentions(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     ])
     rows = docs.select("doc_id", F.substring("text", 1, SNIPPET).alias("source_text"), F.inline(per_rule)).where(F.size("found") > 0)
     rows = rows.select("doc_id", "source_text", "rule_no", "rule", "confidence", "evidence_source", F.posexplode("found").alias("pos", "hit"))
-    cue = F.when(F.col("rule") == "PERSON", F.lower(F.regexp_extract("hit", CUE, 1)))
-    raw = F.when(F.col("rule") == "PERSON", F.regexp_replace("hit", CUE, "")).when(F.col("rule") == "PHONE", F.regexp_replace("hit", r"[\s\-]", "")).otherwise(F.trim("hit"))
+    cue = F.when(F.col("rule") == "PERSON", F.lower(F.regexp_replace(F.regexp_extract("hit", CUE, 1), r"\.+$", "")))
+    raw = F.when(F.col("rule") == "PERSON", F.regexp_replace("hit", CUE, "")).when(F.col("rule") == "PHONE", F.regexp_replace("hit", r"[\s\-]", ""))
+    raw = raw.when(F.col("rule") == "LOCATION", F.regexp_replace(F.trim("hit"), "[,;.]+$", "")).otherwise(F.trim("hit"))
     kind = F.when(F.col("role_hint").isin("victim", "complainant"), "VICTIM").when(F.col("role_hint").isin("accused", "suspect"), "SUSPECT").otherwise(F.col("rule"))
     rows = rows.withColumns({"role_hint": cue, "raw_value": raw}).withColumn("type", kind)
     rows = rows.where(~((F.col("type") == "IP_ADDRESS") & F.rlike("raw_value", F.lit(PRIVATE_IP)))).where((F.col("type") != "LOCATION") | (F.length("raw_value") > 3))

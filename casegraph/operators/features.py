@@ -125,6 +125,46 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return agg.join(q, "column", "left")
 
 
+ACCURACY = 400  # k of the quantile sketches: ranks err by about 2.3 / k ** 0.9
+LOG_SIZE = 14  # of the distinct counts: they err by about 0.8 / 2 ** (LOG_SIZE / 2)
+
+
+def sketches(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
+    """ML-25 at scale: one row per column (and per key of by) with counts, sums and mergeable sketches of quantiles and distinct values.
+
+    One pass, and one small row a task is shuffled; rows of several days or parts merge by merge_sketches without their data.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    x = F.col("x")
+    count = lambda c: F.count(F.when(c, 1))
+    return df.select(*by, F.inline(pairs)).groupBy(*by, "column").agg(
+        F.count("*").alias("rows"), count(x.isNull()).alias("missing"), count(x == 0).alias("zeros"), count(x < 0).alias("negatives"), F.min("x").alias("min"), F.max("x").alias("max"),
+        F.sum("x").alias("total"), F.coalesce(F.var_pop("x") * F.count("x"), F.lit(0.0)).alias("squares"),
+        F.kll_sketch_agg_double("x", F.lit(ACCURACY)).alias("quantiles"), F.hll_sketch_agg(x.cast("string"), F.lit(LOG_SIZE)).alias("values"),
+    )
+
+
+def merge_sketches(parts: DataFrame) -> DataFrame:
+    """Rows of sketches() of several parts as one for each column."""
+    n, mean = F.col("rows") - F.col("missing"), F.try_divide("total", F.col("rows") - F.col("missing"))
+    whole = F.try_divide(F.sum("total"), F.sum(n))  # squares about the common mean: those within the parts and those of their means
+    squares = F.sum("squares") + F.coalesce(F.sum(n * mean * mean) - F.sum(n) * whole * whole, F.lit(0.0))
+    return parts.groupBy("column").agg(
+        *[F.sum(c).alias(c) for c in ("rows", "missing", "zeros", "negatives", "total")], F.min("min").alias("min"), F.max("max").alias("max"), squares.alias("squares"),
+        F.kll_merge_agg_double("quantiles", F.lit(ACCURACY)).alias("quantiles"), F.hll_union_agg("values").alias("values"),
+    )
+
+
+def profile_of(sketched: DataFrame) -> DataFrame:
+    """The profile that rows of sketches tell: quartiles by rank, distinct values to within the sketches' errors, the rest exact."""
+    n = F.col("rows") - F.col("missing")
+    at = lambda p: F.when(n > 0, F.kll_sketch_get_quantile_double("quantiles", F.lit(p)))
+    return sketched.select(
+        "column", "rows", "missing", F.hll_sketch_estimate("values").alias("distinct"), "zeros", "negatives", "min", "max", F.try_divide("total", n).alias("mean"),
+        F.when(n > 1, F.sqrt(F.greatest(F.col("squares"), F.lit(0.0)) / (n - 1))).alias("std"), at(0.25).alias("q25"), at(0.5).alias("median"), at(0.75).alias("q75"),
+    )
+
+
 def profile_top(df: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
     """ML-25: the n most frequent values of each text column."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("e")).select("e.*").where("value IS NOT NULL")

@@ -74,6 +74,24 @@ def confusion(scored: DataFrame, threshold: Column | float, label: str = "label"
     return out.withColumn("f1", safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def class_report(scored: DataFrame, threshold: Column | float, label: str = "label", *by: str) -> DataFrame:
+    """ML-15: precision, recall, F1 (0 where undefined) and support of each class ("0", "1"), their mean ("macro avg") and their mean by
+    support ("weighted avg"), and the accuracy, at a threshold; rows with a label only."""
+    c = confusion(scored.where(F.col(label).isNotNull()), threshold, label, *by)
+    safe = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+    def one(name: str, right: str, wrong: str, missed: str) -> Column:
+        p, r = safe(F.col(right), F.col(right) + F.col(wrong)), safe(F.col(right), F.col(right) + F.col(missed))
+        return F.struct(F.lit(name).alias("class"), p.alias("precision"), r.alias("recall"), safe(2 * p * r, p + r).alias("f1"), (F.col(right) + F.col(missed)).alias("support"))
+
+    c = c.select(*by, one("0", "tn", "fn", "fp").alias("x"), one("1", "tp", "fp", "fn").alias("y"), safe(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"))
+    n = F.col("x.support") + F.col("y.support")
+    mean = lambda k, a, b: [safe(F.col(f"x.{v}") * a + F.col(f"y.{v}") * b, k).alias(v) for v in ("precision", "recall", "f1")]
+    macro = F.struct(F.lit("macro avg").alias("class"), *mean(F.lit(2), F.lit(1), F.lit(1)), n.alias("support"))
+    weighted = F.struct(F.lit("weighted avg").alias("class"), *mean(n, F.col("x.support"), F.col("y.support")), n.alias("support"))
+    return c.select(*by, "accuracy", F.inline(F.array("x", "y", macro, weighted)))
+
+
 def sweep(scored: DataFrame, label: str = "label") -> DataFrame:
     """ML-17: confusion at 0.05, 0.10, ..., 0.95. Scores are counted per step first, so 20 rows meet the 19 thresholds."""
     step = F.least(F.floor(F.round(F.col("score") * 20, 9)), F.lit(19))

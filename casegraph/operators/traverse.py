@@ -6,11 +6,14 @@ a lost executor costs one round. Frontiers carry their seed, so all seeds run in
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegraph import schemas as S
 from casegraph.functions.scratch import materialise as write
+from casegraph.functions.scratch import tidy
 from casegraph.operators.components import star_components
 from casegraph.operators.graph import undirected
 from casegraph.operators.patterns import neighbours
@@ -23,6 +26,7 @@ def _arcs(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
 
 
+@tidy
 def ego(seeds: DataFrame, edges: DataFrame, depth: int = 1, direction: str = "both") -> DataFrame:
     """GR-7: (seed, id, hops) of all vertices within depth hops (1 to 5) of each seed. seeds: seed."""
     arcs = write(_arcs(edges, direction))
@@ -40,6 +44,7 @@ def ego_edges(seen: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(s.withColumnRenamed("id", "src"), "src").join(s.withColumnRenamed("id", "dst"), ["seed", "dst"])
 
 
+@tidy
 def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """GR-8: for each (source, target) a shortest directed path, else an undirected one; ties give the least path.
 
@@ -51,53 +56,111 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = write(pairs)
     found = []
     for direction in ("out", "both"):
-        got = write(_bfs(pairs, write(_arcs(edges, direction)))).withColumn("directed", F.lit(direction == "out"))
+        got = write(meet(pairs, write(_arcs(edges, direction)))).withColumn("directed", F.lit(direction == "out"))
         found.append(got)
         pairs = write(pairs.join(got.select("source", "target"), ["source", "target"], "left_anti"))
     return found[0].unionByName(found[1])
 
 
-def _bfs(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Levels by source: a source's search serves all its targets, and stops when they are reached."""
-    front = pairs.select(F.col("source").alias("s")).distinct().select("s", F.col("s").alias("id"), F.array("s").alias("path"))
-    found, seen, left = front, front.select("s", "id"), pairs.where("source <> target")
-    while True:  # ends: every round visits new vertices
-        active = front.join(left.select(F.col("source").alias("s")).distinct(), "s", "left_semi")
-        step = active.join(arcs, active["id"] == arcs["at"]).select("s", F.col("to").alias("id"), "path")
-        step = step.join(seen, ["s", "id"], "left_anti").groupBy("s", "id").agg(F.min("path").alias("path"))
-        front = write(step.select("s", "id", F.concat("path", F.array("id")).alias("path")))
-        found, seen = found.unionByName(front), seen.unionByName(front.select("s", "id"))
-        left = write(left.join(front.select(F.col("s").alias("source"), F.col("id").alias("target")), ["source", "target"], "left_anti"))
-        if left.isEmpty() or front.isEmpty():
+class _Side:
+    """One end's search: the vertices at its last level, each with the least path of that length, for all ends at once."""
+
+    def __init__(self, ends: DataFrame, end: str, arcs: DataFrame, forward: bool):
+        self.end, self.arcs, self.forward, self.rows = end, arcs, forward, []
+        self.here, self.there = ("at", "to") if forward else ("to", "at")
+        self.degrees = write(arcs.groupBy(F.col(self.here).alias("id")).agg(F.count("*").alias("arcs")))
+        self._reach(ends.select(end).distinct().select(end, F.col(end).alias("id"), F.array(end).alias("path")))
+        self.seen = self.front.select(end, "id")
+
+    def _reach(self, front: DataFrame) -> None:
+        """front as the last level, and what the next one costs: its arcs."""
+        self.front = write(front)
+        rows, arcs = self.front.join(self.degrees, "id", "left").agg(F.count("*"), F.coalesce(F.sum("arcs"), F.lit(0))).first()
+        self.rows.append(rows)
+        self.arcs_ahead = arcs
+
+    def advance(self, active: DataFrame) -> None:
+        """One level on, for the ends of active pairs only."""
+        front = self.front.join(active.select(self.end).distinct(), self.end, "left_semi")
+        step = front.join(self.arcs, front["id"] == self.arcs[self.here]).select(self.end, F.col(self.there).alias("id"), "path")
+        path = F.concat("path", F.array("id")) if self.forward else F.concat(F.array("id"), "path")
+        step = step.join(self.seen, [self.end, "id"], "left_anti").groupBy(self.end, "id").agg(F.min("path").alias("path"))
+        self._reach(step.select(self.end, "id", path.alias("path")))
+        self.seen = self.seen.unionByName(self.front.select(self.end, "id"))
+
+
+def meet(pairs: DataFrame, arcs: DataFrame, rows: list[int] | None = None) -> DataFrame:
+    """Least shortest paths of pairs (source, target) along arcs (at, to), searched from both ends: source, target, path, length.
+
+    Each round moves the side with fewer arcs ahead of its last level, so levels stay far below those of a search from one end.
+    A path of the two levels' summed length exists where they share a vertex; the least goes through the least of
+    both halves. Searches are shared by pairs of one source or target. rows: gets the rows of each level.
+    """
+    found = pairs.where("source = target").select("source", "target", F.array("source").alias("path"))
+    active = write(pairs.where("source <> target"))
+    sides = [_Side(active, "source", arcs, True), _Side(active, "target", arcs, False)]
+    while not active.isEmpty():  # ends: a side's levels run out, and its pairs with them
+        side = min(sides, key=lambda x: x.arcs_ahead)
+        side.advance(active)
+        ahead, back = sides[0].front, sides[1].front.withColumnRenamed("path", "rest")
+        met = active.join(ahead, "source").join(back, ["target", "id"])
+        met = met.groupBy("source", "target").agg(F.min(F.concat("path", F.slice("rest", 2, F.size("rest")))).alias("path"))
+        met = write(met)
+        found = found.unionByName(met)
+        left = active.join(met, ["source", "target"], "left_anti").join(ahead.select("source").distinct(), "source", "left_semi")
+        active = write(left.join(back.select("target").distinct(), "target", "left_semi").select("source", "target"))
+    if rows is not None:
+        rows += sides[0].rows + sides[1].rows
+    return found.withColumn("length", F.size("path") - 1)
+
+
+def walk_lengths(targets: DataFrame, arcs: DataFrame, most: int) -> DataFrame:
+    """(target, id, lengths): bit k of lengths tells of a walk of k arcs from id that reaches target first at its end."""
+    front = targets.select("target", F.col("target").alias("id"))
+    levels = front.withColumn("lengths", F.lit(1))
+    for k in range(1, most + 1):
+        front = write(front.join(arcs, front["id"] == arcs["to"]).where(F.col("at") != F.col("target")).select("target", F.col("at").alias("id")).distinct())
+        if front.isEmpty():
             break
-    found = found.select(F.col("s").alias("source"), F.col("id").alias("target"), "path")
-    return pairs.join(found, ["source", "target"]).withColumn("length", F.size("path") - 1)
+        levels = levels.unionByName(front.withColumn("lengths", F.lit(1 << k)))
+    return levels.groupBy("target", "id").agg(F.bit_or("lengths").alias("lengths"))
 
 
-def money_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 8, top: int = 10) -> DataFrame:
-    """GR-9: for each pair the first `top` simple paths over money edges by length, then nodes. Vertices that can't reach the target in the hops left are cut."""
+@tidy
+def money_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 8, top: int = 10, beam: int | None = None, rows: list[int] | None = None) -> DataFrame:
+    """GR-9: for each pair the first `top` simple paths over money edges by length, then nodes.
+
+    Best first: what is open of a pair are prefixes, each with the length (b) that its paths will have: there are walks of
+    that length to the target. Each round extends the first `beam` of a pair by (b, prefix), which is the order of their paths too; a
+    pair ends once its `top` found paths come before all that is open. So paths longer, or later, than those are never listed, and
+    the work of a pair is bounded by the result and the degrees on it, not by how many paths there are.
+    rows: gets the open prefixes of each round.
+    """
     arcs = write(_arcs(edges.where(F.upper("rel").isin(*S.MONEY)), "out"))
     pairs = write(pairs.select("source", "target").distinct())
-    back = F.lit(0).alias("left")
-    reach = front = pairs.select("target", F.col("target").alias("id"), back).distinct()
-    for hop in range(1, max_hops):
-        step = front.join(arcs, front["id"] == arcs["to"]).select("target", F.col("at").alias("id")).distinct()
-        front = write(step.join(reach.select("target", "id"), ["target", "id"], "left_anti").withColumn("left", F.lit(hop)))
-        reach = reach.unionByName(front)
-        if front.isEmpty():
-            break
-    reach = write(reach)
-    front, out = pairs.select("source", "target", F.col("source").alias("id"), F.array("source").alias("path")), None
-    for hop in range(1, max_hops + 1):
-        step = front.join(arcs, front["id"] == arcs["at"]).where(~F.array_contains("path", F.col("to"))).select("source", "target", F.col("to").alias("id"), F.concat("path", F.array("to")).alias("path"))
-        step = write(step.join(reach, ["target", "id"]).where(F.col("left") <= max_hops - hop).drop("left"))
-        got = step.where("id = target").select("source", "target", "path")
-        out = got if out is None else out.unionByName(got)
-        front = step.where("id <> target")
-        if front.isEmpty():
-            break
-    w = Window.partitionBy("source", "target").orderBy(F.size("path"), "path")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).withColumn("length", F.size("path") - 1)
+    walks = write(walk_lengths(pairs.select("target").distinct(), arcs, max_hops))
+    key, beam = ["source", "target"], beam or max(top, 1)
+    lengths = F.filter(F.sequence(F.lit(1), F.lit(max_hops)), lambda k: F.col("lengths").bitwiseAND(F.pow(F.lit(2), k).cast("int")) != 0)
+    is_open = pairs.join(walks.withColumnRenamed("id", "source"), ["target", "source"]).select("source", "target", F.explode(lengths).alias("b"), F.array("source").alias("path"), F.col("source").alias("id"))
+    is_open, found = write(is_open), None
+    by_path = Window.partitionBy(*key).orderBy("b", "path")
+    while not is_open.isEmpty():  # ends: every round replaces prefixes by longer ones
+        if rows is not None:
+            rows.append(is_open.count())
+        ranked = is_open.withColumn("r", F.row_number().over(by_path))
+        first = ranked.where(F.col("r") <= beam)
+        step = first.join(arcs, first["id"] == arcs["at"]).where(~F.array_contains("path", F.col("to"))).select("source", "target", "b", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("id"))
+        step = step.join(walks, ["target", "id"]).where(F.col("lengths").bitwiseAND(F.pow(F.lit(2), F.col("b") - F.size("path") + 1).cast("int")) != 0).drop("lengths")
+        step = write(step)
+        got = step.where("id = target").select(*key, "b", "path")
+        found = got if found is None else found.unionByName(got)
+        found = write(found.withColumn("r", F.row_number().over(by_path)).where(F.col("r") <= top).drop("r"))
+        last = found.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.struct("b", "path")).alias("last")).where(F.col("n") >= top).select(*key, "last")
+        rest = ranked.where(F.col("r") > beam).drop("r").unionByName(step.where("id <> target").select("source", "target", "b", "path", "id"))
+        is_open = write(rest.join(last, key, "left").where(F.col("last").isNull() | (F.struct("b", "path") < F.col("last"))).drop("last"))
+    if found is None:
+        found = is_open.select(*key, "b", "path")
+    return found.select(*key, "path", F.row_number().over(by_path).alias("rank"), (F.size("path") - 1).alias("length"))
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -119,6 +182,7 @@ def component_sizes(of: DataFrame) -> DataFrame:
     return ranges.withColumn("place", place).join(F.broadcast(offsets), "range").select("component", "size", (F.col("before") + F.col("place") - 1).alias("index"))
 
 
+@tidy
 def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, max_rounds: int = 200, tol: float = 1e-6, fixed_rounds: int | None = None) -> DataFrame:
     """GR-15: (id, rank); dangling mass is spread evenly, ranks are brought back to a sum of 1 each round.
 
@@ -148,6 +212,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, max_rou
     return state.select("id", (F.col("rank") / total).alias("rank"))
 
 
+@tidy
 def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None) -> DataFrame:
     """GR-16: (id, betweenness) on the undirected graph, scaled by (N-1)(N-2); from all sources, or from `pivots` of them
     chosen by hash and scaled by N / pivots (Brandes and Pich, 2007). All sources advance together, level by level."""
@@ -184,6 +249,108 @@ def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None
     return v.join(total, "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def _numbered(v: DataFrame) -> DataFrame:
+    """v (id) with numbers from 0 in the order of id: by range, on top of the rows of the ranges before."""
+    ranges = write(v.repartitionByRange("id").withColumn("range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    offsets = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
+    return ranges.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy("id"))).join(offsets, "range").select("id", (F.col("at") + F.col("before") - 1).alias("number"))
+
+
+def _chance(*parts) -> F.Column:
+    """A number in (0, 1) from a hash of parts."""
+    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+
+
+def _chosen(rows: DataFrame, seed: int, step: int) -> DataFrame:
+    """For each k one id, drawn with a chance in proportion to w."""
+    return rows.groupBy("k").agg(F.max_by("id", F.struct(F.log(_chance("k", "id", F.lit(seed), F.lit(step))) / F.col("w"), "id")).alias("id"))
+
+
+def sampled_paths(samples: DataFrame, arcs: DataFrame, seed: int = 42) -> DataFrame:
+    """(k, id): the inner vertices of one shortest path for each sample (k, s, t), drawn evenly from all its shortest paths.
+
+    Searched from both ends with numbers of paths, level by level for all samples at once; where the levels meet a vertex is drawn by
+    the paths through it, and from there back to both ends a neighbour by the paths to it. arcs: at, to, both ways.
+    """
+    active = write(samples)
+    sides = [[write(active.select("k", F.col(c).alias("id"), F.lit(1.0).alias("paths")))] for c in ("s", "t")]
+    seen, out, step = [x[0].select("k", "id") for x in sides], None, 0
+    while not active.isEmpty():  # ends: every level visits new vertices
+        costs = [x[-1].join(active.select("k"), "k", "left_semi").count() for x in sides]
+        which = int(costs[1] < costs[0])
+        front = sides[which][-1].join(active.select("k"), "k", "left_semi")
+        new = front.join(arcs, front["id"] == arcs["at"]).select("k", F.col("to").alias("id"), "paths").join(seen[which], ["k", "id"], "left_anti").groupBy("k", "id").agg(F.sum("paths").alias("paths"))
+        sides[which].append(write(new))
+        seen[which] = seen[which].unionByName(sides[which][-1].select("k", "id"))
+        last = [x[-1] for x in sides]
+        both = active.select("k").join(last[0].withColumnRenamed("paths", "one"), "k").join(last[1].withColumnRenamed("paths", "two"), ["k", "id"])
+        step += 1
+        middle = write(_chosen(both.select("k", "id", (F.col("one") * F.col("two")).alias("w")), seed, step))
+        got = middle
+        for levels in sides:  # from the middle back to either end
+            here = middle
+            for level in reversed(levels[:-1]):
+                step += 1
+                back = here.join(arcs, here["id"] == arcs["at"]).select("k", F.col("to").alias("id")).join(level, ["k", "id"]).withColumnRenamed("paths", "w")
+                here = write(_chosen(back, seed, step))
+                got = got.unionByName(here)
+        out = got if out is None else out.unionByName(got)
+        left = active.join(middle, "k", "left_anti")
+        for x in last:
+            left = left.join(x.select("k").distinct(), "k", "left_semi")
+        active = write(left)
+    ends = samples.select("k", F.explode(F.array("s", "t")).alias("id"))
+    return (out if out is not None else samples.select("k", F.col("s").alias("id")).limit(0)).distinct().join(ends, ["k", "id"], "left_anti")
+
+
+def _longest(v: DataFrame, e: DataFrame, arcs: DataFrame) -> int:
+    """A bound on the vertices of any shortest path: twice the levels from one vertex of each component, and one."""
+    seen = front = write(components(v, e).select(F.col("component").alias("id")).distinct())
+    levels = 0
+    while True:
+        front = write(front.join(arcs, front["id"] == arcs["at"]).select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti"))
+        if front.isEmpty():
+            return 2 * levels + 1
+        seen, levels = seen.unionByName(front), levels + 1
+
+
+@tidy
+def betweenness_within(vertices: DataFrame, edges: DataFrame, epsilon: float = 0.05, delta: float = 0.1, seed: int = 42, first: int = 256) -> DataFrame:
+    """GR-16 for graphs whose sources are too many: (id, betweenness), scaled as by `betweenness`, with all values within epsilon of the
+    exact ones with a chance of at least 1 - delta.
+
+    Counts how many of some sampled shortest paths a vertex is inside of. Samples double until an empirical Bernstein bound over all vertices
+    and rounds (half of delta) is within epsilon, or until as many as suffice for any graph whose shortest paths are as long
+    (Riondato and Kornaropoulos, 2016; the other half). Their number depends on epsilon and the paths' length, not on the graph's size.
+    """
+    arcs = neighbours(undirected(edges).select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("at"), F.col("nbr").alias("to"))
+    arcs, v = write(arcs), write(_numbered(vertices.select("id").distinct()))
+    n, ids = v.count(), v.select("id")
+    long = _longest(ids, edges, arcs) if n > 2 else 0
+    if long < 3:
+        return ids.withColumn("betweenness", F.lit(0.0))
+    within = epsilon * (n - 2) / n
+    enough = math.ceil(0.5 / within**2 * (math.floor(math.log2(max(2, long - 2))) + 1 + math.log(2 / delta)))
+    rounds = max(1, math.ceil(math.log2(max(1, enough / first))) + 1)
+    log_term = math.log(3 * 2 * n * rounds / delta)
+    counts, done = None, 0
+    while True:
+        upto = min(enough, max(first, 2 * done))
+        s = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
+        k = v.sparkSession.range(done, upto).select(F.col("id").alias("k"), s.alias("x"), F.pmod(s + 1 + F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(n - 1)), F.lit(n)).alias("y"))
+        name = lambda c, to: v.select(F.col("id").alias(to), F.col("number").alias(c))
+        samples = write(k.join(name("x", "s"), "x").join(name("y", "t"), "y").select("k", "s", "t"))
+        part = sampled_paths(samples, arcs, seed).groupBy("id").agg(F.count("*").alias("n"))
+        counts = write(part if counts is None else counts.unionByName(part).groupBy("id").agg(F.sum("n").alias("n")))
+        done = upto
+        share = min(0.5, (counts.agg(F.max("n")).first()[0] or 0) / done)
+        if done >= enough or math.sqrt(2 * share * (1 - share) * log_term / done) + 3 * log_term / done <= within:
+            break
+    return ids.join(counts, "id", "left").select("id", (F.coalesce("n", F.lit(0)) / F.lit(done) * F.lit(n / (n - 2))).alias("betweenness"))
+
+
+@tidy
 def triangles(edges: DataFrame) -> DataFrame:
     """GR-18: members (sorted array) of every triangle, whether or not it is part of a larger clique.
 
@@ -196,52 +363,77 @@ def triangles(edges: DataFrame) -> DataFrame:
     return two.join(closed, ["v", "w"]).select(F.array_sort(F.array("u", "v", "w")).alias("members"))
 
 
-def _upward(edges: DataFrame) -> DataFrame:
-    """u, v: each undirected edge from the vertex of lower (degree, id) to the other."""
+def _upward(edges: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """u, v: each undirected edge from the vertex of lower (degree, id) to the other; order: id, first, what comes before the degree."""
     und = undirected(edges)
     deg = und.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
-    sides = und.join(deg.withColumnsRenamed({"id": "a", "deg": "da"}), "a").join(deg.withColumnsRenamed({"id": "b", "deg": "db"}), "b")
-    low = F.struct("da", "a") < F.struct("db", "b")
+    deg = deg.withColumn("first", F.lit(0).cast("long")) if order is None else deg.join(order, "id")
+    one = lambda x: deg.select(F.col("id").alias(x), F.struct("first", "deg", "id").alias(f"o{x}"))
+    sides = und.join(one("a"), "a").join(one("b"), "b")
+    low = F.col("oa") < F.col("ob")
     return sides.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
 
 
-def maximal_cliques(edges: DataFrame) -> DataFrame:
+@tidy
+def core_bounds(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """(id, first): an upper bound of each vertex's core number, from its degree by `rounds` of peeling.
+
+    A round puts a vertex at the largest h such that h neighbours stand at h or more (Lue et al., 2016); repeated without end that
+    is the core number. Values are counted before they are ordered, so a hub is no large group.
+    """
+    both = write(neighbours(undirected(edges).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    at = both.groupBy("id").agg(F.count("*").alias("first"))
+    for _ in range(rounds):
+        held = both.join(at.select(F.col("id").alias("nbr"), "first"), "nbr").groupBy("id", "first").agg(F.count("*").alias("n"))
+        reach = F.sum("n").over(Window.partitionBy("id").orderBy(F.desc("first")))
+        at = write(held.select("id", F.least("first", reach).alias("h")).groupBy("id").agg(F.max("h").alias("first")))
+    return at
+
+
+@tidy
+def maximal_cliques(edges: DataFrame, rows: list[int] | None = None) -> DataFrame:
     """GR-18: members (sorted array) of the maximal cliques of three or more, of any size.
 
-    Edges point from the vertex of lower (degree, id) to the other, so that a hub is pointed at and out-lists stay below
-    the square root of twice the edges. Each vertex's task grows the cliques of its out-list (Bron and Kerbosch with a
-    pivot), so none comes twice. A clique is maximal unless some vertex points at all of it.
+    Edges point from the vertex of lower (core bound, degree, id) to the other, so that a hub is pointed at and out-lists
+    stay small. A subproblem is a row: a clique and the candidates that continue it, at first a vertex and its out-list. Each round
+    takes up all candidates joined with all others at once (a dense core ends there), and branches, a row each, on the
+    candidates that are not neighbours of a pivot (the one with most neighbours). Rows are dealt anew each round, so no task holds more
+    than its share of them. What some other vertex continues is no maximal clique and goes at the end.
+    rows: gets the rows of each round.
     """
-    arcs = write(_upward(edges))
+    arcs = write(_upward(edges, core_bounds(edges)))
     out = write(arcs.groupBy("u").agg(F.collect_set("v").alias("out")))
-    then = out.select(F.col("u").alias("c"), F.col("out").alias("more"))
-    near = out.where(F.size("out") > 1).select("u", "out", F.explode("out").alias("c")).join(then, "c")
-    near = near.select("u", "c", F.array_intersect("out", "more").alias("near")).where(F.size("near") > 0)
-    grown = F.udf(_cliques, "array<array<string>>")
-    found = near.groupBy("u").agg(F.collect_list(F.struct("c", "near")).alias("arcs")).select("u", F.explode(grown("u", "arcs")).alias("members"))
-    found = write(found)
+    wide = out.where(F.size("out") > 1)
+    near = wide.select("u", "out", F.explode("out").alias("y")).join(out.select(F.col("u").alias("y"), F.col("out").alias("more")), "y")
+    near = near.select("u", "y", F.explode(F.array_intersect("out", "more")).alias("z"))
+    near = near.unionByName(near.select("u", F.col("z").alias("y"), F.col("y").alias("z")))
+    near = write(near.groupBy("u", "y").agg(F.collect_set("z").alias("adj")))  # who is joined with whom in an out-list
+    state = wide.join(near.select("u").distinct(), "u", "left_semi").select("u", F.array("u").alias("r"), F.col("out").alias("p"))
+    state, found = write(state.withColumn("k", F.monotonically_increasing_id())), None
+    none = F.array().cast("array<string>")
+    while not state.isEmpty():  # ends: candidates are fewer every round
+        if rows is not None:
+            rows.append(state.count())
+        each = state.select("k", "u", "p", F.explode("p").alias("y")).join(near, ["u", "y"], "left").select("k", "y", F.size("p").alias("m"), F.array_intersect("p", F.coalesce("adj", none)).alias("a"))
+        every = F.size("a") == F.col("m") - 1
+        told = each.groupBy("k").agg(F.collect_list(F.when(every, F.col("y"))).alias("all"), F.max_by(F.col("a"), F.when(~every, F.struct(F.size("a"), "y"))).alias("by"))
+        step = state.join(told, "k").select("u", F.concat("r", "all").alias("r"), F.array_except("p", "all").alias("p"), "by")
+        step = write(step)
+        ended = step.where(F.size("p") == 0).select("r")
+        branch = step.where(F.size("p") > 0).withColumn("b", F.array_sort(F.array_except("p", "by"))).select("u", "r", "p", "b", F.posexplode("b").alias("i", "y"))
+        branch = branch.join(near, ["u", "y"], "left").select("u", F.concat("r", F.array("y")).alias("r"), F.array_except(F.array_intersect("p", F.coalesce("adj", none)), F.slice("b", F.lit(1), F.col("i"))).alias("p"))
+        branch = write(branch.withColumn("k", F.monotonically_increasing_id()))
+        ended = ended.unionByName(branch.where(F.size("p") == 0).select("r")).where(F.size("r") > 2)
+        found = ended if found is None else found.unionByName(ended)
+        state = branch.where(F.size("p") > 0)
+    if found is None:
+        found = state.select("r")
+    found = write(found.select(F.element_at("r", 1).alias("u"), F.array_sort("r").alias("members")))
+    # Continued by a vertex of the same out-list: one that every other member is joined with.
+    of = found.select("u", "members", F.explode("members").alias("y")).where("y <> u").join(near, ["u", "y"])
+    inside = of.select("members", F.explode(F.array_except("adj", "members")).alias("z")).groupBy("members", "z").agg(F.count("*").alias("n")).where(F.col("n") == F.size("members") - 1)
+    # Continued by an earlier vertex: one that points at all members.
     before = arcs.select(F.col("v").alias("u"), F.col("u").alias("w")).join(out.withColumnRenamed("u", "w"), "w")
-    parts = found.join(before, "u").where(F.size(F.array_except("members", "out")) == 0).select("members").distinct()
-    return found.select("members").join(parts, "members", "left_anti").select(F.array_sort("members").alias("members"))
-
-
-def _cliques(u: str, arcs: list) -> list[list[str]]:
-    """The maximal cliques of three or more that hold u, in the graph of u and arcs (c, near) among its neighbours."""
-    adj = {}
-    for c, near in arcs:
-        for x in near:
-            adj.setdefault(c, set()).add(x)
-            adj.setdefault(x, set()).add(c)
-    out, stack = [], [([u], set(adj), set())]
-    while stack:
-        r, p, x = stack.pop()
-        if not p:
-            if not x:
-                out.append(r)
-            continue
-        pivot = max(p | x, key=lambda v: len(adj[v] & p))
-        for v in list(p - adj[pivot]):
-            stack.append(([*r, v], p & adj[v], x & adj[v]))
-            p = p - {v}
-            x = x | {v}
-    return out
+    outside = found.join(before, "u").where(F.size(F.array_except("members", "out")) == 0)
+    gone = inside.select("members").unionByName(outside.select("members")).distinct()
+    return found.select("members").join(gone, "members", "left_anti")

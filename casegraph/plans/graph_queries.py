@@ -9,7 +9,7 @@ from casegraph.operators import graph as G
 from casegraph.operators import patterns as P
 from casegraph.operators import roles as R
 from casegraph.operators import traverse as T
-from casegraph.plans.driver_views import calls, edges, transfers, vertices, with_views
+from casegraph.plans.driver_views import calls, edges, table, transfers, vertices, with_views
 from casegraph.plans.sqltext import clamp4, sig
 from casegraph.sources import io as O
 from casegraph.plans.transfer_queries import FLOWS, HUB, LAYERING, LEGS, MULE, RAPID, VELOCITY
@@ -113,6 +113,35 @@ def money_paths(spark, d):
     return out.select("source", "target", F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"), F.col("rank").cast("long").alias("rank"))
 
 
+def _told(paths):
+    return paths.select("source", "target", F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"), F.col("rank").cast("long").alias("rank"))
+
+
+def money_paths_whole(spark, d):
+    """From every customer to every nation's SIM."""
+    pairs = vertices(spark, d).where("type = 'PERSON'").select(F.col("id").alias("source"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n"))
+    return _told(T.money_paths(pairs.select("source", F.concat(F.lit("N"), F.col("n").cast("string")).alias("target")), _pay(edges(spark, d))))
+
+
+def money_paths_accounts(spark, d):
+    """Between the accounts of the transfers that share a description and an amount to within ten, over all transfers."""
+    t = transfers(spark, d).where("src IS NOT NULL AND dst IS NOT NULL")
+    near = t.select("description", F.floor(F.col("amount") / 10).alias("tens"), "src", "dst")
+    ends = lambda c: near.select("description", "tens", c).distinct()
+    pairs = ends("src").join(ends("dst"), ["description", "tens"]).where("src <> dst").select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    return _told(T.money_paths(pairs, t.select("src", "dst", F.lit("TRANSFERRED_TO").alias("rel")), max_hops=4))
+
+
+def shortest_paths_whole(spark, d):
+    """For every order, from its customer to the part and the nation numbered like it, most of them no neighbours."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    parts = table(spark, d, "part").agg(F.count("*").alias("n"))
+    to = F.explode(F.array(F.concat(F.lit("P"), (F.col("o_orderkey") % F.col("n") + 1).cast("string")), F.concat(F.lit("N"), (F.col("o_orderkey") % 25).cast("string"))))
+    pairs = o.join(F.broadcast(parts)).select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("source"), to.alias("target"))  # one row
+    out = T.shortest_paths(pairs, edges(spark, d))
+    return out.select("source", "target", F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"), "directed")
+
+
 def components(spark, d):
     v, e = _ve(spark, d)
     return T.components(v, e.where("rel = 'USES'"))
@@ -193,18 +222,15 @@ def roles_stored(spark, d):
     return O.of_stored(spark, path, "c1").select("case_id", "primary_role", "n")
 
 
-PIVOTS = 64
-
-
 def betweenness_whole(spark, d):
-    """Over all vertices and edges, from 64 sources chosen by hash (all sources take vertices times edges)."""
-    return T.betweenness(*_ve(spark, d), pivots=PIVOTS)
+    """Over all vertices and edges, to within 0.05 with a chance of nine in ten (all sources take vertices times edges)."""
+    return T.betweenness_within(*_ve(spark, d))
 
 
 def roles_whole(spark, d):
-    """All six roles over the whole graph, with sampled betweenness and PageRank to its tolerance."""
+    """All six roles over the whole graph, with betweenness to within 0.05 and PageRank to its tolerance."""
     v, e = _ve(spark, d)
-    r = R.assign(v, e, account_transfers(spark, d), _calls_of_suppliers(spark, d), T.betweenness(v, e, pivots=PIVOTS), T.pagerank(v, e))
+    r = R.assign(v, e, account_transfers(spark, d), _calls_of_suppliers(spark, d), T.betweenness_within(v, e), T.pagerank(v, e))
     return r.select("id", "primary_role", "role_score", F.array_join("evidence", "; ").alias("evidence"))
 
 
@@ -276,6 +302,39 @@ SELECT 'P1' AS source, n.id AS target, coalesce(d2.p, u3.p) AS path, CASE WHEN d
 FROM vertices n LEFT JOIN d2 ON d2.target = n.id LEFT JOIN u3 ON u3.target = n.id WHERE n.type = 'SIM' AND coalesce(d2.p, u3.p) IS NOT NULL"""
 MONEY = """SELECT 'C1' AS source, target, path, 2::BIGINT AS length, row_number() OVER (PARTITION BY target ORDER BY hop) AS rank FROM (
   SELECT s.dst AS target, c.dst AS hop, 'C1>' || c.dst || '>' || s.dst AS path FROM edges c JOIN edges s ON s.src = c.dst AND s.dst LIKE 'N%' WHERE c.src = 'C1' AND c.rel = 'TRANSFERRED_TO') QUALIFY rank <= 10"""
+MONEY_WHOLE = """SELECT source, target, path, 2::BIGINT AS length, rank FROM (SELECT c.src AS source, s.dst AS target, c.src || '>' || c.dst || '>' || s.dst AS path,
+  row_number() OVER (PARTITION BY c.src, s.dst ORDER BY c.dst) AS rank FROM edges c JOIN edges s ON s.src = c.dst AND s.dst LIKE 'N%' WHERE c.rel = 'TRANSFERRED_TO') WHERE rank <= 10"""
+# All simple paths of one to three hops; a pair whose first ten are not all among them has fewer, or needs the fourth.
+MONEY_ACCOUNTS = """arc AS MATERIALIZED (SELECT DISTINCT src, dst FROM transfers WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst),
+near AS (SELECT DISTINCT description, floor(amount / 10) AS tens, src, dst FROM transfers WHERE src IS NOT NULL AND dst IS NOT NULL),
+pair AS MATERIALIZED (SELECT DISTINCT a.src AS source, b.dst AS target FROM near a JOIN near b ON a.description = b.description AND a.tens = b.tens WHERE a.src <> b.dst),
+p1 AS (SELECT source, target, [source, target] AS path FROM pair JOIN arc ON src = source AND dst = target),
+p2 AS (SELECT source, target, [source, a.dst, target] AS path FROM pair JOIN arc a ON a.src = source JOIN arc b ON b.src = a.dst AND b.dst = target WHERE a.dst <> target),
+few AS (SELECT source, target FROM pair LEFT JOIN (SELECT source, target, count(*) AS n FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY 1, 2) k USING (source, target) WHERE coalesce(n, 0) < 10),
+p3 AS (SELECT source, target, [source, a.dst, b.dst, target] AS path FROM few JOIN arc a ON a.src = source JOIN arc b ON b.src = a.dst JOIN arc c ON c.src = b.dst AND c.dst = target
+  WHERE a.dst <> target AND b.dst <> target AND b.dst <> source),
+few3 AS (SELECT source, target FROM few LEFT JOIN (SELECT source, target, count(*) AS n FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY 1, 2) k USING (source, target) WHERE coalesce(n, 0) < 10),
+p4 AS (SELECT source, target, [source, a.dst, b.dst, c.dst, target] AS path FROM few3 JOIN arc a ON a.src = source JOIN arc b ON b.src = a.dst JOIN arc c ON c.src = b.dst JOIN arc e ON e.src = c.dst AND e.dst = target
+  WHERE a.dst <> target AND b.dst <> target AND c.dst <> target AND b.dst <> source AND c.dst <> source AND c.dst <> a.dst)
+SELECT source, target, array_to_string(path, '>') AS path, (len(path) - 1)::BIGINT AS length, rank FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY len(path), path) AS rank
+  FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)) WHERE rank <= 10"""
+# No path here is longer than four hops along edges in either direction; directed ones have two at most.
+SHORTEST_WHOLE = """pair AS MATERIALIZED (SELECT DISTINCT 'C' || o_custkey AS source, unnest(['P' || (o_orderkey % (SELECT count(*) FROM part) + 1), 'N' || (o_orderkey % 25)]) AS target FROM orders),
+known AS MATERIALIZED (SELECT * FROM pair WHERE source IN (SELECT id FROM both_ways) AND target IN (SELECT id FROM both_ways)),
+nb AS MATERIALIZED (SELECT DISTINCT id, nbr FROM both_ways),
+one AS (SELECT source, target, [source, target] AS path, true AS directed FROM known WHERE EXISTS (SELECT 1 FROM edges WHERE src = source AND dst = target)),
+two AS (SELECT source, target, min([source, a.dst, target]) AS path, true AS directed FROM known JOIN edges a ON a.src = source JOIN edges b ON b.src = a.dst AND b.dst = target GROUP BY 1, 2),
+dir AS MATERIALIZED (SELECT * FROM one UNION ALL SELECT * FROM two WHERE (source, target) NOT IN (SELECT (source, target) FROM one)),
+rest AS MATERIALIZED (SELECT * FROM known WHERE (source, target) NOT IN (SELECT (source, target) FROM dir)),
+u2 AS MATERIALIZED (SELECT source, target, min([source, a.nbr, target]) AS path FROM rest JOIN nb a ON a.id = source JOIN nb b ON b.id = target AND b.nbr = a.nbr GROUP BY 1, 2),
+rest2 AS MATERIALIZED (SELECT * FROM rest WHERE (source, target) NOT IN (SELECT (source, target) FROM u2)),
+far AS MATERIALIZED (SELECT source, m, min(x) AS x FROM (SELECT DISTINCT source FROM rest2) JOIN (SELECT a.id, a.nbr AS x, b.nbr AS m FROM nb a JOIN nb b ON b.id = a.nbr) ON id = source GROUP BY 1, 2),
+u3 AS MATERIALIZED (SELECT source, target, min([source, x, m, target]) AS path FROM rest2 JOIN nb ON id = target JOIN far USING (source) WHERE m = nbr GROUP BY 1, 2),
+rest3 AS MATERIALIZED (SELECT * FROM rest2 WHERE (source, target) NOT IN (SELECT (source, target) FROM u3)),
+back AS MATERIALIZED (SELECT target, m, min(y) AS y FROM (SELECT DISTINCT target FROM rest3) JOIN (SELECT a.id, a.nbr AS y, b.nbr AS m FROM nb a JOIN nb b ON b.id = a.nbr) ON id = target GROUP BY 1, 2),
+u4 AS (SELECT source, target, min([source, x, m, y, target]) AS path FROM rest3 JOIN far USING (source) JOIN back USING (target, m) GROUP BY 1, 2)
+SELECT source, target, array_to_string(path, '>') AS path, (len(path) - 1)::BIGINT AS length, directed
+FROM (SELECT * FROM dir UNION ALL SELECT *, false FROM u2 UNION ALL SELECT *, false FROM u3 UNION ALL SELECT *, false FROM u4)"""
 COMPONENTS = "SELECT id, CASE WHEN type = 'PERSON' THEN min(id) OVER (PARTITION BY nation) WHEN type = 'SIM' THEN min(id) OVER (PARTITION BY nation) ELSE id END AS component FROM (SELECT v.id, v.type, coalesce(e.dst, v.id) AS nation FROM vertices v LEFT JOIN edges e ON e.src = v.id AND e.rel = 'USES')"
 
 
@@ -324,7 +383,7 @@ ASSIGNED = """ SELECT id, round(coordinator, 3) AS coordinator, round(intermedia
 QUERIES = {
     "hub_edges": hub_edges, "sim_swap": sim_swap, "shared_device": shared_device, "shared_sim": shared_sim, "triangles": triangles, "dense_clusters": dense_clusters, "findings_all": findings_all, "analysis": analysis,
     "findings_whole": findings_all, "analysis_whole": analysis, "analysis_stored": analysis_stored, "roles_assigned": roles_assigned, "roles_stored": roles_stored, "roles_whole": roles_whole, "betweenness_whole": betweenness_whole,
-    "graph_filter": graph_filter, "graph_build": graph_build, "ego2": ego2, "shortest_path": shortest_path, "money_paths": money_paths, "components": components, "component_sizes": component_sizes,
+    "graph_filter": graph_filter, "graph_build": graph_build, "ego2": ego2, "shortest_path": shortest_path, "money_paths": money_paths, "money_paths_whole": money_paths_whole, "money_paths_accounts": money_paths_accounts, "shortest_paths_whole": shortest_paths_whole, "components": components, "component_sizes": component_sizes,
     "components_whole": components_whole, "component_sizes_whole": component_sizes_whole, "pagerank_whole": pagerank_whole,
     "search": search, "node_detail": node_detail, "degree": degree, "typed_nbrs": typed_nbrs, "pagerank3": pagerank3, "betweenness_small": betweenness_small, "role_volumes": role_volumes, "roles_local": roles_local,
 }
@@ -334,7 +393,8 @@ ORACLES = {
     "graph_filter": with_views("SELECT * FROM edges WHERE rel = 'TRANSFERRED_TO'", "edges"),
     "graph_build": with_views("SELECT src, dst, CASE WHEN rel = 'USES' THEN 'OWNS' ELSE rel END AS rel, confidence FROM edges WHERE src NOT LIKE 'P%'", "edges"),
     "ego2": with_views(f", {BOTH}, lk AS (SELECT id, nbr FROM both_ways WHERE rel IN ('USES', 'LINKED_TO')) {EGO}", *VE),
-    "shortest_path": with_views(f", {BOTH}{SHORTEST}", *VE), "money_paths": with_views(MONEY, "edges"), "components": with_views(COMPONENTS, *VE),
+    "shortest_path": with_views(f", {BOTH}{SHORTEST}", *VE), "money_paths": with_views(MONEY, "edges"), "money_paths_whole": with_views(MONEY_WHOLE, "edges"), "money_paths_accounts": with_views(f", {MONEY_ACCOUNTS}", "transfers"),
+    "shortest_paths_whole": with_views(f", {BOTH}, {SHORTEST_WHOLE}", "edges"), "components": with_views(COMPONENTS, *VE),
     "component_sizes": with_views(f", c AS ({COMPONENTS}) SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS index FROM c GROUP BY component", *VE),
     "components_whole": with_views(f"{WHOLE} SELECT id, c AS component FROM l9", *VE),
     "component_sizes_whole": with_views(f"{WHOLE} SELECT c AS component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS index FROM l9 GROUP BY c", *VE),

@@ -74,13 +74,18 @@ def confusion(spark, d):
     return M.confusion(_scored(spark, d), 0.5).select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def class_report(spark, d):
+    out = M.class_report(_scored(spark, d), 0.5)
+    return out.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")], "support")
+
+
 def risk_bands(spark, d):
     return _scored(spark, d).groupBy(X.band(F.col("score")).alias("band"), X.display_band(F.col("score")).alias("shown")).agg(F.count("*").alias("n"))
 
 
 def train_score(spark, d):
     """Trains a logistic model on the accounts' features and scores every account."""
-    rows = X.split(features(spark, d).withColumn("is_fraud", (F.col("tx_in_count") > F.col("tx_out_count")).cast("int")), "account", "is_fraud")
+    rows = materialise(_rows(spark, d))
     m = M.train(rows.where("part = 'train'"), names=("logistic",))["logistic"]
     scored = M.score(rows, m)
     return M.contributions(scored, m.stages[-1].coefficients.toArray().tolist()).select("account", "part", "score", "classification", "top_features", "explanation")
@@ -157,7 +162,7 @@ _F1 = "CASE WHEN 2 * tp + fp + fn > 0 THEN round(2.0::DOUBLE * tp / (2 * tp + fp
 
 QUERIES = {
     "labels": fraud_labels, "features": features, "split": split, "profile_numeric": profile_numeric, "profile_top5": profile_top5, "duplicate_rows": duplicate_rows, "target_summary": target_summary,
-    "threshold_sweep": threshold_sweep, "best_threshold": best_threshold, "auc_ap": auc_ap, "confusion": confusion, "risk_bands": risk_bands, "train_score": train_score, "model_metrics": model_metrics, "model_reloaded": model_reloaded, "linear_score": linear_score, "best_model": best_model,
+    "threshold_sweep": threshold_sweep, "best_threshold": best_threshold, "auc_ap": auc_ap, "confusion": confusion, "class_report": class_report, "risk_bands": risk_bands, "train_score": train_score, "model_metrics": model_metrics, "model_reloaded": model_reloaded, "linear_score": linear_score, "best_model": best_model,
 }
 ORACLES = {
     "labels": with_views(f", {FRAUD} SELECT account FROM fraud", "transfers"),
@@ -177,6 +182,11 @@ ORACLES = {
       c AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp FROM g)
       SELECT round(sum((tp - p / 2.0::DOUBLE) * n) / (sum(p) * sum(n)), 6) AS roc_auc, round(sum(p * tp / (tp + fp)::DOUBLE) / sum(p), 6) AS average_precision FROM c""",
     "confusion": f"WITH {_SCORED}, s AS (SELECT {_CONF.format(t='0.5')} FROM scored) SELECT tp, fp, fn, tn, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall, {_F1} AS f1 FROM s",
+    "class_report": f"""WITH {_SCORED}, s AS (SELECT {_CONF.format(t='0.5')} FROM scored), c AS (SELECT '0' AS class, tn AS r, fn AS w, fp AS m, tp + tn AS good FROM s UNION ALL SELECT '1', tp, fp, fn, tp + tn FROM s),
+      v AS (SELECT class, coalesce(r / nullif(r + w, 0)::DOUBLE, 0) AS precision, coalesce(r / nullif(r + m, 0)::DOUBLE, 0) AS recall, coalesce(2 * r / nullif(2 * r + w + m, 0)::DOUBLE, 0) AS f1, r + m AS support, good FROM c),
+      a AS (SELECT * FROM v UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)::BIGINT, max(good) FROM v
+        UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support)::BIGINT, max(good) FROM v)
+      SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(good / (SELECT sum(support) FROM v)::DOUBLE, 6) AS accuracy, support FROM a""",
     "risk_bands": f"""WITH {_SCORED} SELECT CASE WHEN score >= 0.8 THEN 'HIGH' WHEN score >= 0.5 THEN 'MEDIUM' WHEN score >= 0.2 THEN 'LOW' ELSE 'VERY_LOW' END AS band,
       CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS shown, count(*) AS n FROM scored GROUP BY 1, 2""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casegraph.functions.scratch import scratch_path
 from casegraph.operators import cases as C
 from casegraph.operators import extract as E
 from casegraph.operators import resolve as R
@@ -176,7 +177,7 @@ def browse(spark, d):
     return C.browse_entities(e, "person", "99").select("c_custkey", "value")
 
 
-def brief_sections(spark, d):
+def _briefs(spark, d):
     c = cases(spark, d)
     events = timeline_events(spark, d)
     e = table(spark, d, "events")
@@ -187,10 +188,24 @@ def brief_sections(spark, d):
     ev = e.select(case.alias("case_id"), F.concat(F.lit("ev"), F.col("event_id").cast("string")).alias("evidence_id"), (F.col("event_id") % 3 == 0).alias("is_verified"))
     ents = table(spark, d, "customer").select(F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("entity_id"), F.lit("VICTIM").alias("type"), F.col("c_name").alias("value"))
     sizes = e.groupBy(case.alias("case_id")).agg(F.countDistinct("user_id").alias("nodes"), F.count("*").alias("edges"))
-    out = C.brief(c, found, events, roles, pred, ev, ents, sizes)
+    return C.brief(c, found, events, roles, pred, ev, ents, sizes)
+
+
+def _sections(out):
     return out.select("case_id", "findings", F.array_join("pattern_names", ",").alias("pattern_names"), F.array_join("victims", ",").alias("victims"), "first_event", "last_event", "predictions", "high_risk", "nodes", "edges", F.size("top_roles").alias("n_roles"), F.size("key_evidence").alias("n_evidence"), F.element_at("top_roles", 1)["id"].alias("top_role"))
 
 
+def brief_sections(spark, d):
+    return _sections(_briefs(spark, d))
+
+
+def briefs_read_back(spark, d):
+    """The whole briefs of all cases, stored as one document each and read back."""
+    path, made = scratch_path(spark), _briefs(spark, d)
+    C.save_briefs(made, path)
+    return _sections(C.stored_briefs(spark, path, made.schema))
+
+
 # Oracle texts.
 _N = """narr AS (SELECT c_custkey AS doc_id, 'c' || (c_custkey % 50) AS case_id, 'e' || (c_custkey % 80) AS evidence_id, 'The victim Ramesh Kumar said +91-9' || lpad(c_custkey::VARCHAR, 9, '0') || ' called 8' || lpad(c_custkey::VARCHAR, 9, '0') ||
   ' from Pune City. Paid to user' || c_custkey || '@OKAXIS and HDFC0' || lpad(c_custkey::VARCHAR, 6, '0') || ' by TXN' || lpad(c_custkey::VARCHAR, 10, '0') || '. Device ' || lpad(c_custkey::VARCHAR, 15, '0') || ' sim 89' ||
@@ -218,7 +233,7 @@ _TL = f"""{_CASES}, {_EV}, tl AS (SELECT case_id, 'evt_tx_' || event_id AS event
 QUERIES = {
     "extract_ip": extract_ip, "extract_narrative": extract_narrative, "capped_mentions": capped_mentions, "relations": relations, "merge_entities": merge_entities, "merge_edges": merge_edges, "merge_counts": merge_counts,
     "norm_tx": norm_tx, "norm_calls": norm_calls, "detect_type": detect_type, "manifest": manifest, "load_transfers": load_transfers, "live_or_sample": live_or_sample, "merge_updates": merge_updates, "timeline": timeline,
-    "timeline_counts": timeline_counts, "evidence_chain": evidence_chain, "cases_page": cases_page, "cases_dashboard": cases_dashboard, "audit_page": audit_page, "browse": browse, "brief_sections": brief_sections,
+    "timeline_counts": timeline_counts, "evidence_chain": evidence_chain, "cases_page": cases_page, "cases_dashboard": cases_dashboard, "audit_page": audit_page, "browse": browse, "brief_sections": brief_sections, "briefs_read_back": briefs_read_back,
 }
 ORACLES = {
     "extract_ip": r"""SELECT * FROM (SELECT doc_id, (generate_subscripts(h, 1) - 1)::INTEGER AS pos, unnest(h) AS value FROM (SELECT doc_id, regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b') AS h FROM documents))
@@ -250,3 +265,4 @@ ORACLES = {
         (SELECT least(count(*), 20) FROM q WHERE q.case_id = cs.id HAVING count(*) > 0)::INTEGER AS n_roles, (SELECT least(count(*), 10) FROM ev WHERE ev.case_id = cs.id HAVING count(*) > 0)::INTEGER AS n_evidence, best.top_role
       FROM cs LEFT JOIN best ON best.case_id = cs.id""",
 }
+ORACLES["briefs_read_back"] = ORACLES["brief_sections"]

@@ -70,7 +70,7 @@ ALIASES = {
         "fraud_type": ("fraud_type", "type", "category", "crime_type"),
         "narrative": ("narrative", "description", "complaint_text", "details", "text", "body"),
         "loss_amount": ("loss_amount", "amount", "loss", "claim_amount"),
-        "currency": ("currency", "ccy"),
+        "currency": ("currency",),
         "incident_date": ("incident_date", "date_of_incident", "crime_date", "date"),
         "reported_date": ("reported_date", "report_date", "filing_date"),
         "police_station": ("police_station", "ps", "station", "ps_name"),

@@ -82,3 +82,51 @@ def test_registered_components_follow_every_relation(spark):
     got = {r["id"]: r["component"] for r in queries()["components_whole"](spark, d).collect()}
     assert got == {r["id"]: find(r["id"]) for r in vertices(spark, d).select("id").collect()}
     assert sum(r["rank"] for r in queries()["pagerank_whole"](spark, d).collect()) == pytest.approx(1)
+
+
+def brute_cliques(arcs):
+    adj = {}
+    for a, b in arcs:
+        if a != b:
+            adj.setdefault(a, set()).add(b)
+            adj.setdefault(b, set()).add(a)
+    out = []
+
+    def grow(r, p, x):
+        if not p and not x and len(r) > 2:
+            out.append(sorted(r))
+        for v in sorted(p):
+            grow(r | {v}, p & adj[v], x & adj[v])
+            p = p - {v}
+            x = x | {v}
+
+    grow(set(), set(adj), set())
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, n, m", [(1, 14, 55), (2, 40, 90), (3, 10, 42)])
+def test_maximal_cliques_of_random_graphs(spark, seed, n, m):
+    import random
+
+    rng = random.Random(seed)
+    arcs = [(f"v{rng.randrange(n):02}", f"v{rng.randrange(n):02}") for _ in range(m)]
+    got = sorted(r["members"] for r in T.maximal_cliques(spark.createDataFrame(arcs, "src string, dst string")).collect())
+    assert got == brute_cliques(arcs)
+
+
+def test_a_dense_core_ends_in_few_rows(spark):
+    """300 vertices, all joined but for four pairs: 16 cliques of 296, in one row for each vertex and branch, without Python."""
+    core = [f"k{i:03}" for i in range(300)]
+    missing = {(core[2 * j], core[2 * j + 1]) for j in range(4)}
+    arcs = [(a, b) for i, a in enumerate(core) for b in core[i + 1 :] if (a, b) not in missing]
+    rows = []
+    cliques = T.maximal_cliques.__wrapped__(spark.createDataFrame(arcs, "src string, dst string"), rows)
+    got = sorted(r["members"] for r in cliques.collect())
+    assert len(got) == 16 and all(len(c) == 296 for c in got) and max(rows) < 5000 and len(rows) <= 5
+    assert "Python" not in cliques._jdf.queryExecution().toString()
+
+
+def test_core_bounds(spark):
+    arcs = [(a, b) for a in "abcd" for b in "abcd" if a < b] + [("d", f"x{k}") for k in range(9)]
+    got = {r["id"]: r["first"] for r in T.core_bounds(spark.createDataFrame(arcs, "src string, dst string")).collect()}
+    assert all(got[v] == 3 for v in "abcd") and all(got[f"x{k}"] == 1 for k in range(9))
