@@ -2,6 +2,9 @@
 
 Every stage is one operator of casegraph.llm with its production parameters, judged on what the stage before kept.
 All but the last return the columns of documents; the last adds `copy` (1 for a document's first copy).
+
+In every stage whole texts count, however long; an empty table gives an empty one; ties go to the smaller doc_id (line dedup and near
+dedup keep that of the first document) or don't arise (the others judge each document alone or by its source).
 """
 
 from __future__ import annotations
@@ -9,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casegraph.functions.scratch import release
 from casegraph.llm import decontaminate, line_dedup, mixing, near_dedup, quality
-from casegraph.llm.common import fresh, materialise, others, quoted, small, table
+from casegraph.llm.common import fresh, materialise, others, passing, quoted, small, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +82,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each writes Parquet that the next one reads."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with passing() as kept:  # what a stage wrote on its way goes at its end, its input once it is read
+            kept.append(materialise(stage(spark, docs, sf_dir)))
+        if before is not None:
+            release(before)
+        docs = before = kept[0]
     return STAGES[-1][1](spark, docs, sf_dir)
