@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casegraph.functions.scratch import scratch_path
 from casegraph.operators import cases as C
+from casegraph.operators import entitystore as U
 from casegraph.operators import extract as E
 from casegraph.operators import resolve as R
 from casegraph.operators import timeline as T
@@ -52,6 +53,17 @@ def merge_entities(spark, d):
     return entities.select("type", "value", "confidence", "mentions", F.array_join("evidence_ids", ",").alias("evidence_ids"), F.array_join("case_ids", ",").alias("case_ids"))
 
 
+def entities_in_batches(spark, d):
+    """The entities of the narratives, merged into a store in three batches, the last third first."""
+    docs, path = narratives(spark, d), scratch_path(spark)
+    good, _ = E.validate_entities(E.mentions(docs))
+    rows = good.join(docs.select("doc_id", "case_id", "evidence_id"), "doc_id").withColumn("seq", F.struct("doc_id", "rule_no", "pos"))
+    for k in (2, 0, 1):
+        U.upsert(spark, path, rows.where(F.col("doc_id") % 3 == k))
+    entities = U.entities(spark, path, U.states(rows))
+    return entities.select("type", "value", "confidence", "mentions", F.array_join("evidence_ids", ",").alias("evidence_ids"), F.array_join("case_ids", ",").alias("case_ids"))
+
+
 def merge_edges(spark, d):
     entities, edges, _ = R.pipeline(narratives(spark, d))
     e = edges.join(entities.select(F.col("entity_id").alias("source_entity"), F.col("key").alias("source")), "source_entity").join(entities.select(F.col("entity_id").alias("target_entity"), F.col("key").alias("target")), "target_entity")
@@ -231,7 +243,7 @@ _TL = f"""{_CASES}, {_EV}, tl AS (SELECT case_id, 'evt_tx_' || event_id AS event
   UNION ALL SELECT id, 'evt_case_open_' || id, created_at || 'T00:00:00Z', 'case_event', 'v' || id[2:], 'cases' FROM cs UNION ALL SELECT id, 'evt_case_close_' || id, '2024-03-01T00:00:00Z', 'case_event', '', 'cases' FROM cs WHERE status = 'closed')"""
 
 QUERIES = {
-    "extract_ip": extract_ip, "extract_narrative": extract_narrative, "capped_mentions": capped_mentions, "relations": relations, "merge_entities": merge_entities, "merge_edges": merge_edges, "merge_counts": merge_counts,
+    "extract_ip": extract_ip, "extract_narrative": extract_narrative, "capped_mentions": capped_mentions, "relations": relations, "merge_entities": merge_entities, "entities_in_batches": entities_in_batches, "merge_edges": merge_edges, "merge_counts": merge_counts,
     "norm_tx": norm_tx, "norm_calls": norm_calls, "detect_type": detect_type, "manifest": manifest, "load_transfers": load_transfers, "live_or_sample": live_or_sample, "merge_updates": merge_updates, "timeline": timeline,
     "timeline_counts": timeline_counts, "evidence_chain": evidence_chain, "cases_page": cases_page, "cases_dashboard": cases_dashboard, "audit_page": audit_page, "browse": browse, "brief_sections": brief_sections, "briefs_read_back": briefs_read_back,
 }
@@ -266,3 +278,4 @@ ORACLES = {
       FROM cs LEFT JOIN best ON best.case_id = cs.id""",
 }
 ORACLES["briefs_read_back"] = ORACLES["brief_sections"]
+ORACLES["entities_in_batches"] = ORACLES["merge_entities"]
