@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from casegraph.functions.scratch import exists, materialise, passing
 from casegraph.operators.extract import entity_id, entity_key
 
-PARTS = 16
+PARTS = 8
 BUCKETS = 32  # of a part
 TEXTS = 3
 

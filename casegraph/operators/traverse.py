@@ -73,11 +73,13 @@ class _Side:
         self.seen = self.front.select(end, "id")
 
     def _reach(self, front: DataFrame) -> None:
-        """front as the last level, and what the next one costs: its arcs."""
-        self.front = write(front)
-        rows, arcs = self.front.join(self.degrees, "id", "left").agg(F.count("*"), F.coalesce(F.sum("arcs"), F.lit(0))).first()
-        self.rows.append(rows)
-        self.arcs_ahead = arcs
+        """front as the last level, each vertex with its arcs ahead."""
+        self.front = write(front.join(self.degrees, "id", "left").select(self.end, "id", "path", F.coalesce("arcs", F.lit(0)).alias("arcs")))
+        self.rows.append(self.front.count())
+
+    def cost(self, active: DataFrame) -> int:
+        """The arcs that the next level of active pairs' ends goes along."""
+        return self.front.join(active.select(self.end).distinct(), self.end, "left_semi").agg(F.coalesce(F.sum("arcs"), F.lit(0))).first()[0]
 
     def advance(self, active: DataFrame) -> None:
         """One level on, for the ends of active pairs only."""
@@ -100,9 +102,9 @@ def meet(pairs: DataFrame, arcs: DataFrame, rows: list[int] | None = None) -> Da
     active = write(pairs.where("source <> target"))
     sides = [_Side(active, "source", arcs, True), _Side(active, "target", arcs, False)]
     while not active.isEmpty():  # ends: a side's levels run out, and its pairs with them
-        side = min(sides, key=lambda x: x.arcs_ahead)
+        side = min(sides, key=lambda x: x.cost(active))
         side.advance(active)
-        ahead, back = sides[0].front, sides[1].front.withColumnRenamed("path", "rest")
+        ahead, back = sides[0].front.drop("arcs"), sides[1].front.drop("arcs").withColumnRenamed("path", "rest")
         met = active.join(ahead, "source").join(back, ["target", "id"])
         met = met.groupBy("source", "target").agg(F.min(F.concat("path", F.slice("rest", 2, F.size("rest")))).alias("path"))
         met = write(met)

@@ -20,6 +20,7 @@ from casegraph.plans.record_queries import _M, _N, _L, _time, cases, evidence_ro
 from casegraph.plans.record_queries import _CASES, _EV, _TL
 from casegraph.sources import ingest as I
 from casegraph.sources import io as O
+from casegraph.sources import mixed as MX
 from casegraph.streaming import jobs
 
 DAY = "yyyy-MM-dd"
@@ -76,9 +77,12 @@ def norm_accounts(spark, d):
     return I.normalise(raw).select("account_number", "bank", "ifsc", "account_type", "holder_name", "holder_id", "balance", "opened_date", "is_frozen", "kyc_status")
 
 
+def raw_upi(spark, d):
+    return table(spark, d, "customer").select(F.concat(F.lit("user"), _s("c_custkey"), F.lit("@ybl")).alias("VPA"), F.col("c_name").alias("holder"), F.concat(F.lit("A"), _s("c_custkey")).alias("account_id"), _nth("c_custkey", *FLAGS).alias("status"), _nth("c_custkey", *COUNTS).alias("total_txns"))
+
+
 def _upi(spark, d):
-    raw = table(spark, d, "customer").select(F.concat(F.lit("user"), _s("c_custkey"), F.lit("@ybl")).alias("VPA"), F.col("c_name").alias("holder"), F.concat(F.lit("A"), _s("c_custkey")).alias("account_id"), _nth("c_custkey", *FLAGS).alias("status"), _nth("c_custkey", *COUNTS).alias("total_txns"))
-    return I.normalise(raw)
+    return I.normalise(raw_upi(spark, d))
 
 
 def norm_upi(spark, d):
@@ -90,12 +94,15 @@ def upi_errors(spark, d):
     return _upi(spark, d).where("error IS NOT NULL").groupBy("error").agg(F.count("*").alias("n"))
 
 
-def norm_complaints(spark, d):
-    raw = table(spark, d, "orders").select(
+def raw_complaints(spark, d):
+    return table(spark, d, "orders").select(
         F.concat(F.lit("FIR/"), _s("o_orderkey")).alias("FIR"), F.col("o_orderpriority").alias("category"), F.concat(F.lit("Order of "), F.date_format("o_orderdate", DAY)).alias("details"), F.concat(F.floor("o_totalprice").cast("string"), F.lit(" ")).alias("claim_amount"),
         F.date_format("o_orderdate", "d-M-yyyy").alias("crime_date"), F.date_format("o_orderdate", "yyyy-M-d H:m:s").alias("filing_date"), F.concat(F.lit("PS "), _s("o_custkey")).alias("ps"),
     )
-    return I.normalise(raw).select("complaint_number", "fraud_type", "narrative", "loss_amount", "currency", "incident_date", "reported_date", "police_station")
+
+
+def norm_complaints(spark, d):
+    return I.normalise(raw_complaints(spark, d)).select("complaint_number", "fraud_type", "narrative", "loss_amount", "currency", "incident_date", "reported_date", "police_station")
 
 
 def norm_phones(spark, d):
@@ -103,9 +110,28 @@ def norm_phones(spark, d):
     return I.normalise(raw, "phones").select("number", "operator", "circle", "registered_to", "is_active")
 
 
+def raw_locations(spark, d):
+    return table(spark, d, "customer").select(F.concat(F.lit("Town "), _s("c_nationkey")).alias("town"), F.col("c_mktsegment").alias("province"), F.lpad(_s("c_custkey"), 6, "4").alias("zip"), F.col("c_name").alias("place"), _nth("c_custkey", *LAT).alias("latitude"), _s("c_nationkey").alias("gps_lon"))
+
+
 def norm_locations(spark, d):
-    raw = table(spark, d, "customer").select(F.concat(F.lit("Town "), _s("c_nationkey")).alias("town"), F.col("c_mktsegment").alias("province"), F.lpad(_s("c_custkey"), 6, "4").alias("zip"), F.col("c_name").alias("place"), _nth("c_custkey", *LAT).alias("latitude"), _s("c_nationkey").alias("gps_lon"))
-    return I.normalise(raw).select("city", "state", "pincode", "address", "lat", "lon")
+    return I.normalise(raw_locations(spark, d)).select("city", "state", "pincode", "address", "lat", "lon")
+
+
+def ingest_mixed(spark, d):
+    """SIMs, devices, complaints and locations as CSV and UPI ids as TXT in one folder, read and typed in one scan."""
+    path = scratch_path(spark)
+    put = lambda df, name: df.write.option("header", True).option("quoteAll", True).csv(f"{path}/{name}")
+    put(raw_sims(spark, d), "a")
+    put(raw_devices(spark, d), "b")
+    put(raw_complaints(spark, d), "c")
+    put(raw_locations(spark, d), "d")
+    upi = raw_upi(spark, d)
+    lines = upi.select(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in upi.columns]).alias("value"))
+    spark.createDataFrame([("|".join(upi.columns),)], "value string").unionByName(lines).coalesce(1).write.text(f"{path}/e")
+    out = MX.normalise_mixed(MX.read_mixed(spark, path))
+    at = lambda *names: F.coalesce(*[F.get_json_object("record", f"$.{n}") for n in names])
+    return out.select("kind", at("iccid", "imei", "complaint_number", "city", "vpa").alias("one"), at("phone_number", "brand", "loss_amount", "lat", "txn_count").alias("two"), at("last_swap_date", "last_seen", "reported_date", "pincode", "is_active").alias("three"), "error")
 
 
 def norm_unknown(spark, d):
@@ -418,7 +444,7 @@ def briefs_stored(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    norm_sims, norm_devices, norm_accounts, norm_upi, upi_errors, norm_complaints, norm_phones, norm_locations, norm_unknown, norm_dates, detector_dates, io_csv, io_json, io_json_wrapped, io_delimited, io_lines, io_append, io_store, io_replace, io_find, io_of_case,
+    norm_sims, norm_devices, norm_accounts, norm_upi, upi_errors, norm_complaints, norm_phones, norm_locations, ingest_mixed, norm_unknown, norm_dates, detector_dates, io_csv, io_json, io_json_wrapped, io_delimited, io_lines, io_append, io_store, io_replace, io_find, io_of_case,
     io_validate, provenance, first_rows, stream_ingest, organisations, optional_mentions, extract_documents, requests, responses, relate, entities_of_case, entities_by_id, graph_vertices, graph_edges, graph_in_case, graph_export, node_evidence, timeline_whole,
     evidence_of_case, evidence_search, evidence_fields, cases_created, cases_rejected, case_by_id, cases_updated, audit_kept, briefs_stored,
 )}
@@ -507,3 +533,8 @@ ORACLES = {
     "audit_kept": "SELECT event_id AS seq, event_type AS action FROM events WHERE (SELECT count(*) FROM events) < 1000 OR event_id >= (SELECT event_id FROM events ORDER BY event_id OFFSET 500 LIMIT 1)",
     "briefs_stored": f"WITH {_CASES} SELECT id AS case_id, title, severity FROM cs WHERE id = 'c12'",
 }
+_UPI_ROWS = ORACLES["norm_upi"].replace(" WHERE t IS NULL OR try_cast(t AS INTEGER) IS NOT NULL", "").replace("AS txn_count FROM", "AS txn_count, t FROM")
+ORACLES["ingest_mixed"] = f"""SELECT 'sims' AS kind, iccid AS one, phone_number AS two, last_swap_date AS three, NULL::VARCHAR AS error FROM ({ORACLES['norm_sims']})
+  UNION ALL SELECT 'devices', imei, brand, last_seen, NULL FROM ({ORACLES['norm_devices']}) UNION ALL SELECT 'complaints', complaint_number, loss_amount::VARCHAR, reported_date, NULL FROM ({ORACLES['norm_complaints']})
+  UNION ALL SELECT 'locations', city, lat::VARCHAR, pincode, NULL FROM ({ORACLES['norm_locations']})
+  UNION ALL SELECT 'upi_ids', vpa, txn_count::VARCHAR, is_active::VARCHAR, CASE WHEN t IS NOT NULL AND try_cast(t AS INTEGER) IS NULL THEN 'txn_count is no whole number: ' || t END FROM ({_UPI_ROWS})"""

@@ -133,11 +133,11 @@ def money_paths_accounts(spark, d):
 
 
 def shortest_paths_whole(spark, d):
-    """For every order, from its customer to the part and the nation numbered like it, most of them no neighbours."""
+    """For every order, from its customer to the customer and the nation numbered like it, most of them no neighbours."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    parts = table(spark, d, "part").agg(F.count("*").alias("n"))
-    to = F.explode(F.array(F.concat(F.lit("P"), (F.col("o_orderkey") % F.col("n") + 1).cast("string")), F.concat(F.lit("N"), (F.col("o_orderkey") % 25).cast("string"))))
-    pairs = o.join(F.broadcast(parts)).select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("source"), to.alias("target"))  # one row
+    customers = table(spark, d, "customer").agg(F.count("*").alias("n"))
+    to = F.explode(F.array(F.concat(F.lit("C"), (F.col("o_orderkey") % F.col("n") + 1).cast("string")), F.concat(F.lit("N"), (F.col("o_orderkey") % 25).cast("string"))))
+    pairs = o.join(F.broadcast(customers)).select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("source"), to.alias("target"))  # one row
     out = T.shortest_paths(pairs, edges(spark, d))
     return out.select("source", "target", F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"), "directed")
 
@@ -319,8 +319,8 @@ p4 AS (SELECT source, target, [source, a.dst, b.dst, c.dst, target] AS path FROM
 SELECT source, target, array_to_string(path, '>') AS path, (len(path) - 1)::BIGINT AS length, rank FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY len(path), path) AS rank
   FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)) WHERE rank <= 10"""
 # No path here is longer than four hops along edges in either direction; directed ones have two at most.
-SHORTEST_WHOLE = """pair AS MATERIALIZED (SELECT DISTINCT 'C' || o_custkey AS source, unnest(['P' || (o_orderkey % (SELECT count(*) FROM part) + 1), 'N' || (o_orderkey % 25)]) AS target FROM orders),
-known AS MATERIALIZED (SELECT * FROM pair WHERE source IN (SELECT id FROM both_ways) AND target IN (SELECT id FROM both_ways)),
+SHORTEST_WHOLE = """pair AS MATERIALIZED (SELECT DISTINCT 'C' || o_custkey AS source, unnest(['C' || (o_orderkey % (SELECT count(*) FROM customer) + 1), 'N' || (o_orderkey % 25)]) AS target FROM orders),
+known AS MATERIALIZED (SELECT * FROM pair WHERE source <> target AND source IN (SELECT id FROM both_ways) AND target IN (SELECT id FROM both_ways)),
 nb AS MATERIALIZED (SELECT DISTINCT id, nbr FROM both_ways),
 one AS (SELECT source, target, [source, target] AS path, true AS directed FROM known WHERE EXISTS (SELECT 1 FROM edges WHERE src = source AND dst = target)),
 two AS (SELECT source, target, min([source, a.dst, target]) AS path, true AS directed FROM known JOIN edges a ON a.src = source JOIN edges b ON b.src = a.dst AND b.dst = target GROUP BY 1, 2),
@@ -334,7 +334,7 @@ rest3 AS MATERIALIZED (SELECT * FROM rest2 WHERE (source, target) NOT IN (SELECT
 back AS MATERIALIZED (SELECT target, m, min(y) AS y FROM (SELECT DISTINCT target FROM rest3) JOIN (SELECT a.id, a.nbr AS y, b.nbr AS m FROM nb a JOIN nb b ON b.id = a.nbr) ON id = target GROUP BY 1, 2),
 u4 AS (SELECT source, target, min([source, x, m, y, target]) AS path FROM rest3 JOIN far USING (source) JOIN back USING (target, m) GROUP BY 1, 2)
 SELECT source, target, array_to_string(path, '>') AS path, (len(path) - 1)::BIGINT AS length, directed
-FROM (SELECT * FROM dir UNION ALL SELECT *, false FROM u2 UNION ALL SELECT *, false FROM u3 UNION ALL SELECT *, false FROM u4)"""
+FROM (SELECT source, target, [source] AS path, true AS directed FROM pair WHERE source = target UNION ALL SELECT * FROM dir UNION ALL SELECT *, false FROM u2 UNION ALL SELECT *, false FROM u3 UNION ALL SELECT *, false FROM u4)"""
 COMPONENTS = "SELECT id, CASE WHEN type = 'PERSON' THEN min(id) OVER (PARTITION BY nation) WHEN type = 'SIM' THEN min(id) OVER (PARTITION BY nation) ELSE id END AS component FROM (SELECT v.id, v.type, coalesce(e.dst, v.id) AS nation FROM vertices v LEFT JOIN edges e ON e.src = v.id AND e.rel = 'USES')"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,14 +158,9 @@ def _field(kind: str, field: str, x: Column, lenient: bool) -> Column:
     return F.coalesce(x, F.lit(DEFAULTS[field])) if field in DEFAULTS else x
 
 
-def normalise(raw: DataFrame, kind: str | None = None, lenient: bool = False) -> DataFrame:
-    """IN-2 to IN-15: the canonical columns of a record type, the columns of `provenance` that raw has, and `error`
-    (null for good rows). An unknown type keeps its columns as one JSON text. kind overrides what the header tells."""
-    kind = kind or detect_type(raw.columns)
-    kept = [F.col(c) for c in ("source_file", "source_record_id", "case_id", "evidence_id", "ingested_at") if c in raw.columns]
-    if kind not in ALIASES:
-        return raw.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns])).alias("payload"), *kept, F.lit(None).cast("string").alias("error"))
-    texts = {f: pick(raw.columns, names) for f, names in ALIASES[kind].items()}
+def canonical(kind: str, value: Callable[[tuple[str, ...]], Column], lenient: bool = False) -> tuple[dict[str, Column], Column]:
+    """The canonical fields of a record type and the error of a row; value: the text of a row under any of some names."""
+    texts = {f: value(names) for f, names in ALIASES[kind].items()}
     fields = {f: _field(kind, f, x, lenient) for f, x in texts.items()}
     error = F.lit(None).cast("string")
     if kind == "upi_ids":  # a count that is no whole number fails the row
@@ -172,6 +169,17 @@ def normalise(raw: DataFrame, kind: str | None = None, lenient: bool = False) ->
     if kind == "locations":  # both or none
         bad = (texts["lat"].isNotNull() & fields["lat"].isNull()) | (texts["lon"].isNotNull() & fields["lon"].isNull())
         fields |= {c: F.when(~bad, fields[c]) for c in ("lat", "lon")}
+    return fields, error
+
+
+def normalise(raw: DataFrame, kind: str | None = None, lenient: bool = False) -> DataFrame:
+    """IN-2 to IN-15: the canonical columns of a record type, the columns of `provenance` that raw has, and `error`
+    (null for good rows). An unknown type keeps its columns as one JSON text. kind overrides what the header tells."""
+    kind = kind or detect_type(raw.columns)
+    kept = [F.col(c) for c in ("source_file", "source_record_id", "case_id", "evidence_id", "ingested_at") if c in raw.columns]
+    if kind not in ALIASES:
+        return raw.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns])).alias("payload"), *kept, F.lit(None).cast("string").alias("error"))
+    fields, error = canonical(kind, lambda names: pick(raw.columns, names), lenient)
     ids = pick(raw.columns, ("id",))
     return raw.select(ids.alias("id"), *[x.alias(f) for f, x in fields.items()], *kept, error.alias("error"))
 

@@ -53,7 +53,7 @@ def simple_paths(adj, s, t, most):
     return sorted(out, key=lambda p: (len(p), p))
 
 
-@pytest.mark.parametrize("seed, n, m", [(1, 25, 40), (2, 60, 75)])
+@pytest.mark.parametrize("seed, n, m", [(1, 25, 40)])
 def test_shortest_paths_of_all_pairs(spark, seed, n, m):
     arcs = graph(seed, n, m)
     e = spark.createDataFrame(arcs, "src string, dst string")
@@ -102,7 +102,7 @@ def test_money_paths_do_not_list_what_they_do_not_return(spark):
     assert sorted(r["path"] for r in got) == [["s", "a00", "b00", "c00", f"d{k:02}", "t"] for k in range(10)] and max(rows) < 500
 
 
-@pytest.mark.parametrize("seed, n, m, epsilon", [(1, 30, 45, 0.1), (2, 12, 14, 0.15)])
+@pytest.mark.parametrize("seed, n, m, epsilon", [(1, 30, 45, 0.1)])
 def test_betweenness_within_its_bound(spark, seed, n, m, epsilon):
     arcs = graph(seed, n, m)
     e = spark.createDataFrame(arcs, "src string, dst string")
