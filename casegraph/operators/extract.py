@@ -104,8 +104,8 @@ def validate_relationships(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumns({"relationship": F.upper(F.trim("relationship")), "source_type": F.upper("source_type"), "target_type": F.upper("target_type"), "confidence": confidence, "evidence_source": source})
     rows = rows.withColumns({f"{e}_value": normal_value(F.col(f"{e}_type"), F.col(f"{e}_value")) for e in ("source", "target")})
     known = lambda c, of: F.coalesce(F.col(c).isin(*of), F.lit(False))
-    reason = F.when(~known("relationship", S.RELATIONSHIP_TYPES), "unknown relationship").when(~known("source_type", S.ENTITY_TYPES) | ~known("target_type", S.ENTITY_TYPES), "unknown endpoint type")
-    reason = reason.when(blank_null(F.col("source_value")).isNull() | blank_null(F.col("target_value")).isNull(), "empty endpoint")
+    reason = F.when(~known("relationship", S.RELATIONSHIP_TYPES), "unknown relationship").when(blank_null(F.col("source_value")).isNull() | blank_null(F.col("target_value")).isNull(), "empty endpoint")
+    reason = reason.when(~known("source_type", S.ENTITY_TYPES) | ~known("target_type", S.ENTITY_TYPES), "unknown endpoint type")
     rows = rows.withColumn("reason", reason)
     return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL")
 
@@ -152,7 +152,7 @@ def relationships(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def parse_responses(rows: DataFrame, column: str = "response") -> DataFrame:
     """EX-17: entities from the JSON of collected model answers: fences off, else the outermost braces, else none."""
-    schema = "entities array<struct<type:string,value:string,confidence:double,source_text:string>>, relationships array<struct<source_type:string,source_value:string,relationship:string,target_type:string,target_value:string,confidence:double>>"
+    schema = "entities array<struct<type:string,value:string,raw_value:string,confidence:string,evidence_source:string,source_text:string>>, relationships array<struct<source_type:string,source_value:string,relationship:string,target_type:string,target_value:string,confidence:string,evidence_source:string>>"
     bare = F.trim(F.regexp_replace(column, r"(?m)^\s*```[a-zA-Z]*\s*$", ""))
     parsed = F.coalesce(F.when(F.startswith(bare, F.lit("{")), F.from_json(bare, schema)), F.from_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), schema))
     return rows.withColumn("parsed", parsed)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casegraph.functions.expr import key12
-from casegraph.operators.extract import entity_id, entity_key, mentions, relationships, validate_entities, validate_relationships
+from casegraph.functions.expr import blank_null, key12
+from casegraph.operators.extract import entity_id, entity_key, mentions, normal_value, parse_responses, relationships, validate_entities, validate_relationships
 
 
 def merge_entities(rows: DataFrame) -> DataFrame:
@@ -67,6 +67,35 @@ def pipeline(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return entities, edges, warnings
 
 
+def answers_pipeline(answers: DataFrame, most: int = 100, least: float = 0.3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """ER-5 over collected model answers (doc_id, response, case_id, evidence_id): (entities, relationships, warnings).
+
+    Of each answer the first `most` entities and relationships are judged (the cap of EX-15); valid ones of at least the confidence
+    `least` count. Ends of a relationship have to be among the entities of the same answer. warnings: doc_id, case_id, kind
+    (entity or relationship), pos (in the answer), reason, what. A relationship whose ends are not found gives none, nor does an
+    answer without JSON.
+    """
+    if not 1 <= most <= 1000 or not 0 <= least <= 1:
+        raise ValueError("most must be 1 to 1000, least 0 to 1")
+    parsed = parse_responses(answers).select("doc_id", "case_id", "evidence_id", "parsed")
+    meta = ("doc_id", "case_id", "evidence_id", "pos")
+    listed = lambda c: parsed.select("doc_id", "case_id", "evidence_id", F.posexplode(F.slice(f"parsed.{c}", 1, most)).alias("pos", "x")).where("x IS NOT NULL").select(*meta, "x.*")
+    kind, raw = F.upper(F.trim("type")), F.trim(F.coalesce(blank_null(F.col("raw_value")), F.col("value")))
+    good, bad = validate_entities(listed("entities").withColumns({"raw_value": raw, "value": normal_value(kind, raw)}))
+    good = good.where(F.col("confidence") >= least)
+    links, bad_links = validate_relationships(listed("relationships").withColumn("confidence", F.col("confidence").try_cast("double")))
+    entities = merge_entities(good.withColumn("seq", F.struct("doc_id", "pos")))
+    links = links.where(F.col("confidence") >= least)
+    known = good.select("doc_id", entity_key(F.col("type"), F.col("value")).alias("key")).distinct()
+    for e in ("source", "target"):
+        links = links.withColumns({"key": entity_key(F.col(f"{e}_type"), F.col(f"{e}_value")), f"{e}_entity": entity_id(F.col(f"{e}_type"), F.col(f"{e}_value"))})
+        links = links.join(known, ["doc_id", "key"], "left_semi").drop("key")
+    told = lambda df, kind, what: df.select("doc_id", "case_id", F.lit(kind).alias("kind"), "pos", "reason", what.alias("what"))
+    of_link = F.when(F.col("reason") == "unknown relationship", F.col("relationship")).otherwise(F.concat_ws(" -> ", F.concat_ws("::", "source_type", "source_value"), F.concat_ws("::", "target_type", "target_value")))
+    warnings = told(bad, "entity", F.col("type")).unionByName(told(bad_links, "relationship", of_link))
+    return entities, merge_relationships(links), warnings
+
+
 def relate(docs: DataFrame, supplied: DataFrame, store: DataFrame) -> DataFrame:
     """ER-6: relationships among supplied entities of the documents, ends looked up in the whole store."""
     good, _ = validate_relationships(relationships(docs, supplied))

@@ -8,6 +8,7 @@ from casegraph.functions.scratch import materialise, scratch_path
 from casegraph.operators import graph as G
 from casegraph.operators import patterns as P
 from casegraph.operators import roles as R
+from casegraph.operators import subgraphs as B
 from casegraph.operators import traverse as T
 from casegraph.plans.driver_views import calls, edges, table, transfers, vertices, with_views
 from casegraph.plans.sqltext import clamp4, sig
@@ -162,6 +163,31 @@ def component_sizes_whole(spark, d):
     return T.component_sizes(components_whole(spark, d)).withColumn("index", F.col("index").cast("long"))
 
 
+def _graphs_stored(spark, d):
+    """The graph of who belongs to which nation, stored by component in some 32 parts; a part's vertices are on their own."""
+    v, e = _ve(spark, d)
+    e = e.where("dst LIKE 'N%'")
+    path, of = scratch_path(spark), materialise(T.components(v, e))
+    B.store(v, e, of, path, max(1, v.count() // 32))
+    return path, of
+
+
+def component_graphs(spark, d):
+    """Every component's vertices and edges, stored and read back."""
+    path, _ = _graphs_stored(spark, d)
+    v, e = B.component_graphs(spark, path, B.index(spark, path))
+    e = e.groupBy("component").agg(F.count("*").alias("n_edges"), F.min("src").alias("first_src"), F.max("src").alias("last_src"))
+    return v.groupBy("component").agg(F.count("*").alias("n_vertices")).join(e, "component", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+
+
+def component_graphs_of_nations(spark, d):
+    """The vertices and degrees of the components that hold a nation, which alone are read, with the size that the index tells."""
+    path, of = _graphs_stored(spark, d)
+    v, e = B.component_graphs(spark, path, of.where("id LIKE 'N%'"))
+    out = v.select("component", "id").join(G.degrees(e).select("id", "in_degree", "out_degree"), "id", "left")
+    return out.join(B.index(spark, path).select("component", F.col("n_vertices").alias("size")), "component").select("component", "id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"), "size")
+
+
 def search(spark, d):
     return G.search(vertices(spark, d), "aTION").select("id", "type", "label")
 
@@ -361,6 +387,8 @@ def _least_labels(rounds: int) -> str:
 
 
 WHOLE = f", {BOTH}, {_least_labels(9)}"
+# Every customer and supplier has one nation.
+NATIONS = "en AS (SELECT src, dst FROM edges WHERE dst LIKE 'N%'), cn AS (SELECT v.id, min(v.id) OVER (PARTITION BY coalesce(e.dst, v.id)) AS component FROM vertices v LEFT JOIN en e ON e.src = v.id)"
 # In a star only the hub lies between its leaves; its rank and theirs come from three rounds.
 STARS = f"""{VOLUMES}, sv AS (SELECT * FROM vertices WHERE type <> 'DEVICE'), se AS (SELECT * FROM edges WHERE dst LIKE 'N%'), nn AS (SELECT count(*)::DOUBLE AS n FROM sv),
 sb AS (SELECT id, src AS nbr FROM (SELECT dst AS id, src FROM se) UNION ALL SELECT src, dst FROM se),
@@ -384,7 +412,7 @@ QUERIES = {
     "hub_edges": hub_edges, "sim_swap": sim_swap, "shared_device": shared_device, "shared_sim": shared_sim, "triangles": triangles, "dense_clusters": dense_clusters, "findings_all": findings_all, "analysis": analysis,
     "findings_whole": findings_all, "analysis_whole": analysis, "analysis_stored": analysis_stored, "roles_assigned": roles_assigned, "roles_stored": roles_stored, "roles_whole": roles_whole, "betweenness_whole": betweenness_whole,
     "graph_filter": graph_filter, "graph_build": graph_build, "ego2": ego2, "shortest_path": shortest_path, "money_paths": money_paths, "money_paths_whole": money_paths_whole, "money_paths_accounts": money_paths_accounts, "shortest_paths_whole": shortest_paths_whole, "components": components, "component_sizes": component_sizes,
-    "components_whole": components_whole, "component_sizes_whole": component_sizes_whole, "pagerank_whole": pagerank_whole,
+    "components_whole": components_whole, "component_sizes_whole": component_sizes_whole, "pagerank_whole": pagerank_whole, "component_graphs": component_graphs, "component_graphs_of_nations": component_graphs_of_nations,
     "search": search, "node_detail": node_detail, "degree": degree, "typed_nbrs": typed_nbrs, "pagerank3": pagerank3, "betweenness_small": betweenness_small, "role_volumes": role_volumes, "roles_local": roles_local,
 }
 ORACLES = {
@@ -419,3 +447,7 @@ ORACLES["analysis"] = f"""WITH f AS ({ORACLES['findings_all']}), p AS (SELECT ca
 SELECT case_id, sum(n)::BIGINT AS total, max(top) AS top_score, string_agg(pattern || '=' || n, ',' ORDER BY pattern) AS by_pattern FROM p GROUP BY case_id"""
 ORACLES["findings_whole"], ORACLES["analysis_whole"] = ORACLES["findings_all"], ORACLES["analysis"]
 ORACLES["analysis_stored"] = f"""WITH r AS ({ORACLES['analysis']}) SELECT case_id, total, top_score, by_pattern FROM r UNION ALL SELECT 'c2', 0, top_score, by_pattern FROM r"""
+ORACLES["component_graphs"] = with_views(f", {NATIONS} SELECT component, count(*) AS n_vertices, count(src) AS n_edges, min(src) AS first_src, max(src) AS last_src FROM cn LEFT JOIN en ON src = id GROUP BY component", *VE)
+ORACLES["component_graphs_of_nations"] = with_views(
+    f""", {NATIONS} SELECT component, id, (SELECT count(*) FROM en WHERE dst = cn.id) AS in_degree, (SELECT count(*) FROM en WHERE src = cn.id) AS out_degree, count(*) OVER (PARTITION BY component) AS size
+FROM cn WHERE component IN (SELECT component FROM cn WHERE id LIKE 'N%')""", *VE)

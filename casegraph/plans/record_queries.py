@@ -64,10 +64,57 @@ def entities_in_batches(spark, d):
     return entities.select("type", "value", "confidence", "mentions", F.array_join("evidence_ids", ",").alias("evidence_ids"), F.array_join("case_ids", ",").alias("case_ids"))
 
 
+def _with_keys(edges, entities):
+    end = lambda e: entities.select(F.col("entity_id").alias(f"{e}_entity"), F.col("key").alias(e))
+    return edges.join(end("source"), "source_entity").join(end("target"), "target_entity").select("source", "relationship", "target", "confidence", "mentions")
+
+
 def merge_edges(spark, d):
     entities, edges, _ = R.pipeline(narratives(spark, d))
-    e = edges.join(entities.select(F.col("entity_id").alias("source_entity"), F.col("key").alias("source")), "source_entity").join(entities.select(F.col("entity_id").alias("target_entity"), F.col("key").alias("target")), "target_entity")
-    return e.select("source", "relationship", "target", "confidence", "mentions")
+    return _with_keys(edges, entities)
+
+
+def edges_in_batches(spark, d):
+    """Entities and relationships of the narratives, merged into two stores in three batches, the last third first: the ends of a
+    batch's relationships are looked up in the store of entities as it then is."""
+    docs, of_entities, of_edges = narratives(spark, d), scratch_path(spark), scratch_path(spark)
+    for k in (2, 0, 1):
+        batch = docs.where(F.col("doc_id") % 3 == k)
+        meta = batch.select("doc_id", "case_id", "evidence_id")
+        good, _ = E.validate_entities(E.mentions(batch))
+        rows = good.join(meta, "doc_id").withColumn("seq", F.struct("doc_id", "rule_no", "pos"))
+        linked, _ = E.validate_relationships(E.relationships(batch, good))
+        U.upsert(spark, of_entities, rows)
+        linked = U.resolve_endpoints(spark, of_entities, linked.join(meta, "doc_id"), U.states(rows))
+        U.upsert(spark, of_edges, linked, U.EDGES)
+    return _with_keys(U.relationships(spark, of_edges, U.edge_states(linked)), U.entities(spark, of_entities, U.states(rows)))
+
+
+def answers(spark, d):
+    """A model's answer for each customer: types and relationships that are not known, values that are blank, confidences that are no number."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    nine = F.lpad(k.cast("string"), 9, "0")
+    sim = F.concat(F.lit("89"), F.lpad(k.cast("string"), 17, "0"))
+    struct = lambda **c: F.struct(*[(x if isinstance(x, F.Column) else F.lit(x).cast("string")).alias(n) for n, x in c.items()])
+    person = struct(type=F.when(k % 5 == 0, "Alien").otherwise("person"), value=name, raw_value=None, confidence=F.when(k % 4 == 0, "high").otherwise((k % 10 / 10).cast("string")))
+    phone = struct(type="PHONE", value=None, raw_value=F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("+91-9"), nine)), confidence="1.7")
+    link = lambda source, rel, kind, target, confidence: struct(source_type="PERSON", source_value=source, relationship=rel, target_type=kind, target_value=target, confidence=confidence)
+    links = F.array(
+        link(name, "owns", "PHONE", F.concat(F.lit("9"), nine), None), link(name, F.when(k % 6 == 0, "LIKES").otherwise("USES"), "SIM", sim, F.when(k % 8 == 0, "0.2").otherwise("0.9")),
+        link(F.when(k % 9 == 0, "").otherwise(name), "OWNS", "GHOST", "x", None),
+    )
+    body = F.to_json(F.struct(F.array(person, phone, struct(type="SIM", value=sim, raw_value=None, confidence=None)).alias("entities"), links.alias("relationships")))
+    text = F.when(k % 2 == 0, F.concat(F.lit("Found: "), body, F.lit(" and no more"))).otherwise(body)
+    return table(spark, d, "customer").select(k.alias("doc_id"), text.alias("response"), F.concat(F.lit("c"), (k % 50).cast("string")).alias("case_id"), F.concat(F.lit("e"), (k % 80).cast("string")).alias("evidence_id"))
+
+
+def answers_edges(spark, d):
+    entities, edges, _ = R.answers_pipeline(answers(spark, d))
+    return _with_keys(edges, entities)
+
+
+def answers_warnings(spark, d):
+    return R.answers_pipeline(answers(spark, d))[2]
 
 
 def merge_counts(spark, d):
@@ -243,7 +290,7 @@ _TL = f"""{_CASES}, {_EV}, tl AS (SELECT case_id, 'evt_tx_' || event_id AS event
   UNION ALL SELECT id, 'evt_case_open_' || id, created_at || 'T00:00:00Z', 'case_event', 'v' || id[2:], 'cases' FROM cs UNION ALL SELECT id, 'evt_case_close_' || id, '2024-03-01T00:00:00Z', 'case_event', '', 'cases' FROM cs WHERE status = 'closed')"""
 
 QUERIES = {
-    "extract_ip": extract_ip, "extract_narrative": extract_narrative, "capped_mentions": capped_mentions, "relations": relations, "merge_entities": merge_entities, "entities_in_batches": entities_in_batches, "merge_edges": merge_edges, "merge_counts": merge_counts,
+    "extract_ip": extract_ip, "extract_narrative": extract_narrative, "capped_mentions": capped_mentions, "relations": relations, "merge_entities": merge_entities, "entities_in_batches": entities_in_batches, "merge_edges": merge_edges, "edges_in_batches": edges_in_batches, "answers_edges": answers_edges, "answers_warnings": answers_warnings, "merge_counts": merge_counts,
     "norm_tx": norm_tx, "norm_calls": norm_calls, "detect_type": detect_type, "manifest": manifest, "load_transfers": load_transfers, "live_or_sample": live_or_sample, "merge_updates": merge_updates, "timeline": timeline,
     "timeline_counts": timeline_counts, "evidence_chain": evidence_chain, "cases_page": cases_page, "cases_dashboard": cases_dashboard, "audit_page": audit_page, "browse": browse, "brief_sections": brief_sections, "briefs_read_back": briefs_read_back,
 }
@@ -279,3 +326,11 @@ ORACLES = {
 }
 ORACLES["briefs_read_back"] = ORACLES["brief_sections"]
 ORACLES["entities_in_batches"] = ORACLES["merge_entities"]
+ORACLES["edges_in_batches"] = ORACLES["merge_edges"]
+_PERSON = "c_custkey % 5 <> 0 AND (c_custkey % 4 = 0 OR c_custkey % 10 >= 3)"
+ORACLES["answers_edges"] = f"""SELECT 'PERSON::' || upper(c_name) AS source, 'OWNS' AS relationship, 'PHONE::9' || lpad(c_custkey::VARCHAR, 9, '0') AS target, 0.5::DOUBLE AS confidence, 1::BIGINT AS mentions FROM customer WHERE {_PERSON} AND c_custkey % 7 <> 0
+  UNION ALL SELECT 'PERSON::' || upper(c_name), 'USES', 'SIM::89' || lpad(c_custkey::VARCHAR, 17, '0'), 0.9, 1 FROM customer WHERE {_PERSON} AND c_custkey % 6 <> 0 AND c_custkey % 8 <> 0"""
+ORACLES["answers_warnings"] = """SELECT doc_id, 'c' || (doc_id % 50) AS case_id, kind, pos::INTEGER AS pos, reason, what FROM (
+  SELECT c_custkey AS doc_id, 'entity' AS kind, 0 AS pos, 'unknown type' AS reason, 'ALIEN' AS what FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'entity', 1, 'empty value', 'PHONE' FROM customer WHERE c_custkey % 7 = 0
+  UNION ALL SELECT c_custkey, 'relationship', 1, 'unknown relationship', 'LIKES' FROM customer WHERE c_custkey % 6 = 0
+  UNION ALL SELECT c_custkey, 'relationship', 2, CASE WHEN c_custkey % 9 = 0 THEN 'empty endpoint' ELSE 'unknown endpoint type' END, 'PERSON::' || CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END || ' -> GHOST::x' FROM customer)"""

@@ -40,6 +40,27 @@ def test_validation_and_responses(spark):
     assert got == ["1", "2", None]
 
 
+def test_answers(spark):
+    body = '{"entities": [{"type": "phone", "value": "+91 9876543210", "confidence": "x"}, {"type": "PERSON", "value": "al bo", "raw_value": " ", "confidence": 7}, {"type": "what", "value": "v"}, {"type": "SIM"}, {"type": "IMEI", "value": "1", "confidence": 0.2}], "relationships": [%s]}'
+    links = [
+        '{"source_type": "person", "source_value": "AL  BO", "relationship": "owns", "target_type": "PHONE", "target_value": "9876543210", "confidence": "0.75"}',
+        '{"source_type": "PERSON", "source_value": "al bo", "relationship": "OWNS", "target_type": "IMEI", "target_value": "1"}',
+        '{"source_type": "PERSON", "source_value": "", "relationship": "OWNS", "target_type": "GHOST", "target_value": "1"}',
+        '{"source_type": "PERSON", "source_value": "al bo", "relationship": "KNOWS", "target_type": "PHONE", "target_value": "9876543210"}',
+        'null',
+    ]
+    rows = [(1, body % ", ".join(links), "c1", "e1"), (2, "```json\n" + body % links[0] + "\n```", "c2", "e1"), (3, "nothing", "c1", "e1"), (4, None, None, None), (5, '{"entities": null}', None, None)]
+    answers = spark.createDataFrame(rows, "doc_id long, response string, case_id string, evidence_id string")
+    entities, edges, warnings = R.answers_pipeline(answers)
+    got = {(r["type"], r["value"]): (r["confidence"], r["mentions"], r["case_ids"]) for r in entities.collect()}
+    assert got == {("PHONE", "9876543210"): (0.5, 2, ["c1", "c2"]), ("PERSON", "Al Bo"): (1.0, 2, ["c1", "c2"])}
+    assert [(r["relationship"], r["confidence"], r["mentions"]) for r in edges.collect()] == [("OWNS", 0.75, 2)]
+    told = sorted((r["doc_id"], r["kind"], r["pos"], r["reason"], r["what"]) for r in warnings.collect())
+    both = [("entity", 2, "unknown type", "WHAT"), ("entity", 3, "empty value", "SIM")]
+    assert told == [(1, *x) for x in both] + [(1, "relationship", 2, "empty endpoint", "PERSON:: -> GHOST::1"), (1, "relationship", 3, "unknown relationship", "KNOWS")] + [(2, *x) for x in both]
+    assert R.answers_pipeline(answers, most=2)[2].count() == 0
+
+
 def test_normalise(spark):
     raw = spark.createDataFrame([(" ", "B1", "C1", "₹1,200.50", "2024-01-15"), ("A1", "B2", "C2", "x", "5/1/2024"), ("A2", None, None, None, "soon")], "src_account string, sender_account string, to string, amount string, date string")
     got = I.normalise(raw).collect()
