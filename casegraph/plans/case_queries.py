@@ -134,6 +134,15 @@ def ingest_mixed(spark, d):
     return out.select("kind", at("iccid", "imei", "complaint_number", "city", "vpa").alias("one"), at("phone_number", "brand", "loss_amount", "lat", "txn_count").alias("two"), at("last_swap_date", "last_seen", "reported_date", "pincode", "is_active").alias("three"), "error")
 
 
+def ingest_multiline(spark, d):
+    """Documents as complaints in a folder of CSV files, their texts as narratives that span lines."""
+    path = scratch_path(spark)
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("FIR"), F.col("text").alias("details"))
+    docs.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/a")
+    rows = MX.of_kind(MX.normalise_mixed(MX.read_mixed(spark, path, multiline=True)), "complaints")
+    return rows.select("complaint_number", F.md5("narrative").alias("narrative_md5"))
+
+
 def norm_unknown(spark, d):
     return I.normalise(table(spark, d, "customer").select("c_custkey", "c_name")).select("payload")
 
@@ -444,7 +453,7 @@ def briefs_stored(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    norm_sims, norm_devices, norm_accounts, norm_upi, upi_errors, norm_complaints, norm_phones, norm_locations, ingest_mixed, norm_unknown, norm_dates, detector_dates, io_csv, io_json, io_json_wrapped, io_delimited, io_lines, io_append, io_store, io_replace, io_find, io_of_case,
+    norm_sims, norm_devices, norm_accounts, norm_upi, upi_errors, norm_complaints, norm_phones, norm_locations, ingest_mixed, ingest_multiline, norm_unknown, norm_dates, detector_dates, io_csv, io_json, io_json_wrapped, io_delimited, io_lines, io_append, io_store, io_replace, io_find, io_of_case,
     io_validate, provenance, first_rows, stream_ingest, organisations, optional_mentions, extract_documents, requests, responses, relate, entities_of_case, entities_by_id, graph_vertices, graph_edges, graph_in_case, graph_export, node_evidence, timeline_whole,
     evidence_of_case, evidence_search, evidence_fields, cases_created, cases_rejected, case_by_id, cases_updated, audit_kept, briefs_stored,
 )}
@@ -538,3 +547,4 @@ ORACLES["ingest_mixed"] = f"""SELECT 'sims' AS kind, iccid AS one, phone_number
   UNION ALL SELECT 'devices', imei, brand, last_seen, NULL FROM ({ORACLES['norm_devices']}) UNION ALL SELECT 'complaints', complaint_number, loss_amount::VARCHAR, reported_date, NULL FROM ({ORACLES['norm_complaints']})
   UNION ALL SELECT 'locations', city, lat::VARCHAR, pincode, NULL FROM ({ORACLES['norm_locations']})
   UNION ALL SELECT 'upi_ids', vpa, txn_count::VARCHAR, is_active::VARCHAR, CASE WHEN t IS NOT NULL AND try_cast(t AS INTEGER) IS NULL THEN 'txn_count is no whole number: ' || t END FROM ({_UPI_ROWS})"""
+ORACLES["ingest_multiline"] = "SELECT doc_id::VARCHAR AS complaint_number, md5(nullif(trim(text), '')) AS narrative_md5 FROM documents"

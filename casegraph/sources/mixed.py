@@ -16,8 +16,19 @@ from casegraph.sources.io import SEPARATORS, WRAPPERS
 MAPS = "array<map<string,string>>"
 
 
-def _split_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of CSV files (commas, quoted values on one line) and of TXT files (the first separator that splits the header)."""
+QUOTES = {"quote": '"', "escape": '"'}
+
+
+def _records(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """path, source_file, line_no (of the record, the header being 0) and cells of CSV files whose quoted values may span lines."""
+    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).options(recursiveFileLookup=True, pathGlobFilter="*.csv", multiLine=True, **QUOTES).csv(folder)
+    raw = raw.select(F.array(*names).alias("cells"), F.col("_metadata.file_path").alias("path"), "_metadata")
+    blank = (F.trim(F.get("cells", F.lit(0))) == "") & (F.size(F.array_compact("cells")) == 1)  # the reader leaves empty lines out
+    return I.numbered(raw.where(~F.coalesce(blank, F.lit(False))), "line_no")
+
+
+def _split_lines(spark: SparkSession, folder: str, multiline: bool) -> DataFrame:
+    """Rows of CSV files (commas, quoted values) and of TXT files (the first separator that splits the header)."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,txt}").text(folder).where(F.trim("value") != "")
     lines = I.numbered(lines.select("value", F.col("_metadata.file_path").alias("path"), "_metadata"), "line_no")
     heads = lines.groupBy("path").agg(F.min(F.struct("line_no", "value")).alias("h"), F.count("*").alias("n")).select("path", "n", "h.*").withColumnsRenamed({"line_no": "head_no", "value": "head"})
@@ -27,11 +38,15 @@ def _split_lines(spark: SparkSession, folder: str) -> DataFrame:
     heads = heads.withColumn("sep", F.when(csv, F.lit(",")).otherwise(sep)).where("sep IS NOT NULL")
     wide = heads.agg(F.max(F.size(F.split("head", ","))).alias("n")).first()["n"] or 1  # one number
     names = [f"c{k}" for k in range(wide)]
-    parsed = lambda c: F.array(*[F.from_csv(c, ", ".join(f"{n} string" for n in names), {"quote": '"', "escape": '"'})[n] for n in names])
+    parsed = lambda c: F.array(*[F.from_csv(c, ", ".join(f"{n} string" for n in names), QUOTES)[n] for n in names])
     plain = lambda c: F.split(c, F.concat(F.lit(r"\Q"), F.col("sep"), F.lit(r"\E")), -1)
     cells = lambda c: F.when(F.endswith(F.lower("path"), F.lit(".csv")), parsed(c)).otherwise(plain(c))
     heads = heads.withColumn("names", F.filter(F.transform(cells("head"), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False))))
-    rows = lines.join(heads.select("path", "head_no", "sep", "names"), "path").where("line_no > head_no").withColumn("cells", cells("value"))
+    if multiline:
+        records = _records(spark, folder, names).join(heads.select("path", F.lit(0).alias("head_no"), "names"), "path")
+        lines, heads = lines.where(~csv), heads.where(~csv)
+    rows = lines.join(heads.select("path", "head_no", "sep", "names"), "path").withColumn("cells", cells("value")).select("source_file", "line_no", "head_no", "names", "cells")
+    rows = (rows.unionByName(records.select(*rows.columns)) if multiline else rows).where("line_no > head_no")
     entries = F.transform("names", lambda n, k: F.struct(n.alias("key"), F.trim(F.get("cells", k)).alias("value")))
     return rows.select("source_file", (F.col("line_no") - F.col("head_no") - 1).alias("row"), _by_name(entries).alias("fields"))
 
@@ -52,9 +67,13 @@ def _by_name(entries: Column) -> Column:
     return F.map_from_entries(F.filter(low, lambda e, k: ~F.exists(F.slice(low, F.lit(1), k), lambda s: s["key"] == e["key"])))
 
 
-def read_mixed(spark: SparkSession, folder: str) -> DataFrame:
-    """source_file, row (from 0 in its file) and fields (a map by lower-cased header) of all CSV, TXT and JSON files below folder."""
-    return _split_lines(spark, folder).unionByName(_json_files(spark, folder))
+def read_mixed(spark: SparkSession, folder: str, multiline: bool = False) -> DataFrame:
+    """source_file, row (from 0 in its file) and fields (a map by lower-cased header) of all CSV, TXT and JSON files below folder.
+
+    multiline: quoted values of CSV files may span lines (headers may not). A CSV file is then read by one task, and its lines once
+    more for the headers; without it, files are split like any text.
+    """
+    return _split_lines(spark, folder, multiline).unionByName(_json_files(spark, folder))
 
 
 def normalise_mixed(rows: DataFrame, lenient: bool = False) -> DataFrame:

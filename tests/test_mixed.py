@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from casegraph.sources import ingest as I
 from casegraph.sources import mixed as MX
 
@@ -41,3 +43,24 @@ def test_a_folder_of_all_types(spark, tmp_path):
     assert sorted(map(str, MX.of_kind(mixed, "locations").select(*single.columns).collect())) == sorted(map(str, single.collect()))
     hinted = MX.normalise_mixed(MX.read_mixed(spark, str(tmp_path)).selectExpr("*", "if(source_file = 'phones.csv', 'sims', NULL) AS hint"))
     assert hinted.where("kind = 'sims'").count() == 3
+
+
+def test_quoted_values_over_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\n  \ntxn_amount,from_account,to_account,remarks\n1,A1,B1,"one\n\n  \n""two"", three"\n,,,\n\n2,A2,B2,5" pipe\n')
+    (tmp_path / "b.csv").write_text('"narrative","FIR"\n"lost, all\nof it",F/1\n')
+    (tmp_path / "c.txt").write_text('iccid|swaps\n"8901|2\n')
+    (tmp_path / "empty.csv").write_text("vpa,total_txns\n")
+    (tmp_path / "nothing.csv").write_text("")
+    (tmp_path / "d.json").write_text('{"fir": "F/4"}')
+    mixed = MX.normalise_mixed(MX.read_mixed(spark, str(tmp_path), multiline=True))
+    tx = sorted((r["row"], r["src_account"], r["amount"], r["narration"]) for r in MX.of_kind(mixed, "transactions").collect())
+    assert tx == [(0, "A1", 1.0, 'one\n\n  \n"two", three'), (1, None, None, None), (2, "A2", 2.0, '5" pipe')]
+    assert sorted((r["row"], r["complaint_number"], r["narrative"]) for r in MX.of_kind(mixed, "complaints").collect()) == [(0, "F/1", "lost, all\nof it"), (0, "F/4", None)]
+    assert [r["iccid"] for r in MX.of_kind(mixed, "sims").collect()] == ['"8901']
+
+
+def test_whole_lines_are_the_same_either_way(spark, tmp_path):
+    for name, text in FILES.items():
+        (tmp_path / name).write_text(text)
+    read = lambda **how: sorted(map(str, MX.read_mixed(spark, str(tmp_path), **how).withColumn("fields", F.array_sort(F.map_entries("fields"))).collect()))
+    assert read() == read(multiline=True)
