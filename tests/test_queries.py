@@ -18,7 +18,7 @@ D = "/root/testdata/sf0.001"
 NAMES = (
     "norm_sims norm_devices norm_accounts norm_upi upi_errors norm_complaints norm_phones norm_locations norm_unknown norm_dates detector_dates io_csv io_json_wrapped io_delimited io_append io_replace io_of_case io_validate provenance first_rows stream_ingest "
     "organisations optional_mentions responses entities_of_case graph_vertices graph_edges node_evidence evidence_of_case cases_created cases_updated case_by_id audit_kept briefs_stored live_or_sample triangles profile_numeric auc_ap component_sizes linear_score class_report stream_redone dense_clusters money_paths_whole "
-    "component_graphs component_graphs_of_nations answers_edges answers_warnings edges_in_batches ingest_multiline"
+    "component_graphs component_graphs_of_nations answers_edges answers_warnings ingest_multiline"
 ).split()
 
 
