@@ -34,7 +34,7 @@ def states(rows: DataFrame) -> DataFrame:
     first = F.min(F.struct("seq", "type", "value", "raw_value", "evidence_source")).alias("first")
     ids = lambda c: F.array_sort(F.collect_set(c)).alias(f"{c}s")
     out = rows.groupBy(key.alias("key")).agg(first, F.max("confidence").alias("confidence"), ids("evidence_id"), ids("case_id"), F.count("*").alias("mentions"))
-    return out.join(texts, "key", "left")
+    return out.join(texts.hint("merge"), "key", "left")
 
 
 def edge_states(rows: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def resolve_endpoints(spark: SparkSession, path: str, rows: DataFrame, like: Dat
     An id is a function of the key, so of the store only the keys are read, in their buckets; the rows are dealt to them, once for
     each end.
     """
-    keys = spark.table(opened(spark, path, like)).select(F.col("key").alias("known"))
+    keys = spark.table(opened(spark, path, like)).select(F.col("key").alias("known")).hint("merge")
     for e in ("source", "target"):
         key = entity_key(F.col(f"{e}_type"), F.col(f"{e}_value"))
         rows = rows.withColumns({"_key": key, f"{e}_entity": entity_id(F.col(f"{e}_type"), F.col(f"{e}_value"))})

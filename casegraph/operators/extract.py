@@ -69,14 +69,14 @@ def normal_value(kind: Column, raw: Column) -> Column:
     )
 
 
-def mentions(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """EX-1 to EX-12: one row per match: doc_id, rule_no, pos, type, raw_value, value, confidence, evidence_source, role_hint."""
+def mentions(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """EX-1 to EX-12: one row per match: doc_id, rule_no, pos, type, raw_value, value, confidence, evidence_source, role_hint, the columns of docs to keep."""
     per_rule = F.array(*[
         F.struct(F.lit(k).alias("rule_no"), F.lit(r.type).alias("rule"), F.lit(r.confidence).alias("confidence"), F.lit(r.source).alias("evidence_source"), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group)).alias("found"))
         for k, r in enumerate(rules)
     ])
-    rows = docs.select("doc_id", F.substring("text", 1, SNIPPET).alias("source_text"), F.inline(per_rule)).where(F.size("found") > 0)
-    rows = rows.select("doc_id", "source_text", "rule_no", "rule", "confidence", "evidence_source", F.posexplode("found").alias("pos", "hit"))
+    rows = docs.select("doc_id", *keep, F.substring("text", 1, SNIPPET).alias("source_text"), F.inline(per_rule)).where(F.size("found") > 0)
+    rows = rows.select("doc_id", *keep, "source_text", "rule_no", "rule", "confidence", "evidence_source", F.posexplode("found").alias("pos", "hit"))
     cue = F.when(F.col("rule") == "PERSON", F.lower(F.regexp_replace(F.regexp_extract("hit", CUE, 1), r"\.+$", "")))
     raw = F.when(F.col("rule") == "PERSON", F.regexp_replace("hit", CUE, "")).when(F.col("rule") == "PHONE", F.regexp_replace("hit", r"[\s\-]", ""))
     raw = raw.when(F.col("rule") == "LOCATION", F.regexp_replace(F.trim("hit"), "[,;.]+$", "")).otherwise(F.trim("hit"))
@@ -84,7 +84,7 @@ def mentions(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = rows.withColumns({"role_hint": cue, "raw_value": raw}).withColumn("type", kind)
     rows = rows.where(~((F.col("type") == "IP_ADDRESS") & F.rlike("raw_value", F.lit(PRIVATE_IP)))).where((F.col("type") != "LOCATION") | (F.length("raw_value") > 3))
     rows = rows.withColumn("value", normal_value(F.col("type"), F.col("raw_value")))
-    return rows.select("doc_id", "rule_no", "pos", "type", "raw_value", "value", "confidence", "evidence_source", "role_hint", "source_text")
+    return rows.select("doc_id", "rule_no", "pos", "type", "raw_value", "value", "confidence", "evidence_source", "role_hint", "source_text", *keep)
 
 
 def validate_entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,13 +123,14 @@ def requests(docs: DataFrame) -> DataFrame:
     return docs.where(blank_null(F.col("text")).isNotNull())
 
 
-def relationships(docs: DataFrame, found: DataFrame) -> DataFrame:
+def relationships(docs: DataFrame, found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """RL-1 to RL-9: pairs of a document's entities near one another (distance of the first places of their raw values).
 
-    Entities fold to one array a document, and pairs are made inside its row: no join, and nothing leaves the document.
+    Entities fold to one array a document, and pairs are made inside its row: nothing leaves the document. keep: columns of docs to add.
+    Texts made from small rows look small to the optimiser, so that the join has to be told not to broadcast them.
     """
     ents = found.groupBy("doc_id").agg(F.collect_set(F.struct("type", "value", "raw_value")).alias("ents"))
-    rows = docs.select("doc_id", "text").join(ents, "doc_id")
+    rows = docs.select("doc_id", "text", *keep).join(ents.hint("merge"), "doc_id")
     placed = F.transform("ents", lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value"), F.instr(F.col("text"), e["raw_value"]).alias("at")))
     rows = rows.withColumn("ents", F.filter(placed, lambda e: e["at"] > 0))
 
@@ -147,7 +148,7 @@ def relationships(docs: DataFrame, found: DataFrame) -> DataFrame:
     phones = F.transform(of(("PHONE",)), lambda e: e["value"])
     calls = F.zip_with(callers, called, lambda a, b: F.struct(F.lit("PHONE").alias("source_type"), a.alias("source_value"), F.lit("CALLED").alias("relationship"), F.lit("PHONE").alias("target_type"), b.alias("target_value"), F.lit(0.91).alias("confidence"), F.lit("observed").alias("evidence_source")))
     calls = F.filter(calls, lambda c: F.array_contains(phones, c["source_value"]) & F.array_contains(phones, c["target_value"]))
-    return rows.select("doc_id", F.inline(F.concat(*[pairs(*x) for x in LINKS], calls))).where("source_type <> target_type OR source_value <> target_value")
+    return rows.select("doc_id", *keep, F.inline(F.concat(*[pairs(*x) for x in LINKS], calls))).where("source_type <> target_type OR source_value <> target_value")
 
 
 def parse_responses(rows: DataFrame, column: str = "response") -> DataFrame:

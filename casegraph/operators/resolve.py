@@ -1,4 +1,7 @@
-"""Entity and relationship resolution: one row per key, merged from a store and new mentions."""
+"""Entity and relationship resolution: one row per key, merged from a store and new mentions.
+
+Joins by key are told to merge: rows made from small ones look small to the optimiser, which would send them through the driver.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegraph.functions.expr import blank_null, key12
+from casegraph.functions.scratch import materialise
 from casegraph.operators.extract import entity_id, entity_key, mentions, normal_value, parse_responses, relationships, validate_entities, validate_relationships
 
 
+META = ("case_id", "evidence_id")  # of a document
+
+
 def merge_entities(rows: DataFrame) -> DataFrame:
     """ER-1: rows (seq, type, value, raw_value, confidence, evidence_source, evidence_id, case_id, source_text) by TYPE and upper value.
 
@@ -25,7 +32,7 @@ def merge_entities(rows: DataFrame) -> DataFrame:
         first("type").alias("type"), first("value").alias("value"), first("raw_value").alias("raw_value"), F.max("confidence").alias("confidence"), first("evidence_source").alias("evidence_source"),
         ids("evidence_id").alias("evidence_ids"), ids("case_id").alias("case_ids"), F.count("*").alias("mentions"),
     )
-    out = out.join(texts, "key", "left").withColumn("source_texts", F.coalesce("source_texts", F.array().cast("array<string>")))
+    out = out.join(texts.hint("merge"), "key", "left").withColumn("source_texts", F.coalesce("source_texts", F.array().cast("array<string>")))
     return out.withColumn("entity_id", entity_id(F.col("type"), F.col("value")))
 
 
@@ -33,13 +40,13 @@ def merge_counts(store: DataFrame, rows: DataFrame) -> DataFrame:
     """ER-2: how many rows are new (first of a key that the store lacks) and how many merge."""
     keyed = rows.select(entity_key(F.col("type"), F.col("value")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     known = store.select("key").distinct().withColumn("known", F.lit(1))
-    out = keyed.join(known, "key", "left").agg(F.count(F.when(F.col("known").isNull(), 1)).alias("new"), F.sum("n").alias("rows"))
+    out = keyed.join(known.hint("merge"), "key", "left").agg(F.count(F.when(F.col("known").isNull(), 1)).alias("new"), F.sum("n").alias("rows"))
     return out.select("new", (F.coalesce("rows", F.lit(0)) - F.col("new")).alias("merged"))
 
 
 def resolve_endpoints(rows: DataFrame, entities: DataFrame) -> DataFrame:
     """ER-3: relationships with both ends among the entities, with their ids."""
-    ids = entities.select("key", "entity_id")
+    ids = entities.select("key", "entity_id").hint("merge")
     key = lambda e: entity_key(F.col(f"{e}_type"), F.col(f"{e}_value"))
     out = rows.withColumns({"s_key": key("source"), "t_key": key("target")})
     out = out.join(ids.withColumnsRenamed({"key": "s_key", "entity_id": "source_entity"}), "s_key")
@@ -57,12 +64,11 @@ def merge_relationships(rows: DataFrame) -> DataFrame:
 
 def pipeline(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """ER-5: (entities, relationships, warnings) of documents (doc_id, text, case_id, evidence_id)."""
-    meta = docs.select("doc_id", "case_id", "evidence_id")
-    good, bad = validate_entities(mentions(docs))
-    seq = F.struct("doc_id", "rule_no", "pos")
-    entities = merge_entities(good.join(meta, "doc_id").withColumn("seq", seq))
-    linked, bad_links = validate_relationships(relationships(docs, good))
-    edges = merge_relationships(resolve_endpoints(linked.join(meta, "doc_id"), entities))
+    good, bad = validate_entities(mentions(docs, keep=META))
+    good = materialise(good)  # read for the texts, the entities, the relationships and each end of them
+    entities = merge_entities(good.withColumn("seq", F.struct("doc_id", "rule_no", "pos")))
+    linked, bad_links = validate_relationships(relationships(docs, good, META))
+    edges = merge_relationships(resolve_endpoints(linked, entities))
     warnings = bad.select("doc_id", "reason", F.col("value").alias("what")).unionByName(bad_links.select("doc_id", "reason", F.col("source_value").alias("what")))
     return entities, edges, warnings
 
@@ -89,7 +95,7 @@ def answers_pipeline(answers: DataFrame, most: int = 100, least: float = 0.3) ->
     known = good.select("doc_id", entity_key(F.col("type"), F.col("value")).alias("key")).distinct()
     for e in ("source", "target"):
         links = links.withColumns({"key": entity_key(F.col(f"{e}_type"), F.col(f"{e}_value")), f"{e}_entity": entity_id(F.col(f"{e}_type"), F.col(f"{e}_value"))})
-        links = links.join(known, ["doc_id", "key"], "left_semi").drop("key")
+        links = links.join(known.hint("merge"), ["doc_id", "key"], "left_semi").drop("key")
     told = lambda df, kind, what: df.select("doc_id", "case_id", F.lit(kind).alias("kind"), "pos", "reason", what.alias("what"))
     of_link = F.when(F.col("reason") == "unknown relationship", F.col("relationship")).otherwise(F.concat_ws(" -> ", F.concat_ws("::", "source_type", "source_value"), F.concat_ws("::", "target_type", "target_value")))
     warnings = told(bad, "entity", F.col("type")).unionByName(told(bad_links, "relationship", of_link))
@@ -109,4 +115,4 @@ def for_case(rows: DataFrame, case_id: str) -> DataFrame:
 
 def by_id(entities: DataFrame, ids: DataFrame) -> DataFrame:
     """ER-7: the entities named in ids (entity_id)."""
-    return entities.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+    return entities.join(ids.select("entity_id").distinct().hint("merge"), "entity_id", "left_semi")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegraph.functions.expr import detector_time
-from casegraph.functions.scratch import scratch_path
+from casegraph.functions.scratch import materialise, scratch_path
 from casegraph.operators import cases as C
 from casegraph.operators import extract as E
 from casegraph.operators import graph as G
@@ -323,8 +323,8 @@ def responses(spark, d):
 def relate(spark, d):
     """Relationships among the accounts and handles supplied, looked up in the store of all entities."""
     docs = narratives(spark, d)
-    found = E.mentions(docs)
-    store = R.merge_entities(E.validate_entities(found)[0].join(docs.select("doc_id", "case_id", "evidence_id"), "doc_id").withColumn("seq", F.struct("doc_id", "rule_no", "pos")))
+    found = materialise(E.mentions(docs, keep=R.META))
+    store = R.merge_entities(E.validate_entities(found)[0].withColumn("seq", F.struct("doc_id", "rule_no", "pos")))
     return R.relate(docs, found.where("type IN ('UPI_ID', 'BANK_ACCOUNT')"), store).select("doc_id", "relationship", "source_value", "target_value")
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casegraph.functions.scratch import scratch_path
+from casegraph.functions.scratch import materialise, scratch_path
 from casegraph.operators import cases as C
 from casegraph.operators import entitystore as U
 from casegraph.operators import extract as E
 from casegraph.operators import resolve as R
 from casegraph.operators import timeline as T
-from casegraph.plans.driver_views import table
+from casegraph.plans.driver_views import spread, table
 from casegraph.sources import ingest as I
 from casegraph.sources import io as O
 
@@ -26,7 +26,7 @@ def narratives(spark, d):
         F.lit("The victim Ramesh Kumar said +91-9"), pad(9), F.lit(" called 8"), pad(9), F.lit(" from Pune City. Paid to user"), s, F.lit("@OKAXIS and HDFC0"), pad(6), F.lit(" by TXN"), pad(10),
         F.lit(". Device "), pad(15), F.lit(" sim 89"), pad(17), F.when(even, " ip 203.0.113.").otherwise(" ip 10.0.0."), (k % 250).cast("string"), F.lit(" in FIR/"), pad(4), F.lit("/2024."),
     )
-    return table(spark, d, "customer").select(k.alias("doc_id"), text.alias("text"), F.concat(F.lit("c"), (k % 50).cast("string")).alias("case_id"), F.concat(F.lit("e"), (k % 80).cast("string")).alias("evidence_id"))
+    return spread(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(k.alias("doc_id"), text.alias("text"), F.concat(F.lit("c"), (k % 50).cast("string")).alias("case_id"), F.concat(F.lit("e"), (k % 80).cast("string")).alias("evidence_id"))
 
 
 def extract_ip(spark, d):
@@ -56,8 +56,8 @@ def merge_entities(spark, d):
 def entities_in_batches(spark, d):
     """The entities of the narratives, merged into a store in three batches, the last third first."""
     docs, path = narratives(spark, d), scratch_path(spark)
-    good, _ = E.validate_entities(E.mentions(docs))
-    rows = good.join(docs.select("doc_id", "case_id", "evidence_id"), "doc_id").withColumn("seq", F.struct("doc_id", "rule_no", "pos"))
+    good, _ = E.validate_entities(E.mentions(docs, keep=R.META))
+    rows = materialise(good.withColumn("seq", F.struct("doc_id", "rule_no", "pos")))
     for k in (2, 0, 1):
         U.upsert(spark, path, rows.where(F.col("doc_id") % 3 == k))
     entities = U.entities(spark, path, U.states(rows))
@@ -66,7 +66,7 @@ def entities_in_batches(spark, d):
 
 def _with_keys(edges, entities):
     end = lambda e: entities.select(F.col("entity_id").alias(f"{e}_entity"), F.col("key").alias(e))
-    return edges.join(end("source"), "source_entity").join(end("target"), "target_entity").select("source", "relationship", "target", "confidence", "mentions")
+    return edges.join(end("source").hint("merge"), "source_entity").join(end("target").hint("merge"), "target_entity").select("source", "relationship", "target", "confidence", "mentions")
 
 
 def merge_edges(spark, d):
@@ -80,12 +80,11 @@ def edges_in_batches(spark, d):
     docs, of_entities, of_edges = narratives(spark, d), scratch_path(spark), scratch_path(spark)
     for k in (2, 0, 1):
         batch = docs.where(F.col("doc_id") % 3 == k)
-        meta = batch.select("doc_id", "case_id", "evidence_id")
-        good, _ = E.validate_entities(E.mentions(batch))
-        rows = good.join(meta, "doc_id").withColumn("seq", F.struct("doc_id", "rule_no", "pos"))
-        linked, _ = E.validate_relationships(E.relationships(batch, good))
+        good, _ = E.validate_entities(E.mentions(batch, keep=R.META))
+        rows = materialise(good.withColumn("seq", F.struct("doc_id", "rule_no", "pos")))
+        linked, _ = E.validate_relationships(E.relationships(batch, rows, R.META))
         U.upsert(spark, of_entities, rows)
-        linked = U.resolve_endpoints(spark, of_entities, linked.join(meta, "doc_id"), U.states(rows))
+        linked = U.resolve_endpoints(spark, of_entities, linked, U.states(rows))
         U.upsert(spark, of_edges, linked, U.EDGES)
     return _with_keys(U.relationships(spark, of_edges, U.edge_states(linked)), U.entities(spark, of_entities, U.states(rows)))
 
@@ -119,8 +118,8 @@ def answers_warnings(spark, d):
 
 def merge_counts(spark, d):
     docs = narratives(spark, d)
-    good, _ = E.validate_entities(E.mentions(docs))
-    store = R.merge_entities(E.validate_entities(E.mentions(docs.where("doc_id % 3 = 0")))[0].join(docs.select("doc_id", "case_id", "evidence_id"), "doc_id").withColumn("seq", F.struct("doc_id", "rule_no", "pos")))
+    good = materialise(E.validate_entities(E.mentions(docs, keep=R.META))[0])
+    store = R.merge_entities(good.where("doc_id % 3 = 0").withColumn("seq", F.struct("doc_id", "rule_no", "pos")))
     return R.merge_counts(store, good)
 
 

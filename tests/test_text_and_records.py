@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from casegraph.operators import cases as C
 from casegraph.operators import extract as E
+from casegraph.operators import entitystore as U
 from casegraph.operators import features as X
 from casegraph.operators import model as M
 from casegraph.operators import resolve as R
 from casegraph.operators import timeline as T
+from casegraph.plans.record_queries import narratives
 from casegraph.sources import ingest as I
 from casegraph.sources import io as O
 from casegraph.streaming import jobs
@@ -153,3 +155,17 @@ def test_profile(spark):
     r = X.profile_numeric(df, ["x"]).first()
     assert (r["rows"], r["missing"], r["distinct"], r["median"], r["zeros"]) == (4, 1, 3, 1.0, 1)
     assert pytest.approx(r["mean"]) == 1.0 and X.duplicate_rows(df.union(df)).first()[0] == 4
+
+
+def test_rows_made_from_small_ones_are_not_broadcast(spark):
+    """Texts and entities made from a narrow column look small to the optimiser, whatever they take."""
+    docs = narratives(spark, "/root/testdata/sf0.001")
+    entities, edges, _ = R.pipeline(docs)
+    known = entities.where("type = 'CASE'").select("entity_id")
+    links = R.relate(docs, E.mentions(docs), entities)
+    for df in (entities, edges, links, R.by_id(entities, known), R.merge_counts(entities, E.mentions(docs)), U.states(E.mentions(docs, keep=R.META).withColumn("seq", F.col("doc_id")))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_narratives_are_made_in_many_tasks(spark):
+    assert narratives(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 2  # 15,000 rows in one file
