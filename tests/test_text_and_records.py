@@ -12,6 +12,7 @@ from casegraph.operators import features as X
 from casegraph.operators import model as M
 from casegraph.operators import resolve as R
 from casegraph.operators import timeline as T
+from casegraph.plans.driver_views import spread, table
 from casegraph.plans.record_queries import narratives
 from casegraph.sources import ingest as I
 from casegraph.sources import io as O
@@ -169,3 +170,7 @@ def test_rows_made_from_small_ones_are_not_broadcast(spark):
 
 def test_narratives_are_made_in_many_tasks(spark):
     assert narratives(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 2  # 15,000 rows in one file
+
+
+def test_files_of_one_row_are_written_by_many_tasks(spark):
+    assert spread(table(spark, "/root/testdata/sf0.1", "supplier"), "s_suppkey", 512).rdd.getNumPartitions() == 2  # 1,000 rows in one file
