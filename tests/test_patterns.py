@@ -45,6 +45,26 @@ def test_chain_legs_without_time_always_fit(spark):
     assert [(r["i1"], r["i3"], r["volume"]) for r in P.chains(t, 1).collect()] == [(1, 3, 4.0)]
 
 
+def test_chains_of_repeated_legs_are_found_once_and_not_shuffled(spark):
+    """Against all triples of legs; pairs of accounts with many transfers that share several time buckets, some untimed."""
+    rng, hour = random.Random(11), 3_600_000_000
+    legs = [(k, "c1" if k % 3 else "c2", f"v{rng.randrange(5)}", f"v{rng.randrange(5)}", float(rng.randrange(99)), None if k % 9 == 0 else rng.randrange(40 * hour)) for k in range(180)]
+    t = spark.createDataFrame(legs, "id long, case_id string, src string, dst string, amount double, us long")
+    for hours in (1, 3):
+        fits = lambda x, y: x is None or y is None or abs(y - x) <= hours * hour  # noqa: B023, E731
+        want = {}
+        for i1, case, a, b, m1, u1 in legs:
+            for i2, _, _, c, m2, u2 in (y for y in legs if a != b and y[1:3] == (case, b) and y[3] not in (a, b) and fits(u1, y[5])):
+                anchor = u2 if u1 is None else u1
+                for i3, _, _, d, m3, u3 in (z for z in legs if z[1:3] == (case, c) and z[3] not in (a, b, c) and fits(anchor, z[5])):
+                    key, got = (case, a, b, c, d), (i1, i2, i3, anchor, u3, m1 + m2 + m3)
+                    want[key] = min(want.get(key, got), got, key=lambda x: x[:3])
+        out = P.chains(t, hours)
+        rows = out.collect()
+        assert {tuple(r)[:5]: tuple(r)[5:] for r in rows} == want and len(rows) == len(want) > 50
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
 def test_shared(spark):
     v, e, t, c = frames(spark)
     assert [(r["id"], r["n"], r["score"], r["confidence"]) for r in P.shared_device(v, e).collect()] == [("dev_001", 3, 0.31, 0.55)]
