@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import random
 from collections import deque
 
 import duckdb
@@ -93,6 +94,26 @@ def test_betweenness_from_every_source(spark):
     assert {r["id"]: r["betweenness"] for r in T.betweenness(v, e).collect()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("seed, n, m", [(1, 14, 9), (2, 30, 32), (3, 24, 23)])
+def test_betweenness_of_graphs_with_hanging_trees(spark, seed, n, m):
+    rng = random.Random(seed)
+    nodes = [f"v{k:02}" for k in range(n)]
+    arcs = sorted({tuple(sorted(rng.sample(nodes, 2))) for _ in range(m)})
+    want = {k: x / ((n - 1) * (n - 2)) for k, x in brandes(nodes, arcs, nodes).items()}
+    e = spark.createDataFrame(arcs, "src string, dst string")
+    got = {r["id"]: r["betweenness"] for r in T.betweenness(spark.createDataFrame([(x,) for x in nodes], "id string"), e).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_betweenness_of_a_star_takes_work_by_its_edges(spark, monkeypatch):
+    written, write = [], T.write
+    monkeypatch.setattr(T, "write", lambda df: written.append(write(df)) or written[-1])
+    n = 3000
+    e = spark.range(1, n).select(F.col("id").cast("string").alias("src"), F.lit("0").alias("dst"))
+    got = {r["id"]: r["betweenness"] for r in T.betweenness.__wrapped__(spark.range(n).select(F.col("id").cast("string").alias("id")), e).where("betweenness > 0").collect()}
+    assert got == pytest.approx({"0": 1.0}) and max(t.count() for t in written) <= 2 * n
+
+
 def test_triangles_inside_larger_cliques(spark):
     e = spark.createDataFrame([(a, b) for a in "abcd" for b in "abcd" if a < b] + [("d", "e"), ("a", "b")], "src string, dst string")
     assert sorted("".join(r["members"]) for r in T.triangles(e).collect()) == ["abc", "abd", "acd", "bcd"]
