@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from casegraph.operators import traverse as T
+from casegraph.plans import driver_views
 from casegraph.plans.driver_views import edges, vertices
 
 D = "/root/testdata/sf0.001"
@@ -118,3 +119,15 @@ def test_triangles_inside_larger_cliques(spark):
     e = spark.createDataFrame([(a, b) for a in "abcd" for b in "abcd" if a < b] + [("d", "e"), ("a", "b")], "src string, dst string")
     assert sorted("".join(r["members"]) for r in T.triangles(e).collect()) == ["abc", "abd", "acd", "bcd"]
     assert [r["members"] for r in T.maximal_cliques(e).collect()] == [list("abcd")]
+
+
+def test_edges_are_dealt_by_the_lines_they_come_from(spark, monkeypatch):
+    """A task's share of lines does not grow with the table, and the pairs are those of any other dealing."""
+    small = "/root/testdata/sf0.001"
+    whole = {tuple(r) for r in edges(spark, small).collect()}
+    monkeypatch.setattr(driver_views, "LINES", 500)
+    dealt = edges(spark, small)
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert f", {-(-lines // 500)}), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    rows = [tuple(r) for r in dealt.collect()]
+    assert set(rows) == whole and len(rows) == len(whole)
