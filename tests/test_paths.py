@@ -121,3 +121,13 @@ def test_betweenness_of_small_graphs(spark):
     star = spark.createDataFrame([("h", x) for x in "abcdef"], "src string, dst string")
     got = {r["id"]: r["betweenness"] for r in T.betweenness_within(ids("h", *"abcdef"), star, 0.1).collect()}
     assert got["h"] == pytest.approx(1, abs=0.1) and all(got[x] == 0 for x in "abcdef")
+
+
+def test_money_paths_begin_nothing_longer_than_they_need(spark):
+    """Twelve paths of two hops, of which ten are asked: no prefix of the longer ones is extended, and one round ends the pair."""
+    mid = [f"m{k:02}" for k in range(12)]
+    arcs = [("s", m) for m in mid] + [(m, "t") for m in mid] + [(a, b) for a in mid for b in mid if a != b] + [("s", "s")]
+    e = spark.createDataFrame([(a, b, "PAID_TO") for a, b in arcs], "src string, dst string, rel string")
+    rows = []
+    got = T.money_paths(spark.createDataFrame([("s", "t"), ("t", "s")], PAIRS), e, max_hops=5, rows=rows).collect()
+    assert sorted((r["rank"], r["path"]) for r in got) == [(k + 1, ["s", m, "t"]) for k, m in enumerate(mid[:10])] and len(rows) == 1
