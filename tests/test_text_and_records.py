@@ -2,6 +2,8 @@
 
 import json
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from casegraph.operators import features as X
 from casegraph.operators import model as M
 from casegraph.operators import resolve as R
 from casegraph.operators import timeline as T
+from casegraph.plans import case_queries
 from casegraph.plans.driver_views import spread, table
 from casegraph.plans.record_queries import narratives
 from casegraph.sources import ingest as I
@@ -174,3 +177,11 @@ def test_narratives_are_made_in_many_tasks(spark):
 
 def test_files_of_one_row_are_written_by_many_tasks(spark):
     assert spread(table(spark, "/root/testdata/sf0.1", "supplier"), "s_suppkey", 512).rdd.getNumPartitions() == 2  # 1,000 rows in one file
+
+
+def test_wrapped_documents_are_written_by_many_tasks(spark, monkeypatch):
+    """150 documents of 100 customers: 64 files of a task, not all of one."""
+    seen, read = [], O.read_json
+    monkeypatch.setattr(O, "read_json", lambda s, path: seen.append(path) or read(s, path))
+    assert case_queries.io_json_wrapped(spark, "/root/testdata/sf0.1").count() == 15_000
+    assert len({p.name.split("-")[1] for p in Path(seen[0]).glob("part-*")}) > 1
