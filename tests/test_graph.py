@@ -130,3 +130,11 @@ def test_core_bounds(spark):
     arcs = [(a, b) for a in "abcd" for b in "abcd" if a < b] + [("d", f"x{k}") for k in range(9)]
     got = {r["id"]: r["first"] for r in T.core_bounds(spark.createDataFrame(arcs, "src string, dst string")).collect()}
     assert all(got[v] == 3 for v in "abcd") and all(got[f"x{k}"] == 1 for k in range(9))
+
+
+def test_triangles_look_up_no_wedges_that_nothing_can_close(spark):
+    """20 vertices joined with 12 others: 1,320 pairs of neighbours, none of which is an edge; one triangle beside."""
+    pairs = [(f"c{j:02}", f"s{k:02}") for j in range(20) for k in range(12)] + [("n", "c00"), ("n", "s00")]
+    e, rows = spark.createDataFrame(pairs, "src string, dst string"), []
+    got = T._closed(T.write(T._upward(e)), rows).collect()
+    assert [sorted(r) for r in got] == [["c00", "n", "s00"]] and max(rows) <= 1
