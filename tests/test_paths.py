@@ -131,3 +131,17 @@ def test_money_paths_begin_nothing_longer_than_they_need(spark):
     rows = []
     got = T.money_paths(spark.createDataFrame([("s", "t"), ("t", "s")], PAIRS), e, max_hops=5, rows=rows).collect()
     assert sorted((r["rank"], r["path"]) for r in got) == [(k + 1, ["s", m, "t"]) for k, m in enumerate(mid[:10])] and len(rows) == 1
+
+
+def test_shortest_paths_derive_edges_once(spark):
+    """Edges may be costly to derive: the vertices, directed and undirected arcs come from one table of them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    e = spark.createDataFrame([("a", "b"), ("c", "b")], "src string, dst string").mapInArrow(seen, "src string, dst string")
+    got = T.shortest_paths(spark.createDataFrame([("a", "b"), ("a", "c")], PAIRS), e).collect()
+    assert sorted((r["target"], r["path"], r["directed"]) for r in got) == [("b", ["a", "b"], True), ("c", ["a", "b", "c"], False)] and read.value == 2
