@@ -22,6 +22,24 @@ def test_index_finds_what_contains_finds(spark, tmp_path):
     assert I.search(spark, str(tmp_path), rows, spark.createDataFrame([("zzz",)], "term string"), "id", "t").count() == 0
 
 
+def test_postings_lie_in_blocks(spark, tmp_path):
+    """A row of the index holds the keys of a run, not one key: as many rows as there are runs in a block, and their counts."""
+    I.build(spark.createDataFrame([(k, "abé") for k in range(1000)], "id long, t string").coalesce(1), str(tmp_path), "id", "t")
+    held = spark.read.parquet(str(tmp_path / "postings")).collect()
+    assert len(held) == 6 and all(sorted(r["keys"]) == list(range(1000)) for r in held)
+    assert {r["n"] for r in spark.read.parquet(str(tmp_path / "counts")).collect()} == {1000}
+
+
+def test_runs_of_more_letters_than_a_number_holds():
+    import numpy as np
+
+    points = np.concatenate([np.arange(1, 1 << 18), np.arange(1 << 17, 1 << 18)]) + 0x10000
+    row = np.arange(len(points)) // 7
+    runs, at, who = I._postings_of(points.astype("<u4"), row, int(row[-1]) + 1)
+    k = int(np.flatnonzero(runs == (int(points[0]) + 1 << 42 | int(points[1]) + 1 << 21 | int(points[2]) + 1))[0])
+    assert len(set(runs.tolist())) == len(runs) and who[at[k] : at[k + 1]].tolist() == [0] and at[-1] == len(who)
+
+
 def test_index_of_no_rows(spark, tmp_path):
     rows = spark.createDataFrame([], "id long, t string")
     I.build(rows, str(tmp_path / "i"), "id", "t")
