@@ -1,5 +1,7 @@
 """Graph fixture of FIXTURES.md, section 2."""
 
+import random
+
 import pytest
 
 from __spark_entry__ import queries
@@ -138,3 +140,24 @@ def test_triangles_look_up_no_wedges_that_nothing_can_close(spark):
     e, rows = spark.createDataFrame(pairs, "src string, dst string"), []
     got = T._closed(T.write(T._upward(e)), rows).collect()
     assert [sorted(r) for r in got] == [["c00", "n", "s00"]] and max(rows) <= 1
+
+
+def test_components_of_hubs_take_few_steps(spark):
+    """Stars joined by their hubs, a chain and pairs: hubs take their neighbours in, star steps the rest."""
+    from casegraph.functions.scratch import materialise
+    from casegraph.operators.components import hub_components, hub_steps
+
+    rng = random.Random(3)
+    e = [(f"h{k % 3}", f"v{k}") for k in range(300)] + [("h0", "h1"), ("v1", "v2"), ("v7", "v7")] + [(f"c{k}", f"c{k + 1}") for k in range(9)] + [(f"p{k}", f"q{k}") for k in range(20)] + [("v5", "v8"), ("v8", "v5"), (None, "v1")]
+    e = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in e]
+    root = {x: x for pair in e if None not in pair for x in pair}
+    for _ in range(20):
+        for a, b in e:
+            if a and b:
+                root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame(e, "u string, v string").repartition(3)
+    steps, rest = hub_steps(edges, materialise, 3)
+    assert sum(x.count() for x in steps) >= 297 and rest.count() <= 40
+    for hubs in (3, 64):
+        got = {r["u"]: r["v"] for r in hub_components(edges, materialise, hubs).collect()}
+        assert got == {x: c for x, c in root.items() if x != c}
