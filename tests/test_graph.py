@@ -161,3 +161,9 @@ def test_components_of_hubs_take_few_steps(spark):
     for hubs in (3, 64):
         got = {r["u"]: r["v"] for r in hub_components(edges, materialise, hubs).collect()}
         assert got == {x: c for x, c in root.items() if x != c}
+
+
+def test_typed_neighbours_sorts_no_arcs(spark):
+    v, e = spark.createDataFrame([("a", "SIM")], "id string, type string"), spark.createDataFrame([("a", "b")], "src string, dst string")
+    plan = G.typed_neighbours(v, e)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan
