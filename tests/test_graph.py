@@ -167,3 +167,12 @@ def test_typed_neighbours_sorts_no_arcs(spark):
     v, e = spark.createDataFrame([("a", "SIM")], "id string, type string"), spark.createDataFrame([("a", "b")], "src string, dst string")
     plan = G.typed_neighbours(v, e)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Sort " not in plan
+
+
+def test_cliques_are_sought_among_the_edges_of_triangles(spark, monkeypatch):
+    """A star of 500 leaves, 20 vertices joined with 12 others, and one triangle: only its three edges are ordered and go on."""
+    seen, bounds = [], T.core_bounds
+    monkeypatch.setattr(T, "core_bounds", lambda e: seen.append(e.count()) or bounds(e))
+    pairs = [("n", f"l{k:03}") for k in range(500)] + [(f"c{j:02}", f"s{k:02}") for j in range(20) for k in range(12)] + [("n", "c00"), ("s00", "n"), ("n", "n")]
+    got = [r["members"] for r in T.maximal_cliques(spark.createDataFrame(pairs, "src string, dst string")).collect()]
+    assert got == [["c00", "n", "s00"]] and seen == [3]
