@@ -131,3 +131,12 @@ def test_edges_are_dealt_by_the_lines_they_come_from(spark, monkeypatch):
     assert f", {-(-lines // 500)}), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
     rows = [tuple(r) for r in dealt.collect()]
     assert set(rows) == whole and len(rows) == len(whole)
+
+
+def test_findings_derive_the_edges_once(spark, monkeypatch):
+    from casegraph.plans import graph_queries
+
+    made = []
+    monkeypatch.setattr(graph_queries, "edges", lambda *a: made.append(edges(*a)) or made[-1])
+    plan = graph_queries.findings_all(spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(made) == 1 and "l_suppkey" not in plan
