@@ -140,3 +140,14 @@ def test_findings_derive_the_edges_once(spark, monkeypatch):
     monkeypatch.setattr(graph_queries, "edges", lambda *a: made.append(edges(*a)) or made[-1])
     plan = graph_queries.findings_all(spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert len(made) == 1 and "l_suppkey" not in plan
+
+
+def test_betweenness_small_leaves_out_no_row(spark):
+    """Every customer and supplier lies in its nation's star, and every vertex has a row."""
+    read = lambda name: spark.read.parquet(f"{D}/{name}.parquet").collect()
+    arcs = [(f"C{r['c_custkey']}", f"N{r['c_nationkey']}") for r in read("customer")] + [(f"S{r['s_suppkey']}", f"N{r['s_nationkey']}") for r in read("supplier")]
+    nodes = sorted({x for a in arcs for x in a} | {f"N{r['n_nationkey']}" for r in read("nation")} | {f"P{r['p_partkey']}" for r in read("part")})
+    n = len(nodes)
+    want = {k: x / ((n - 1) * (n - 2)) for k, x in brandes(nodes, arcs, nodes).items()}
+    got = {r["id"]: r["betweenness"] for r in queries()["betweenness_small"](spark, D).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
