@@ -329,6 +329,31 @@ def test_near_pairs_lists_every_pair_of_a_group(spark, monkeypatch):
     assert members.where("doc_id = 200").first()["class_id"] == 3
 
 
+def test_near_heads_leave_no_link_out(spark):
+    """Copies of two texts with one to twelve words changed: most buckets' least class is too far off, later ones are linked."""
+    rng = random.Random(11)
+    rows = []
+    for base in range(2):
+        words_of = [f"b{base}x{k}" for k in range(220)]
+        for k in range(40):
+            w = list(words_of)
+            for _ in range(rng.choice((2, 3, 4, 5, 6, 8))):
+                w[rng.randrange(len(w))] = f"new{base}x{k}"
+            rows.append((base + 2 * k, " ".join(w)))
+    rows += [(100, rows[3][1]), (101, None), (102, " "), (103, "alone here")]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in rows if t and t.strip()}
+    cls = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = {i: min((j for j in cls.values() if j < cls[i] and alike(i, j) >= 0.8), default=None) for i in sets}
+    group = {i: i for i in sets}
+    for _ in sets:
+        group = {i: min(group[j] for j in sets if alike(i, j) >= 0.8) for i in sets}
+    got = {r["doc_id"]: r.asDict() for r in fingerprint.near_heads(spark.createDataFrame(rows, DOC).repartition(3)).collect()}
+    assert len(set(near.values())) > 4 and {i: r["near_id"] for i, r in got.items()} == near
+    assert {i: r["near_jaccard"] for i, r in got.items()} == {i: None if near[i] is None else pytest.approx(alike(i, near[i])) for i in sets}
+    assert {i: r["group_id"] for i, r in got.items()} == group
+
+
 # Chat formatting (9)
 
 
