@@ -145,3 +145,25 @@ def test_shortest_paths_derive_edges_once(spark):
     e = spark.createDataFrame([("a", "b"), ("c", "b")], "src string, dst string").mapInArrow(seen, "src string, dst string")
     got = T.shortest_paths(spark.createDataFrame([("a", "b"), ("a", "c")], PAIRS), e).collect()
     assert sorted((r["target"], r["path"], r["directed"]) for r in got) == [("b", ["a", "b"], True), ("c", ["a", "b", "c"], False)] and read.value == 2
+
+
+def test_shortest_paths_around_steep_levels(spark, monkeypatch):
+    """Every level counts as steep: pairs are found over one arc between both ends' levels, and over shared first steps."""
+    monkeypatch.setattr(T, "STEEP", 1)
+    rng = random.Random(4)
+    arcs = [(f"c{k:02}", f"n{k % 3}") for k in range(24)] + [(f"c{k:02}", f"s{rng.randrange(30):02}") for k in range(24) for _ in range(2)] + [(f"s{k:02}", f"n{k % 3}") for k in range(30)] + [("n2", "z0"), ("z0", "z1"), ("z1", "z2"), ("z2", "z2")]
+    both = arcs + [(b, a) for a, b in arcs]
+    pairs = [(f"c{i:02}", x) for i in range(24) for x in [f"c{j:02}" for j in range(0, 24, 5)] + ["n1", "z2", "s07"]]
+    got = {(r["source"], r["target"]): (r["path"], r["length"]) for r in T.meet(spark.createDataFrame(pairs, PAIRS), T.write(spark.createDataFrame(sorted(set(both)), "at string, to string"))).collect()}
+    want = {p: least_shortest(near(both), *p) for p in pairs}
+    assert {len(x) for x in want.values()} >= {1, 2, 3, 4, 5, 6} and got == {p: (x, len(x) - 1) for p, x in want.items()}
+
+
+def test_shortest_paths_do_not_visit_what_lies_two_steps_off(spark, monkeypatch):
+    """40 sources around two hubs that share 300 others: no level of 40 times 300 is made."""
+    monkeypatch.setattr(T, "STEEP", 1000)
+    arcs = [(f"c{k:02}", f"a{k % 2}") for k in range(40)] + [(h, f"m{k:03}") for h in ("a0", "a1") for k in range(300)]
+    e = T.write(spark.createDataFrame(arcs + [(b, a) for a, b in arcs], "at string, to string"))
+    pairs, rows = [(f"c{k:02}", f"c{(k + 7) % 40:02}") for k in range(40)], []
+    got = {r["source"]: r["path"] for r in T.meet(spark.createDataFrame(pairs, PAIRS), e, rows).collect()}
+    assert got == {s: [s, f"a{int(s[1:]) % 2}", "m000", f"a{int(t[1:]) % 2}", t] for s, t in pairs} and max(rows) <= 40
